@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.llm import quality, token_counts, token_files
+from folioforge.llm import exact_dedup, quality, simhash, token_counts, token_files
 from folioforge.llm.common import shared_dir, table
 
 
@@ -16,6 +16,14 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.find_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.find_near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
@@ -30,8 +38,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op2_simhash": op2_simhash,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_files": op4_token_files,
     "op6_token_counts": op6_token_counts,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_exact_dedup": exact_dedup.SQL}
