@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.llm import exact_dedup, quality, simhash, token_counts, token_files
+from folioforge.llm import chat, exact_dedup, language_id, mixing, packing, quality, simhash, token_counts, token_files
 from folioforge.llm.common import shared_dir, table
 
 
@@ -33,15 +33,37 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, files)
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.probe(spark))
+    return chat.digest_chats(chat.format_chats(chat.turns_as_events(turns)))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), 1))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash": op2_simhash,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_files": op4_token_files,
+    "op5_chat_format": op5_chat_format,
     "op6_token_counts": op6_token_counts,
+    "op8_packing": op8_packing,
+    "op9_language_id": op9_language_id,
+    "op10_mixing": op10_mixing,
 }
-SQL: dict[str, str] = {"op1_exact_dedup": exact_dedup.SQL}
+SQL: dict[str, str] = {"op1_exact_dedup": exact_dedup.SQL, "op10_mixing": mixing.sql()}
