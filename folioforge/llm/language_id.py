@@ -45,7 +45,7 @@ class Network:
         states, tape = np.empty((steps, 2, n, size), np.float32), []
         one = np.float32(1)
         for t in range(steps):
-            a = np.stack([self.W[0][x[:, t]], self.W[1][x[:, steps - 1 - t]]])
+            a = np.stack([self.W[0].take(x[:, t], axis=0), self.W[1].take(x[:, steps - 1 - t], axis=0)])
             u = h @ self.U
             zr = a[..., : 2 * size] + u[..., : 2 * size]
             zr *= np.float32(0.5)
