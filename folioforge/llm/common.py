@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,5 +59,6 @@ def lookup(rows: DataFrame, names: DataFrame, keys: list[str], count: str, total
     marked = rows.join(hot.select(*keys, *[F.col(c).alias(f"_b_{c}") for c in names.columns if c not in keys], "_hot"), keys, "left")
     rest = [c for c in names.columns if c not in keys]
     warm = marked.filter(F.col("_hot")).select(*rows.columns, *[F.col(f"_b_{c}").alias(c) for c in rest])
-    cold = marked.filter(F.col("_hot").isNull()).select(*rows.columns)
+    # asking for every column, though _hot says it all, keeps the plan of `names` the same in both parts, so that it is run once
+    cold = marked.filter(reduce(lambda a, b: a & b, [F.col(f"_b_{c}").isNull() for c in rest], F.col("_hot").isNull())).select(*rows.columns)
     return warm.unionByName(cold.join(names.filter(F.col(count) <= least), keys).select(*rows.columns, *rest))
