@@ -42,7 +42,11 @@ def _(t: Tables) -> DataFrame:
     return t.documents.filter(~F.contains(head, F.lit('"')) & ~F.contains(head, F.lit("\n")) & (F.col("lang") == "en")).select("doc_id", T.tight_quotes(F.concat(F.lit('" '), head, F.lit(' " x'))).alias("q"))
 
 
-@query("T8_stripped_tags", r"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '" "'" r"""), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS plain FROM pages""".replace("'\" \"'", "'\"'"))
+_PLAIN = r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'),
+    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS plain FROM pages"""
+
+
+@query("T8_stripped_tags", _PLAIN)
 def _(t: Tables) -> DataFrame:
     return t.pages.select("page_id", T.stripped_tags(F.col("html")).alias("plain"))
 
