@@ -222,6 +222,12 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def at_row(rows: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
+    """Join on id and rep that keeps the partitioning by id: rep is a condition, not a key, which a join would deal out by as well."""
+    right = other.withColumnsRenamed({"id": "_id", "rep": "_rep"})
+    return rows.join(right, (F.col("id") == F.col("_id")) & (F.col("rep") - F.col("_rep") == 0), how).drop("_id", "_rep")
+
+
 def remove_repeats(docs: DataFrame, array: int = ARRAY, shard: int = SHARD) -> DataFrame:
     """doc_id, n_bytes, spans (removed runs of bytes, [begin, end)), kept (the bytes left, binary); one row for each row of docs.
 
@@ -239,25 +245,26 @@ def remove_repeats(docs: DataFrame, array: int = ARRAY, shard: int = SHARD) -> D
 
         yield from spans_batches(run())
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
-    rep = F.row_number().over(Window.partitionBy("id").orderBy("data"))
-    dealt = rows.repartition("id").withColumn("rep", rep)
-    digests = dealt.select("id", "rep", F.unhex(F.sha2("data", 256)).alias("sha"))
+    # every part below reads the same two columns of the same exchange, so the texts are shuffled once
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
+    dealt = rows.repartition("id").withColumn("rep", F.row_number().over(Window.partitionBy("id").orderBy("data")))
     # ordered rows of equal texts: of rows that repeat id and text the first has the least rep
+    digests = dealt.select("id", "rep", F.unhex(F.sha2("data", 256)).alias("sha"))
     firsts = digests.groupBy("sha").agg(F.min(F.struct("id", "rep")).alias("first")).select(F.col("first.id").alias("id"), F.col("first.rep").alias("rep"))
-    found = dealt.filter(F.octet_length("data") >= LENGTH).join(firsts, ["id", "rep"]).select("id", "rep", "data").mapInArrow(find_seeds, "h long, id long, rep int, first long, last long")
+    found = at_row(dealt.filter(F.octet_length("data") >= LENGTH), firsts).select("id", "rep", "data").mapInArrow(find_seeds, "h long, id long, rep int, first long, last long")
     twice = found.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter(F.col("_n") > 1).drop("_n")
     part = F.substring(F.col("data"), (F.col("first") + 1).cast("int"), (F.col("last") - F.col("first") + LENGTH).cast("int"))
-    slices = dealt.select("id", "rep", "data").join(twice, ["id", "rep"]).select("h", part.alias("slice"), "id", "rep", "first")
+    slices = at_row(dealt, twice).select("h", part.alias("slice"), "id", "rep", "first")
     spans = slices.repartition("h").sortWithinPartitions("h", "slice", "id", "rep", "first").mapInArrow(find_repeats, SPANS)
     key = F.when(F.col("string").isNull(), F.xxhash64("id", "first")).otherwise(F.xxhash64("string"))
     settled = spans.withColumn("_k", key).repartition("_k").sortWithinPartitions("string", "id", "rep", "first").drop("_k").mapInArrow(settle, SPANS)
     by_document = settled.groupBy("id", "rep").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    whole = dealt.join(firsts.withColumn("_first", F.lit(True)), ["id", "rep"], "left").join(by_document, ["id", "rep"], "left")
+    whole = at_row(at_row(dealt, firsts.withColumn("_first", F.lit(True)), "left"), by_document, "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for doc_id, data, first, spans in rows_of(batches):
+        for i, data, first, spans in rows_of(batches):
+            doc_id = None if i == LEAST_ID else i
             if first:
                 runs = merged([(s["first"], s["last"]) for s in spans or []])
             else:
@@ -276,7 +283,7 @@ def remove_repeats(docs: DataFrame, array: int = ARRAY, shard: int = SHARD) -> D
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "n_bytes", "spans", "kept"])
 
-    return whole.select("doc_id", "data", "_first", "spans").mapInArrow(finish, "doc_id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
+    return whole.select("id", "data", "_first", "spans").mapInArrow(finish, "doc_id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
 
 
 def digest(cleaned: DataFrame) -> DataFrame:
