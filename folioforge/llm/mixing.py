@@ -54,6 +54,8 @@ def raked(cells: DataFrame, temper: dict[str, float], rounds: int = ROUNDS) -> D
         for name in temper:
             share = F.sum("w").over(Window.partitionBy(f"_{name}"))
             out = out.withColumn("w", F.when(share > 0, F.col("w") * F.col(f"_t_{name}") / share).otherwise(0.0))
+        if (k + 1) % ROUNDS == 0 and k + 1 < rounds:
+            out = cut(out)  # a plan of many more steps is too deep to send
     return out
 
 
