@@ -78,10 +78,10 @@ def draw(seed: int) -> Column:
 
 
 def weighted(docs: DataFrame, temper: dict[str, float] = TEMPER, budget: float = BUDGET) -> DataFrame:
-    """docs, all columns, with _source, _lang, _topic, _tokens, w (its cell's raked weight) and p (its keeping probability)."""
+    """docs, all columns, with _source, _lang, _topic, _tokens, _w (its cell's raked weight) and _p (its keeping probability)."""
     rows = described(docs)
     cells = cells_of(rows)
-    solved = cut(calibrated(raked(cells, temper), budget).select("_source", "_lang", "_topic", "_n", "w", "p"))
+    solved = cut(calibrated(raked(cells, temper), budget).select("_source", "_lang", "_topic", "_n", F.col("w").alias("_w"), F.col("p").alias("_p")))
     total = int(cells.agg(F.sum("_n")).first()[0] or 0)
     return lookup(rows, solved, ["_source", "_lang", "_topic"], "_n", total).drop("_n")
 
@@ -94,12 +94,12 @@ def mix_report(docs: DataFrame, temper: dict[str, float] = TEMPER, budget: float
     """
     few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang")
     rows = weighted(few, temper, budget)
-    return rows.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("w", 6).alias("cell_weight"), F.round("p", 6).alias("probability"), (draw(seed) < F.col("p")).alias("sampled"))
+    return rows.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("_w", 6).alias("cell_weight"), F.round("_p", 6).alias("probability"), (draw(seed) < F.col("_p")).alias("sampled"))
 
 
 def sample(docs: DataFrame, temper: dict[str, float] = TEMPER, budget: float = BUDGET, seed: int = 42) -> DataFrame:
     """The sampled rows of docs, all columns; rows as in mix_report."""
-    return weighted(docs, temper, budget).filter(draw(seed) < F.col("p")).select(*docs.columns)
+    return weighted(docs, temper, budget).filter(draw(seed) < F.col("_p")).select(*docs.columns)
 
 
 def sql(temper: dict[str, float] = TEMPER, budget: float = BUDGET, seed: int = 42) -> str:

@@ -2,7 +2,8 @@ from folioforge.llm import mixing
 
 
 def corpus(spark, n=2000):
-    rows = [(i, "word " * (5 + i % 7) + ("7" if i % 3 == 0 else "") + ("\n" if i % 2 else ""), "hot" if i % 3 else f"s{i % 5}", ["en", "de", None][i % 7 % 3], 1.0) for i in range(n)]
+    # source, language and topic vary on their own, so that all marginals can be met at once
+    rows = [(i, "word " * (5 + i % 7) + ("7" if i // 15 % 4 == 0 else "") + ("\n" if i // 60 % 2 else ""), "hot" if i % 3 else f"s{i % 5}", ["en", "de", None][i * 7919 % 97 % 3], 1.0) for i in range(n)]
     rows += [(None, None, None, None, None), (5, "", "empty", "en", None), (5, "", "empty", "en", None)]
     return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, w double")
 
