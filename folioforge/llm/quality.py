@@ -24,7 +24,7 @@ class Rules:
     """Limits of the verdict. `coverage`: most share of word characters inside n-grams found twice or more, for each n in words."""
 
     coverage: dict[int, float] = field(default_factory=lambda: {5: 0.30, 8: 0.25, 12: 0.20})
-    line_share: float = 0.30
+    line_share: float = 0.50
     line_chars: float = 0.30
     symbols: float = 0.10
     least_words: int = 10
