@@ -102,9 +102,12 @@ def bootstrap(rows: DataFrame, key: str, value: str, resamples: int = 2000, seed
 
 def phi(rows: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
     """Correlation of two 0/1 columns; null where one of them has one value."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
     x, y = F.col(a).cast("double"), F.col(b).cast("double")
-    several = (F.min(a) != F.max(a)) & (F.min(b) != F.max(b))
-    return rows.groupBy(*keys).agg(F.when(several, F.corr(x, y)).alias("phi"))
+    sums = rows.filter(both).groupBy(*keys).agg(F.count("*").alias("_n"), F.sum(x).alias("_x"), F.sum(y).alias("_y"), F.sum(x * y).alias("_xy"), F.sum(x * x).alias("_xx"), F.sum(y * y).alias("_yy"))
+    c = F.col
+    spread = (c("_n") * c("_xx") - c("_x") * c("_x")) * (c("_n") * c("_yy") - c("_y") * c("_y"))
+    return sums.select(*keys, F.when(spread > 0, F.try_divide(c("_n") * c("_xy") - c("_x") * c("_y"), F.sqrt(spread))).alias("phi"))
 
 
 def mined_rules(rows: DataFrame, title: str, label: str, support: int, precision: float, margin: float) -> DataFrame:
