@@ -8,16 +8,17 @@ fingerprint linked to x by that half stands at x's home, and each anchor compare
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.llm.common import cut, lookup
 from folioforge.llm.components import components
+from folioforge.llm.exact_dedup import normalised
 
 RADIUS = 3
 #: Shingles whose bits are counted together; members of an anchor above which it is split further.
@@ -38,15 +39,16 @@ def fingerprint(text: str | None, words: int) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id, fp (long) for each row; a null text has no words."""
+def fingerprints(docs: DataFrame, words: int = 3, also: Sequence[str] = ()) -> DataFrame:
+    """doc_id, fp (long) for each row, and the columns in also; a null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(t.as_py(), words) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64()), *[batch.column(c) for c in also]], ["doc_id", "fp", *also])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    schema = ", ".join(["doc_id long", "fp long", *[f"{c} {docs.schema[c].dataType.simpleString()}" for c in also]])
+    return docs.select(F.col("doc_id").cast("long"), "text", *also).mapInArrow(run, schema)
 
 
 def syndromes(bits: int, first: int) -> np.ndarray:
@@ -206,10 +208,26 @@ def find_near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
-    """The rows of docs that stay, all columns: of each component the row with the least doc_id; of rows that repeat that id one."""
+def row_key() -> Column:
+    """Stands for a row by id and text: rows share it if both are equal (texts after lower-casing A-Z)."""
+    return F.unhex(F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), F.sha2(normalised(), 256)), 256))
+
+
+def keep_rows(docs: DataFrame, stays: DataFrame) -> DataFrame:
+    """The rows of docs whose row_key is in stays (_key), all columns; of rows that repeat id and text one."""
     columns = docs.columns
-    stays = find_near_duplicates(docs, words).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    found = docs.join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    first = F.row_number().over(Window.partitionBy(F.col("doc_id")).orderBy(F.xxhash64(*columns)))
+    found = docs.withColumn("_key", row_key()).join(stays, "_key", "left_semi")
+    first = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(*columns)))
     return found.withColumn("_row", first).filter(F.col("_row") == 1).select(*columns)
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
+    """The rows of docs that stay, all columns: of each component exactly one, the one with the least doc_id that is not null.
+
+    Rows go by id and text, so that null and repeated ids of different texts are kept apart.
+    """
+    rows = fingerprints(docs.withColumn("_key", row_key()), words, ["_key"])
+    nodes = cut(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("first")))
+    found = components(links(nodes)).withColumnRenamed("node", "fp")
+    firsts = nodes.join(found, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    return keep_rows(docs, firsts.select("first._key"))

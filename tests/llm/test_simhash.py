@@ -104,3 +104,14 @@ def test_near_duplicates_of_odd_rows(frame):
     assert [v for k, v in out.items() if k[0] is None] == [(None, 1)]
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect() if r.doc_id is not None) == [2, 3, 7]
     assert simhash.find_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_rows_that_stay_go_by_id_and_text(frame):
+    r = random.Random(7)
+    prose = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(80))
+    texts = [prose() for _ in range(6)]
+    nulls = [(None, t) for t in texts[:4]] + [(None, texts[0].upper())]
+    docs = frame([*nulls, (5, texts[4]), (5, texts[5]), (9, texts[4]), (9, texts[1]), (5, texts[4])])
+    stays = [(x.doc_id, x.text) for x in simhash.drop_near_duplicates(docs).collect()]
+    assert sorted(t.lower() for _, t in stays) == sorted(texts)  # one row of each component
+    assert {t.lower(): i for i, t in stays} == {texts[0]: None, texts[1]: 9, texts[2]: None, texts[3]: None, texts[4]: 5, texts[5]: 5}
