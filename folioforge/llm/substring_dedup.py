@@ -5,12 +5,15 @@ GRAM-byte grams the one with the least hash, the leftmost of equals, is its seed
 that follow each other mostly have one seed, so a document gives one row for each seed, not for each string:
 
 1.  documents are dealt out by id once; of equal documents only the first goes on, the others repeat it whole;
-2.  seeds are counted, and of seeds that occur twice or more the slices of text that hold their strings are cut out;
-3.  in a shard equal slices collapse; of the others a suffix array is induced, and strings with a common prefix of LENGTH bytes
+2.  a task gives the seeds of its documents. Of slices of text that it has met before, seed and all, only the spans go on, and
+    of a seed it has met before one witness is counted for the task: so a very frequent seed is one row a task;
+3.  seeds are counted; of those that occur twice or more the slices of text that hold their strings are cut out;
+4.  in a shard equal slices collapse; of the others a suffix array is induced, and strings with a common prefix of LENGTH bytes
     with the one before are equal: all but the earliest are repeats;
-4.  a seed with more than SHARD bytes of different slices is not held in memory: its strings are dealt out one by one, and equal
-    ones then stand together;
-5.  the repeats' spans go back to their documents.
+5.  a seed with very many different slices goes without a suffix array: its strings are dealt out one by one, by their hash and
+    a salt, equal ones collapse for each salt, and what is left of the salts meets again. A seed with more than HOT_SHARE's
+    part of all bytes is treated so from the start; one over SHARD bytes, when a task finds that it has more than it may hold;
+6.  the repeats' spans go back to their documents.
 """
 
 from __future__ import annotations
@@ -22,13 +25,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.llm.common import HOT_SHARE
 from folioforge.llm.suffix_array import common_prefixes, suffix_array
 
 LENGTH, GRAM = 100, 24
 #: Bytes whose seeds are found together, below 2^20; bytes of slices in one suffix array; most of one seed's.
 TOGETHER, ARRAY, SHARD = 1 << 19, 1 << 20, 1 << 22
+#: Repeated seeds, and bytes of slices, that a task remembers.
+SEEDS, SLICES = 1 << 18, 1 << 25
+#: Parts of an id that very many rows share, and of a very frequent string.
+BUCKETS, SALTS = 1 << 12, 64
 LEAST_ID = -(1 << 63)
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+#: Kinds of rows that find_seeds gives.
+REPEAT, KNOWN, SINGLE, WITNESS = range(4)
+PLACE = ("id", "bucket", "rep")
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -93,16 +104,19 @@ def repeats(slices: list[bytes], order: np.ndarray) -> Iterator[tuple[int, int,
     """(slice's number, first start, last start) of the strings that also start earlier in these slices; order: the slices' ranks."""
     sizes = np.array([len(s) for s in slices])
     begins = np.concatenate([[0], (sizes + 1).cumsum()[:-1]])
-    data = np.frombuffer(b"".join([x for s in slices for x in (s, b"\0")]) + b"\0" * (LENGTH + 8), np.uint8)
     n = int((sizes + 1).sum())
-    text = data[:n].astype(np.int64) + 2
-    text[begins + sizes] = 1  # a separator; the sentinel after the last one is 0
-    array = suffix_array(np.append(text, 0), 258, LENGTH)
-    owner = np.repeat(np.arange(len(slices)), sizes + 1)
-    offset = np.arange(n) - begins[owner]
-    array = array[array < n]
-    array = array[offset[array] + LENGTH <= sizes[owner[array]]]
-    shared = common_prefixes(data, array, LENGTH) >= LENGTH
+    text = np.zeros(n + 1, np.int64)  # ends in the sentinel
+    text[:n] = np.frombuffer(b"".join([x for s in slices for x in (s, b"\0")]), np.uint8)
+    text[:n] += 2
+    text[begins + sizes] = 1  # a separator
+    array = suffix_array(text, 258)
+    shared = common_prefixes(text, array)[array] >= LENGTH
+    owner = np.append(np.repeat(np.arange(len(slices)), sizes + 1), 0)
+    offset = np.arange(n + 1) - begins[owner]
+    # strings equal to a whole string are whole as well, so groups stay together when others drop out
+    whole = offset[array] + LENGTH <= sizes[owner[array]]
+    whole[0] = False
+    array, shared = array[whole], shared[whole]
     group = np.cumsum(~shared) - 1
     many = np.bincount(group, minlength=1)[group] > 1 if len(group) else np.zeros(0, bool)
     array, group = array[many], group[many]
@@ -117,12 +131,16 @@ def repeats(slices: list[bytes], order: np.ndarray) -> Iterator[tuple[int, int,
         yield int(owner[a]), int(offset[a]), int(offset[b])
 
 
-SPANS = "id long, rep int, first long, last long, string binary"
+Row = tuple[int, int, int, int, int, bytes | None]
+SPANS = "id long, bucket int, rep int, first long, last long, string binary"
 
 
 class Shard:
-    """Folds rows (h, slice, id, rep, a) in that order into repeated spans, (id, rep, first start, last start, None), and single
-    strings of seeds too large to hold, (id, rep, start, start, string)."""
+    """Folds rows (h, slice, place) in that order into repeated spans, (*place, first start, last start, None), and single
+    strings of seeds too large to hold, (*place, start, start, string). place: id, bucket, rep; a slice has its first start.
+
+    A row without a slice is a span already; a slice without h is a single string, dealt out before.
+    """
 
     def __init__(self, array: int = ARRAY, most: int = SHARD):
         self.array, self.most = array, most
@@ -130,31 +148,31 @@ class Shard:
         self.group, self.at, self.bytes, self.over = [], [], 0, False
         self.h = self.last = None
 
-    def take(self, h: int, part: bytes, place: tuple[int, int, int]) -> Iterator[tuple]:
+    def take(self, h: int | None, part: bytes, place: tuple[int, int, int], first: int) -> Iterator[Row]:
         if h != self.h:
             yield from self.close()
             self.h, self.last = h, None
         if part == self.last:
-            yield (place[0], place[1], place[2], place[2] + len(part) - LENGTH, None)
+            yield (*place, first, first + len(part) - LENGTH, None)
             return
         self.last = part
-        if self.over:
-            yield from self.single(part, place)
+        if self.over or h is None:
+            yield from self.single(part, place, first)
             return
         self.group.append(part)
-        self.at.append(place)
+        self.at.append((place, first))
         self.bytes += len(part)
         if self.bytes > self.most:
             self.over = True
-            for x, y in zip(self.group, self.at):
-                yield from self.single(x, y)
+            for x, (y, k) in zip(self.group, self.at):
+                yield from self.single(x, y, k)
             self.group, self.at, self.bytes = [], [], 0
 
-    def single(self, part: bytes, place: tuple[int, int, int]) -> Iterator[tuple]:
+    def single(self, part: bytes, place: tuple[int, int, int], first: int) -> Iterator[Row]:
         for k in range(len(part) - LENGTH + 1):
-            yield (place[0], place[1], place[2] + k, place[2] + k, part[k : k + LENGTH])
+            yield (*place, first + k, first + k, part[k : k + LENGTH])
 
-    def close(self) -> Iterator[tuple]:
+    def close(self) -> Iterator[Row]:
         """End of a seed; a seed with one slice repeats nothing."""
         if len(self.group) > 1:
             self.slices += self.group
@@ -164,26 +182,26 @@ class Shard:
         if self.size >= self.array:
             yield from self.sort()
 
-    def sort(self) -> Iterator[tuple]:
+    def sort(self) -> Iterator[Row]:
         if self.slices:
             order = np.empty(len(self.slices), np.int64)
             order[sorted(range(len(self.places)), key=self.places.__getitem__)] = np.arange(len(self.places))
             for k, a, b in repeats(self.slices, order):
-                i, rep, start = self.places[k]
-                yield (i, rep, start + a, start + b, None)
+                place, first = self.places[k]
+                yield (*place, first + a, first + b, None)
         self.slices, self.places, self.size = [], [], 0
 
 
-def spans_batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+def batches_of(rows: Iterator[Row]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
     held = []
     for row in rows:
         held.append(row)
         if len(held) >= 20_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], ["id", "rep", "first", "last", "string"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], [*PLACE, "first", "last", "string"])
             held = []
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], ["id", "rep", "first", "last", "string"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], [*PLACE, "first", "last", "string"])
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -191,11 +209,77 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*(column.to_pylist() for column in batch.columns))
 
 
+class Met:
+    """What a task has met: seeds that it has sent a witness of, and the earliest place of each slice of a repeated seed."""
+
+    def __init__(self):
+        self.seeds, self.slices, self.size = np.zeros(0, np.int64), {}, 0
+
+    def repeated(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each seed whether the task has met it before or h has it twice; and those of them that no witness stands for yet."""
+        order = np.argsort(h, kind="stable")
+        same = h[order[1:]] == h[order[:-1]]
+        twice = np.zeros(len(h), bool)
+        twice[order[1:][same]] = twice[order[:-1][same]] = True
+        if len(self.seeds):
+            known = self.seeds[np.minimum(np.searchsorted(self.seeds, h), len(self.seeds) - 1)] == h
+        else:
+            known = np.zeros(len(h), bool)
+        new = np.unique(h[twice & ~known])
+        if len(self.seeds) + len(new) > SEEDS:
+            self.seeds = np.zeros(0, np.int64)  # later ones get a witness once more
+        self.seeds = np.sort(np.concatenate([self.seeds, new]))
+        return twice | known, new
+
+    def before(self, part: bytes, place: tuple) -> bool:
+        """Whether the same slice stands at an earlier place."""
+        was = self.slices.get(part)
+        if was is not None and was < place:
+            return True
+        if was is None:
+            self.size += len(part)
+            if self.size > SLICES:
+                self.slices, self.size = {}, len(part)
+        self.slices[part] = place
+        return False
+
+
+FOUND = "k long, h long, id long, bucket int, rep int, first long, last long, kind int"
+
+
 def find_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of FOUND. k: what a row is dealt out by; the seed for SINGLE and WITNESS rows, which are counted, else a hash of its place."""
+    met = Met()
     for batch in batches:
-        ids, reps = batch.column("id").to_numpy(), batch.column("rep").to_numpy()
-        for h, i, first, last in seeds(batch.column("data").to_pylist()):
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[i]), pa.array(reps[i]), pa.array(first.astype(np.int64)), pa.array(last.astype(np.int64))], ["h", "id", "rep", "first", "last"])
+        ids, buckets, reps = (batch.column(c).to_numpy() for c in PLACE)
+        texts = batch.column("data").to_pylist()
+        for h, i, first, last in seeds(texts):
+            repeated, new = met.repeated(h)
+            out, run = [], None  # (seed or None, text's number, first, last, kind)
+            for n in np.flatnonzero(repeated).tolist():
+                k, a, b = int(i[n]), int(first[n]), int(last[n])
+                if not met.before(texts[k][a : b + LENGTH], (int(ids[k]), int(buckets[k]), int(reps[k]), a)):
+                    out.append((int(h[n]), k, a, b, KNOWN))
+                elif run and run[1] == k and run[3] + 1 == a:
+                    run[3] = b
+                else:
+                    run = [None, k, a, b, REPEAT]
+                    out.append(run)
+            yield found_batch(h[~repeated], None, i[~repeated], first[~repeated], last[~repeated], np.full(int((~repeated).sum()), SINGLE), ids, buckets, reps)
+            if len(new):
+                nothing = np.zeros(len(new), np.int64)
+                yield found_batch(new, None, nothing, nothing, nothing, nothing + WITNESS, ids, buckets, reps)
+            if out:
+                own, k, a, b, kind = zip(*out)
+                k, a = np.array(k), np.array(a)
+                dealt = ((ids[k].view(np.uint64) * MIX[0]) ^ (a.astype(np.uint64) * MIX[1])).view(np.int64)
+                yield found_batch(dealt, pa.array(own, pa.int64()), k, a, np.array(b), np.array(kind), ids, buckets, reps)
+
+
+def found_batch(k, h, i, first, last, kind, ids, buckets, reps) -> pa.RecordBatch:
+    arrays = [k, ids[i], buckets[i], reps[i], first.astype(np.int64), last.astype(np.int64), kind.astype(np.int32)]
+    made = [pa.array(a) for a in arrays]
+    return pa.RecordBatch.from_arrays([made[0], pa.nulls(len(k), pa.int64()) if h is None else h, *made[1:]], ["k", "h", *PLACE, "first", "last", "kind"])
 
 
 def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,12 +287,12 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def run():
         was = None
-        for i, rep, first, last, string in rows_of(batches):
+        for *place, first, last, string in rows_of(batches):
             if string is None or string == was:
-                yield (i, rep, first, last, None)
+                yield (*place, first, last, None)
             was = string
 
-    yield from spans_batches(run())
+    yield from batches_of(run())
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -223,48 +307,73 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def at_row(rows: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
-    """Join on id and rep that keeps the partitioning by id: rep is a condition, not a key, which a join would deal out by as well."""
-    right = other.withColumnsRenamed({"id": "_id", "rep": "_rep"})
-    return rows.join(right, (F.col("id") == F.col("_id")) & (F.col("rep") - F.col("_rep") == 0), how).drop("_id", "_rep")
+    """Join on a document's place that keeps the partitioning by id and bucket: rep is a condition, not a key, which a join would
+    deal out by as well."""
+    right = other.withColumnsRenamed({c: f"_{c}" for c in PLACE})
+    same = (F.col("id") == F.col("_id")) & (F.col("bucket") == F.col("_bucket")) & (F.col("rep") - F.col("_rep") == 0)
+    return rows.join(right, same, how).drop(*[f"_{c}" for c in PLACE])
 
 
 def remove_repeats(docs: DataFrame, array: int = ARRAY, shard: int = SHARD) -> DataFrame:
     """doc_id, n_bytes, spans (removed runs of bytes, [begin, end)), kept (the bytes left, binary); one row for each row of docs.
 
     A null text is empty; matches stay within a document; strings are judged on the input. Rows that repeat an id stand in order
-    of their texts, null ids before all others. An empty table gives no rows; other columns are not read.
+    of a hash of their texts (its rest by BUCKETS), then of the texts; a null id stands as the least long. An id that more than
+    HOT_SHARE's part of all rows have is dealt out by that hash as well. An empty table gives no rows; other columns are not read.
     """
 
     def find_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def run():
             fold = Shard(array, shard)
-            for h, part, i, rep, first in rows_of(batches):
-                yield from fold.take(h, part, (i, rep, first))
+            for h, part, i, bucket, rep, first, last in rows_of(batches):
+                if part is None:
+                    yield (i, bucket, rep, first, last, None)
+                else:
+                    yield from fold.take(h, part, (i, bucket, rep), first)
             yield from fold.close()
             yield from fold.sort()
 
-        yield from spans_batches(run())
-
-    # every part below reads the same two columns of the same exchange, so the texts are shuffled once
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
-    dealt = rows.repartition("id").withColumn("rep", F.row_number().over(Window.partitionBy("id").orderBy("data")))
+        yield from batches_of(run())
+
+    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
+    rows = few.withColumn("id", F.coalesce("doc_id", F.lit(LEAST_ID)))
+    total, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("data"))).first()
+    hot_ids = rows.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max(1, total // HOT_SHARE)).select("id", F.lit(True).alias("_hot"))
+    hashed = F.pmod(F.xxhash64("data"), F.lit(BUCKETS))
+    bucket = F.when(F.col("_hot"), hashed).otherwise(0).cast("int")
+    marked = rows.join(F.broadcast(hot_ids), "id", "left").select("doc_id", "id", bucket.alias("bucket"), "data")
+    # every part below reads the same columns of the same exchange, so the texts are shuffled once
+    within = Window.partitionBy("id", "bucket").orderBy(hashed, "data", F.col("doc_id").asc_nulls_first())
+    dealt = marked.repartition("id", "bucket").withColumn("rep", F.row_number().over(within))
     # ordered rows of equal texts: of rows that repeat id and text the first has the least rep
-    digests = dealt.select("id", "rep", F.unhex(F.sha2("data", 256)).alias("sha"))
-    firsts = digests.groupBy("sha").agg(F.min(F.struct("id", "rep")).alias("first")).select(F.col("first.id").alias("id"), F.col("first.rep").alias("rep"))
-    found = at_row(dealt.filter(F.octet_length("data") >= LENGTH), firsts).select("id", "rep", "data").mapInArrow(find_seeds, "h long, id long, rep int, first long, last long")
-    twice = found.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter(F.col("_n") > 1).drop("_n")
-    part = F.substring(F.col("data"), (F.col("first") + 1).cast("int"), (F.col("last") - F.col("first") + LENGTH).cast("int"))
-    slices = at_row(dealt, twice).select("h", part.alias("slice"), "id", "rep", "first")
-    spans = slices.repartition("h").sortWithinPartitions("h", "slice", "id", "rep", "first").mapInArrow(find_repeats, SPANS)
+    digests = dealt.select(*PLACE, F.unhex(F.sha2("data", 256)).alias("sha"))
+    firsts = digests.groupBy("sha").agg(F.min(F.struct(*PLACE)).alias("first")).select("first.*")
+    found = at_row(dealt.filter(F.octet_length("data") >= LENGTH), firsts).select(*PLACE, "data").mapInArrow(find_seeds, FOUND)
+    counted = found.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("k")))
+    twice = counted.filter((F.col("kind") < SINGLE) | ((F.col("kind") == SINGLE) & (F.col("_n") > 1)))
+    twice = twice.select(F.when(F.col("kind") != REPEAT, F.coalesce("h", "k")).alias("h"), *PLACE, "first", "last", "kind")
+    # bytes of a seed's slices; at most 5 x HOT_SHARE seeds have more than that part of all, as slices overlap less than 5-fold
+    long = F.sum(F.col("last") - F.col("first") + LENGTH)
+    hot = twice.filter(F.col("kind") != REPEAT).groupBy("h").agg(long.alias("_n")).filter(F.col("_n") > max(shard, (size or 0) // HOT_SHARE))
+    routed = twice.join(F.broadcast(hot.select("h", F.lit(True).alias("_hot"))), "h", "left")
+    # a slice, or of a hot seed its strings, each with its own first start
+    step = F.when(F.col("_hot"), F.lit(LENGTH)).otherwise(F.col("last") - F.col("first") + LENGTH)
+    starts = F.when(F.col("_hot"), F.sequence("first", "last")).otherwise(F.array("first"))
+    parts = at_row(dealt, routed).withColumn("_start", F.explode(starts))
+    part = F.when(F.col("kind") != REPEAT, F.substring(F.col("data"), (F.col("_start") + 1).cast("int"), step.cast("int")))
+    slices = parts.select(F.when(F.col("_hot").isNull(), F.col("h")).alias("h"), part.alias("slice"), *PLACE, F.col("_start").alias("first"), "last")
+    salted = F.xxhash64("slice", F.pmod(F.xxhash64("id", "bucket"), F.lit(SALTS)))
+    key = F.when(F.col("slice").isNull(), F.xxhash64("id", "first")).otherwise(F.coalesce("h", salted))
+    order = ("h", "slice", *PLACE, "first")
+    spans = slices.withColumn("_k", key).repartition("_k").sortWithinPartitions(*order).drop("_k").mapInArrow(find_repeats, SPANS)
     key = F.when(F.col("string").isNull(), F.xxhash64("id", "first")).otherwise(F.xxhash64("string"))
-    settled = spans.withColumn("_k", key).repartition("_k").sortWithinPartitions("string", "id", "rep", "first").drop("_k").mapInArrow(settle, SPANS)
-    by_document = settled.groupBy("id", "rep").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    settled = spans.withColumn("_k", key).repartition("_k").sortWithinPartitions("string", *PLACE, "first").drop("_k").mapInArrow(settle, SPANS)
+    by_document = settled.groupBy(*PLACE).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     whole = at_row(at_row(dealt, firsts.withColumn("_first", F.lit(True)), "left"), by_document, "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for i, data, first, spans in rows_of(batches):
-            doc_id = None if i == LEAST_ID else i
+        for doc_id, data, first, spans in rows_of(batches):
             if first:
                 runs = merged([(s["first"], s["last"]) for s in spans or []])
             else:
@@ -283,7 +392,7 @@ def remove_repeats(docs: DataFrame, array: int = ARRAY, shard: int = SHARD) -> D
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "n_bytes", "spans", "kept"])
 
-    return whole.select("id", "data", "_first", "spans").mapInArrow(finish, "doc_id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
+    return whole.select("doc_id", "data", "_first", "spans").mapInArrow(finish, "doc_id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
 
 
 def digest(cleaned: DataFrame) -> DataFrame:

@@ -2,24 +2,35 @@ import hashlib
 import random
 
 import numpy as np
+import xxhash
 
 from folioforge.llm import substring_dedup as S
-from folioforge.llm.suffix_array import suffix_array
+from folioforge.llm.suffix_array import common_prefixes, suffix_array
 
 
-def test_suffix_array_equals_sorting():
+def common(a, b):
+    k = 0
+    while k < min(len(a), len(b)) and a[k] == b[k]:
+        k += 1
+    return k
+
+
+def test_suffix_array_and_common_prefixes_equal_sorting():
     r = np.random.default_rng(1)
-    for size, n in [(2, 1), (2, 30), (3, 50), (5, 300), (200, 500), (3, 2000)]:
-        for _ in range(20):
-            text = np.append(r.integers(1, size, n), 0)
-            assert suffix_array(text, size).tolist() == sorted(range(n + 1), key=lambda i: text[i:].tolist())
-    for text in ([1] * 50, [1, 2] * 40, [2, 1] * 40, [1, 1, 2] * 30, [3, 2, 1] * 30):
+    texts = [r.integers(1, size, n).tolist() for size, n in [(2, 1), (2, 30), (3, 50), (5, 300), (200, 500), (900, 1500), (3, 2000)] for _ in range(10)]
+    texts += [[1] * 50, [1, 2] * 40, [2, 1] * 40, [1, 1, 2] * 30, [3, 2, 1] * 30, [5] * 700 + [3] * 700, list(range(400, 0, -1))]
+    for text in texts:
         text = np.array([*text, 0])
-        assert suffix_array(text, 4).tolist() == sorted(range(len(text)), key=lambda i: text[i:].tolist())
+        rows = text.tolist()
+        array = suffix_array(text, int(text.max()) + 1)
+        assert array.tolist() == sorted(range(len(rows)), key=lambda i: rows[i:])
+        shared = common_prefixes(text, array)
+        assert shared[array].tolist() == [0, *(common(rows[a:], rows[b:]) for a, b in zip(array, array[1:]))]
 
 
 def brute(rows):
-    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0, (rows[k][1] or "").encode()))
+    texts = [(t or "").encode() for _, t in rows]
+    order = sorted(range(len(rows)), key=lambda k: (-(1 << 63) if rows[k][0] is None else rows[k][0], xxhash.xxh64_intdigest(texts[k], 42) % S.BUCKETS, texts[k], rows[k][0] is not None))
     seen, out = set(), []
     for k in order:
         data = (rows[k][1] or "").encode()
@@ -63,6 +74,23 @@ def test_equals_brute_force_with_many_arrays_and_oversize_seeds(frame):
     assert sorted(map(tuple, got), key=repr) == sorted(brute(rows), key=repr)
 
 
+def test_equals_brute_force_with_hot_seeds_and_little_memory(frame, monkeypatch):
+    monkeypatch.setattr(S, "HOT_SHARE", 1 << 40)  # every seed over 1500 bytes is hot
+    monkeypatch.setattr(S, "SEEDS", 50)
+    monkeypatch.setattr(S, "SLICES", 3000)
+    rows = corpus(3, 60) + [(-(1 << 63), corpus(2, 60)[-8][1]), (-(1 << 63), "w" * 300)]
+    got = S.digest(S.remove_repeats(frame(rows), array=2000, shard=1500)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(brute(rows), key=repr)
+
+
+def test_an_id_of_very_many_rows_is_dealt_out(frame, monkeypatch):
+    monkeypatch.setattr(S, "HOT_SHARE", 3)
+    shared = "".join(random.Random(5).choice("abcdef ") for _ in range(400))
+    rows = [(None, shared + f"{k}" * 60) for k in range(40)] + [(4, "x" + shared)]
+    got = S.digest(S.remove_repeats(frame(rows))).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(brute(rows), key=repr)
+
+
 def test_seeds_cover_each_string_once(monkeypatch):
     monkeypatch.setattr(S, "TOGETHER", 512)
     texts = [(t or "").encode() for _, t in corpus(4, 40)]
@@ -78,7 +106,7 @@ def test_oversize_seed_gives_single_strings():
     shared = "".join(random.Random(3).choice("abcdef") for _ in range(110)).encode()
     rows = sorted((5, shared + bytes([65 + k]) * 10, k, 1, 0) for k in range(8))
     fold = S.Shard(most=300)
-    out = [x for h, part, i, rep, a in rows for x in fold.take(h, part, (i, rep, a))] + list(fold.close()) + list(fold.sort())
+    out = [x for h, part, i, rep, a in rows for x in fold.take(h, part, (i, 0, rep), a)] + list(fold.close()) + list(fold.sort())
     assert all(s is not None for *_, s in out)
     assert len(out) == sum(len(p) - 99 for _, p, *_ in rows)
 
