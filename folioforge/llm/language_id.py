@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of a window, windows of a text in the training sample, and labelled documents in it at most.
-WINDOW, SAMPLE_WINDOWS, SAMPLE_DOCUMENTS = 64, 3, 3000
-HIDDEN, EPOCHS, BATCH, RATE, SEED = 12, 8, 128, 0.01, 7
+#: Bytes of a window, windows of a text in the training sample, labelled texts in it at most (in round numbers), and languages learned.
+WINDOW, SAMPLE_WINDOWS, SAMPLE_DOCUMENTS, LANGUAGES = 64, 3, 3000, 200
+HIDDEN, EPOCHS, BATCH, RATE, SEED, RARE = 12, 8, 128, 0.01, 7, 20
 #: Windows labelled together.
 TOGETHER = 4096
 LETTER = re.compile(r"[^\W\d_]")
@@ -117,12 +117,14 @@ class Network:
 
 
 def train(windows: list[tuple[bytes, str]], labels: list[str], seed: int = SEED) -> Network:
-    """A network fitted to (bytes, label) windows with Adam."""
+    """A network fitted to (bytes, label) windows with Adam; windows of a label with few of them count up to RARE times."""
     net, r = Network(labels, seed=seed), np.random.default_rng(seed)
     x, weight = np.full((len(windows), WINDOW), 256, np.int64), np.zeros((len(windows), WINDOW), np.float32)
     for i, (code, _) in enumerate(windows):
         x[i, : len(code)], weight[i, : len(code)] = np.frombuffer(code, np.uint8), 1
     y = np.array([labels.index(label) for _, label in windows])
+    counts = np.bincount(y, minlength=len(labels))
+    weight *= np.minimum(RARE, counts.max() / np.maximum(counts, 1))[y][:, None].astype(np.float32)
     params = [net.W, net.U, net.V, net.b]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for epoch in range(EPOCHS):
@@ -141,15 +143,42 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
+def quotas(counts: dict[str, int], documents: int) -> dict[str, int]:
+    """How many texts of each language to draw: an even part, and what languages with fewer leave is shared by the others."""
+    out, left = {}, documents
+    for k, (label, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[label] = min(n, max(1, left // (len(counts) - k)))
+        left -= out[label]
+    return out
+
+
 def training_windows(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> list[tuple[bytes, str]]:
-    """Windows of at most `documents` labelled documents that are not held out, those with the least hash of text and id; they are
-    cut out before anything is gathered, at places spread over the whole text."""
+    """Windows of about `documents` different labelled texts that are not held out, as many of each language as there are.
+
+    A text is drawn if its hash lies under its language's threshold, which follows from how many different texts that has; so
+    what is gathered is bounded before it leaves the executors, copies count once, and a rare language is drawn whole. Windows are
+    cut out at places spread over the whole text. Of more than LANGUAGES languages the most frequent are learned.
+    """
     size = F.char_length("text")
-    cuts = [F.substring(F.col("text"), (F.pmod(F.xxhash64("text", F.lit(k)), F.greatest(size - WINDOW + 1, F.lit(1))) + 1).cast("int"), F.lit(WINDOW)) for k in range(SAMPLE_WINDOWS)]
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    picked = known.select(F.xxhash64("doc_id", F.lit(SEED)).alias("h"), "lang", F.array_distinct(F.array(*cuts)).alias("cuts"))
-    rows = picked.orderBy("h", "lang", "cuts").limit(documents).collect()
-    return [(c.encode()[:WINDOW], r.lang) for r in rows for c in r.cuts if LETTER.search(c)]
+    places = [F.pmod(F.xxhash64("text", F.lit(k)), F.greatest(size - WINDOW + 1, F.lit(1))) + 1 for k in range(SAMPLE_WINDOWS)]
+    cuts = F.array_distinct(F.array(*[F.substring(F.col("text"), p.cast("int"), F.lit(WINDOW)) for p in places]))
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).withColumn("h", F.xxhash64("text", F.lit(SEED)))
+    found = known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = {r.lang: r.n for r in found if r.n}
+    wanted = quotas(counts, documents)
+    # a fifth and 20 more than wanted, as both the counts and the draws scatter; a threshold of all is one that draws all
+    share = {label: min(1.0, (1.2 * wanted[label] + 20) / n) for label, n in counts.items()}
+    rows = [(label, -(1 << 63) + min(int(p * (1 << 64)), (1 << 64) - 1)) for label, p in share.items()]
+    limits = docs.sparkSession.createDataFrame(rows, "lang string, most long")
+    drawn = known.join(F.broadcast(limits), "lang").filter(F.col("h") <= F.col("most")).select("h", "lang", cuts.alias("cuts"))
+    once = drawn.groupBy("h", "lang").agg(F.min("cuts").alias("cuts")).collect()
+    taken: dict[str, int] = {}
+    out = []
+    for r in sorted(once):
+        taken[r.lang] = taken.get(r.lang, 0) + 1
+        if taken[r.lang] <= wanted[r.lang]:
+            out += [(c.encode()[:WINDOW], r.lang) for c in r.cuts if LETTER.search(c)]
+    return out
 
 
 def fit(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> Network | None:

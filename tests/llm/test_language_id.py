@@ -46,3 +46,22 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert {x.lang_pred for x in out if x.doc_id == 1003} == {"zz"} and all(0 <= x.score <= 1 for x in out)
     empty = docs.limit(0)
     assert language_id.identify(empty, language_id.fit(empty)).count() == 0
+
+
+def test_a_rare_language_is_learned_from_a_bounded_sample(spark):
+    r = random.Random(5)
+    rows = [(i, text(r, "xx" if i % 2 else "yy"), "xx" if i % 2 else "yy") for i in range(1500)]
+    rows += [(2000 + i, text(r, "zz"), "zz") for i in range(15)] + [(5000 + i, rows[1][1], "xx") for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    windows = language_id.training_windows(docs, 300)
+    assert len(windows) <= 3 * 300 and windows == language_id.training_windows(docs.repartition(3), 300)
+    assert {label for _, label in windows} == set(WORDS)
+    network = language_id.fit(docs, 300)
+    out = {x.doc_id: x.lang_pred for x in language_id.identify(docs, network).collect() if x.held_out}
+    assert all(out[i] == "zz" for i in out if 2000 <= i < 2015) and any(2000 <= i < 2015 for i in out)
+    assert sum(out[i] == ("xx" if i % 2 else "yy") for i in out if i < 1500) >= 0.97 * sum(i < 1500 for i in out)
+
+
+def test_quotas_share_out_what_rare_languages_leave():
+    assert language_id.quotas({"a": 5, "b": 1000, "c": 1000}, 300) == {"a": 5, "b": 147, "c": 148}
+    assert language_id.quotas({}, 10) == {} and language_id.quotas({"a": 3}, 10) == {"a": 3}
