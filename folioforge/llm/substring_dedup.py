@@ -244,42 +244,48 @@ class Met:
         return False
 
 
-FOUND = "k long, h long, id long, bucket int, rep int, first long, last long, kind int"
+FOUND = "k long, id long, at long, h long, bucket int, rep int, kind int"
 
 
 def find_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of FOUND. k: what a row is dealt out by; the seed for SINGLE and WITNESS rows, which are counted, else a hash of its place."""
+    """Rows of FOUND, few and small columns that compress well.
+
+    k: what a row is dealt out by; the seed for SINGLE and WITNESS rows, which are counted, else a hash of its place. at: first
+    start x 128 + starts after it. h: for KNOWN rows the seed, for REPEAT rows the last start.
+    """
     met = Met()
     for batch in batches:
         ids, buckets, reps = (batch.column(c).to_numpy() for c in PLACE)
         texts = batch.column("data").to_pylist()
         for h, i, first, last in seeds(texts):
             repeated, new = met.repeated(h)
-            out, run = [], None  # (seed or None, text's number, first, last, kind)
+            out, run = [], None  # [seed or last start, text's number, first, starts after it, kind]
             for n in np.flatnonzero(repeated).tolist():
                 k, a, b = int(i[n]), int(first[n]), int(last[n])
                 if not met.before(texts[k][a : b + LENGTH], (int(ids[k]), int(buckets[k]), int(reps[k]), a)):
-                    out.append((int(h[n]), k, a, b, KNOWN))
-                elif run and run[1] == k and run[3] + 1 == a:
-                    run[3] = b
+                    out.append((int(h[n]), k, a, b - a, KNOWN))
+                elif run and run[1] == k and run[0] + 1 == a:
+                    run[0] = b
                 else:
-                    run = [None, k, a, b, REPEAT]
+                    run = [b, k, a, 0, REPEAT]
                     out.append(run)
-            yield found_batch(h[~repeated], None, i[~repeated], first[~repeated], last[~repeated], np.full(int((~repeated).sum()), SINGLE), ids, buckets, reps)
+            one = ~repeated
+            yield found_batch(h[one], None, i[one], first[one], last[one] - first[one], np.full(int(one.sum()), SINGLE), ids, buckets, reps)
             if len(new):
                 nothing = np.zeros(len(new), np.int64)
                 yield found_batch(new, None, nothing, nothing, nothing, nothing + WITNESS, ids, buckets, reps)
             if out:
-                own, k, a, b, kind = zip(*out)
+                own, k, a, more, kind = zip(*out)
                 k, a = np.array(k), np.array(a)
                 dealt = ((ids[k].view(np.uint64) * MIX[0]) ^ (a.astype(np.uint64) * MIX[1])).view(np.int64)
-                yield found_batch(dealt, pa.array(own, pa.int64()), k, a, np.array(b), np.array(kind), ids, buckets, reps)
+                yield found_batch(dealt, np.array(own), k, a, np.array(more), np.array(kind), ids, buckets, reps)
 
 
-def found_batch(k, h, i, first, last, kind, ids, buckets, reps) -> pa.RecordBatch:
-    arrays = [k, ids[i], buckets[i], reps[i], first.astype(np.int64), last.astype(np.int64), kind.astype(np.int32)]
-    made = [pa.array(a) for a in arrays]
-    return pa.RecordBatch.from_arrays([made[0], pa.nulls(len(k), pa.int64()) if h is None else h, *made[1:]], ["k", "h", *PLACE, "first", "last", "kind"])
+def found_batch(k, h, i, first, more, kind, ids, buckets, reps) -> pa.RecordBatch:
+    at = first.astype(np.int64) << 7 | more
+    own = pa.nulls(len(k), pa.int64()) if h is None else pa.array(h)
+    arrays = [pa.array(k), pa.array(ids[i]), pa.array(at), own, pa.array(buckets[i]), pa.array(reps[i]), pa.array(kind.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(arrays, ["k", "id", "at", "h", "bucket", "rep", "kind"])
 
 
 def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,9 +357,13 @@ def remove_repeats(docs: DataFrame, array: int = ARRAY, shard: int = SHARD) -> D
     found = at_row(dealt.filter(F.octet_length("data") >= LENGTH), firsts).select(*PLACE, "data").mapInArrow(find_seeds, FOUND)
     counted = found.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("k")))
     twice = counted.filter((F.col("kind") < SINGLE) | ((F.col("kind") == SINGLE) & (F.col("_n") > 1)))
-    twice = twice.select(F.when(F.col("kind") != REPEAT, F.coalesce("h", "k")).alias("h"), *PLACE, "first", "last", "kind")
+    first = F.shiftright("at", 7)
+    last = F.when(F.col("kind") == REPEAT, F.col("h")).otherwise(first + F.col("at").bitwiseAND(127))
+    twice = twice.select(F.when(F.col("kind") != REPEAT, F.coalesce("h", "k")).alias("h"), *PLACE, first.alias("first"), last.alias("last"), "kind")
     # bytes of a seed's slices; at most 5 x HOT_SHARE seeds have more than that part of all, as slices overlap less than 5-fold
-    long = F.sum(F.col("last") - F.col("first") + LENGTH)
+    # (asking for the place, which is never null, keeps the columns of the exchange below the same as elsewhere, so that it is reused)
+    there = F.col("id").isNotNull() & F.col("bucket").isNotNull() & F.col("rep").isNotNull()
+    long = F.sum(F.when(there, F.col("last") - F.col("first") + LENGTH))
     hot = twice.filter(F.col("kind") != REPEAT).groupBy("h").agg(long.alias("_n")).filter(F.col("_n") > max(shard, (size or 0) // HOT_SHARE))
     routed = twice.join(F.broadcast(hot.select("h", F.lit(True).alias("_hot"))), "h", "left")
     # a slice, or of a hot seed its strings, each with its own first start
