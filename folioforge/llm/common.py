@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import reduce, wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +18,8 @@ HOT_SHARE = 1000
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder path below the shared folder the cluster names in spark.checkpoint.dir; a local one only where none is named."""
+    """A new folder path below the shared folder the cluster names in spark.checkpoint.dir; a local one only where none is named and
+    Spark runs on this machine alone."""
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
@@ -26,6 +30,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         held = context._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get().rstrip("/")
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="folioforge-")
         context.setCheckpointDir(root)
     elif not context._jsc.sc().getCheckpointDir().isDefined():
@@ -39,6 +45,35 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task that gives its free memory back to the system at its end: workers live on, and later stages need theirs on top."""
+
+    @wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return task
+
+
+def strings(column: pa.Array) -> Iterator[str | None]:
+    """A column's texts, one at a time: a batch of long texts is not held twice."""
+    return (x.as_py() for x in column)
+
+
+def quoted(name: str) -> Column:
+    """The column of that very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(docs: DataFrame) -> Column:
+    """All of a table's columns as one, `row`: beside it an operator's own columns clash with none of them. select("row.*") unpacks."""
+    return F.struct(*[quoted(c) for c in docs.columns]).alias("row")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone. A text with as many bytes as characters is plain ASCII, where lower() does just that, and faster."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

@@ -9,15 +9,15 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct pieces a worker keeps, and as many pre-tokens; at about 150 bytes each, some 200 MB. A full memo takes no more.
-MEMO_PIECES = 600_000
+#: Distinct pieces a worker keeps, and as many pre-tokens; at about 150 bytes each, some 70 MB. A full memo takes no more.
+MEMO_PIECES = 200_000
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Texts with another character than these are left to the library as a whole. These need no normal form, each folds to one character.
 OTHER = re.compile(f"[^ \\t\\n\\r!-~{LETTERS}]")
@@ -27,7 +27,7 @@ UNEVEN = re.compile("  |[\\n\\t\\r] |[\\t\\r]")
 WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+")
 PRE_TOKENS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
 #: Characters looked at together.
-TOGETHER = 4_000_000
+TOGETHER = 1_000_000
 
 
 def load(path: str):
@@ -72,7 +72,7 @@ class Memo(dict):
         return made
 
 
-def together(texts: list[str | None]) -> Iterator[list[str | None]]:
+def together(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
     """The texts in order, in lists of about TOGETHER characters."""
     part, n = [], 0
     for text in texts:
@@ -120,7 +120,7 @@ class WordEncoder(Tokens):
     def word(self, word: str) -> bytes:
         return array("I", [t.id for t in self.merge(word if word.isascii() else spelled(word))]).tobytes()
 
-    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+    def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """For each text in order its ids, unsigned 32-bit; none for null."""
         for part in together(texts):
             odd = {i: np.array(self.ids(t), "<u4") for i, t in enumerate(part) if t and self.odd(t)}
@@ -140,21 +140,14 @@ class TokenCounter(Tokens):
     """Numbers of tokens of texts for a byte-level tokenizer whose pre-tokens start with at most one space or are white space.
 
     The whole-token shortcut: every string of the vocabulary that the library, asked for it alone, encodes as that one token,
-    is proven to count 1. A pre-token that is such a string is counted without merging; the library merges the others, and a
-    memo keeps the counts. A pre-token never runs from a non-space into a space, so a text can be cut before each space that
-    follows a non-space.
+    is proven to count 1 (`proven`, before any text is read). A pre-token that is such a string is counted without merging; the
+    library merges the others, and a memo keeps the counts. A pre-token never runs from a non-space into a space, so a text can
+    be cut before each space that follows a non-space.
     """
 
-    def __init__(self, path: str, limit: int = MEMO_PIECES):
+    def __init__(self, path: str, whole: frozenset[str], limit: int = MEMO_PIECES):
         super().__init__(path, limit)
-        self.whole, self.tokens, self.firsts = self.proven(), Memo(self.token, limit), Memo(lambda x: len(self.ids(x)), limit // 4)
-
-    def proven(self) -> set[str]:
-        """Vocabulary strings, as texts, that alone encode as one token."""
-        ids = [i for i in self.library.get_vocab().values() if i not in self.added]
-        texts = self.library.decode_batch([[i] for i in ids], skip_special_tokens=False)
-        coded = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return {t for i, t, x in zip(ids, texts, coded) if x.ids == [i]}
+        self.whole, self.tokens, self.firsts = whole, Memo(self.token, limit), Memo(lambda x: len(self.ids(x)), limit // 4)
 
     def piece(self, piece: str) -> int:
         """Tokens of a piece with a space before it."""
@@ -163,7 +156,7 @@ class TokenCounter(Tokens):
     def token(self, token: str) -> int:
         return 1 if token in self.whole else len(self.merge(spelled(token)))
 
-    def count(self, texts: list[str | None]) -> Iterator[int]:
+    def count(self, texts: Iterable[str | None]) -> Iterator[int]:
         """For each text in order its number of tokens; 0 for null."""
         for part in together(texts):
             slow = {i: len(self.ids(t)) if self.odd(t) else sum(map(self.tokens.__getitem__, PRE_TOKENS.findall(t))) for i, t in enumerate(part) if t and (UNEVEN.search(t) or self.odd(t))}
@@ -179,13 +172,28 @@ class TokenCounter(Tokens):
                 yield slow[i] if i in slow else int(sums[i])
 
 
+@lru_cache(2)
+def proven(path: str) -> frozenset[str]:
+    """Vocabulary strings, as texts, that alone encode as one token; at most as many as the vocabulary has."""
+    library = load(path)
+    added = library.get_added_tokens_decoder()
+    ids = [i for i in library.get_vocab().values() if i not in added]
+    texts = library.decode_batch([[i] for i in ids], skip_special_tokens=False)
+    coded = library.encode_batch_fast(texts, add_special_tokens=False)
+    return frozenset(t for i, t, x in zip(ids, texts, coded) if x.ids == [i])
+
+
 @lru_cache(2)
 def word_encoder(path: str) -> WordEncoder:
     """One for each Python worker."""
     return WordEncoder(path)
 
 
-@lru_cache(2)
-def token_counter(path: str) -> TokenCounter:
+_counters: dict[str, TokenCounter] = {}
+
+
+def token_counter(path: str, whole: frozenset[str]) -> TokenCounter:
     """One for each Python worker."""
-    return TokenCounter(path)
+    if path not in _counters:
+        _counters[path] = TokenCounter(path, whole)
+    return _counters[path]

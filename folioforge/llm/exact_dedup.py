@@ -2,7 +2,8 @@
 
 Texts are cut into blocks of BLOCK characters. Equal blocks get one integer name, different blocks different names; then each
 two adjacent names of a document form a pair and the pairs are named alike, until every document has one name. No name comes
-from a hash, so no two different texts can share one. Names depend on the rows alone, not on partitions or retries.
+from a hash, so documents of different ids and texts never share one; only rows of one id are first merged by the SHA-256 of
+their texts. Names depend on the rows alone, not on partitions or retries.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import ascii_lower, cut, lookup
+from folioforge.llm.common import ascii_lower, cut, lookup, packed, quoted
 
 #: Characters of a block. At most HOT_SHARE hot blocks are broadcast: 32 MB if all their characters take 4 bytes.
 BLOCK = 8192
@@ -22,14 +23,25 @@ def normalised() -> Column:
     return ascii_lower(F.coalesce(F.col("text"), F.lit("")))
 
 
+def row_key() -> Column:
+    """Stands for a row by id and text: rows share it if both are equal (texts after lower-casing A-Z)."""
+    return F.unhex(F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), F.sha2(normalised(), 256)), 256))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text in lower case, its SHA-256, and `key`, which stands for a document: rows share it if id and text are equal."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("norm")).withColumn("text_sha256", F.sha2("norm", 256))
-    return rows.withColumn("key", row_key())
+    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("norm"), row_key().alias("key"))
+    return few.withColumn("text_sha256", F.sha2("norm", 256))
 
 
-def row_key() -> Column:
-    return F.unhex(F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text_sha256"), 256))
+def keep_rows(docs: DataFrame, stays: DataFrame) -> DataFrame:
+    """The rows of docs whose row_key is in stays (key), all columns; of rows that repeat id and text the least by its text as it
+    stands and the JSON of its other columns. Such rows collapse before they are shuffled, so a row repeated very often is one a task."""
+    others = [quoted(c) for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.to_json(F.struct(*others)) if others else F.lit("")
+    rows = docs.select(packed(docs), row_key().alias("key"), F.struct(F.col("text"), rest.alias("rest")).alias("tie"))
+    once = rows.groupBy("key").agg(F.min_by("row", "tie").alias("row"))
+    return once.join(stays.select("key"), "key", "left_semi").select("row.*")
 
 
 def ranked(distinct: DataFrame, columns: list[str]) -> DataFrame:
@@ -94,18 +106,12 @@ def find_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, all columns: of equal texts the one with the largest doc_id, of repeated rows one."""
-    columns = docs.columns
-    stays = groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("key").alias("_key"))
-    sha = F.sha2(normalised(), 256)
-    key = F.unhex(F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), sha), 256))
-    found = docs.withColumn("_key", key).join(stays, "_key", "left_semi")
-    first = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(*columns)))
-    return found.withColumn("_row", first).filter(F.col("_row") == 1).select(*columns)
+    """The rows of docs that stay, all columns: of equal texts the one with the largest doc_id, of repeated rows one (see keep_rows)."""
+    return keep_rows(docs, groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))))
 
 
 SQL = """
-SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+ row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
 FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
-WINDOW w AS (PARTITION BY t)
 """

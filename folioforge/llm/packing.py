@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import shared_dir
+from folioforge.llm.common import shared_dir, strings, trimmed
 from folioforge.llm.encoding import load, word_encoder
 
 SHARD = 1 << 19
@@ -140,11 +140,12 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int) -> tuple[DataFram
     """doc_id and ids (little-endian, of the type named) of each row, end_id last, read from the shared folder they are written to."""
     kind = "<u2" if max(load(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = word_encoder(tokenizer_path), np.array([end_id], kind)
         for batch in batches:
             low, rows, size = 0, [], 0
-            for ids in encoder.encode(batch.column("text").to_pylist()):
+            for ids in encoder.encode(strings(batch.column("text"))):
                 rows.append(np.concatenate([ids.astype(kind), end]).tobytes())
                 size += len(rows[-1])
                 if size >= 4 * FLUSH:
@@ -173,6 +174,7 @@ def parts(column: pa.Array, kind: str) -> Iterator[list[np.ndarray]]:
 def counted(tokens: DataFrame, kind: str) -> Corpus:
     """The corpus's counts: partial sums of each task, a row for each term at most, summed up by Spark. Terms are below 2^32."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, documents, total = np.zeros(0, np.int64), 0, 0
         for batch in batches:
@@ -213,6 +215,7 @@ def dealt(tokens: DataFrame, kind: str, corpus: Corpus) -> DataFrame:
     """doc_id and ids, in ranges of the documents' keys; partitions and the rows in them stand in the order of these."""
     names = [f"t{k}" for k in range(TOP)]
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             low = 0
@@ -238,6 +241,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = 2048)
     tokens, kind = encoded(docs, tokenizer_path, end_id)
     corpus = counted(tokens, kind)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(window, TaskContext.get().partitionId() << 32, corpus)
         held, size = [], 0

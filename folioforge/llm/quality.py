@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -11,12 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.llm.common import quoted, strings, trimmed
+
 SYMBOLS = str.maketrans("", "", "#*$%&|<>")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BLANKS = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Characters hashed together.
-TOGETHER = 2_000_000
+TOGETHER = 500_000
 
 
 @dataclass(frozen=True)
@@ -117,7 +119,7 @@ def verdict(m: dict[str, np.ndarray], rules: Rules) -> tuple[np.ndarray, np.ndar
     return base_failed, ~base_failed & ~bad
 
 
-def parts(texts: list[str | None]) -> Iterator[list[str | None]]:
+def parts(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
     part, n = [], 0
     for text in texts:
         part.append(text)
@@ -140,10 +142,11 @@ def quality_report(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """
     extra = ("n_lines", "dup_line_chars", *(f"repeat_chars_{n}" for n in sorted({rules.base_window, *rules.coverage})))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for part in parts(batch.column("text").to_pylist()):
+            for part in parts(strings(batch.column("text"))):
                 m = measure(part, rules)
                 base, kept = verdict(m, rules)
                 columns = [batch.column("doc_id").slice(at, len(part)), *[pa.array(m[c], pa.int64()) for c in REPORT], pa.array(base), pa.array(kept), *[pa.array(m[c], pa.int64()) for c in extra]]
@@ -157,10 +160,13 @@ def quality_report(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of docs, all columns, whose text passes the rules; null texts do not."""
 
-    @F.pandas_udf("boolean")
-    def passes(texts):
-        import pandas as pd
+    @F.arrow_udf("boolean")
+    def passes(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        @trimmed
+        def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for column in columns:
+                yield pa.array([bool(k) for part in parts(strings(column)) for k in verdict(measure(part, rules), rules)[1]], pa.bool_())
 
-        return pd.Series([k for part in parts([t if isinstance(t, str) else None for t in texts]) for k in verdict(measure(part, rules), rules)[1]], dtype=bool)
+        return run(texts)
 
-    return docs.filter(passes("text"))
+    return docs.filter(passes(quoted("text")))

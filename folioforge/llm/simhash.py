@@ -13,16 +13,16 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import cut, lookup
+from folioforge.llm.common import HOT_SHARE, cut, lookup, strings
 from folioforge.llm.components import components
-from folioforge.llm.exact_dedup import normalised
+from folioforge.llm.exact_dedup import keep_rows, row_key
 
 RADIUS = 3
-#: Shingles whose bits are counted together; members of an anchor above which it is split further.
-TOGETHER, DENSE = 1 << 16, 512
+#: Shingles whose bits are counted together; members compared in one block; members of an anchor that goes to several tasks.
+TOGETHER, DENSE, SPLIT = 1 << 16, 512, 1 << 16
 
 
 def fingerprint(text: str | None, words: int) -> int:
@@ -44,7 +44,7 @@ def fingerprints(docs: DataFrame, words: int = 3, also: Sequence[str] = ()) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t.as_py(), words) for t in batch.column("text")]
+            fps = [fingerprint(t, words) for t in strings(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64()), *[batch.column(c) for c in also]], ["doc_id", "fp", *also])
 
     schema = ", ".join(["doc_id long", "fp long", *[f"{c} {docs.schema[c].dataType.simpleString()}" for c in also]])
@@ -129,8 +129,8 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, n
     yield nodes[use], nodes[root[use]]
 
 
-def compare(anchor: np.ndarray, fps: np.ndarray, home: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links among the members of each anchor; the rows stand in anchor order."""
+def compare(anchor: np.ndarray, fps: np.ndarray, home: np.ndarray, split: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links among the members of each anchor; the rows stand in anchor order. split: its members are a part of an anchor."""
     edges = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     sizes = np.diff(np.append(edges, len(anchor)))
     some = np.logical_or.reduceat(home, edges) & (sizes > 1)
@@ -149,7 +149,7 @@ def compare(anchor: np.ndarray, fps: np.ndarray, home: np.ndarray) -> Iterator[t
     for g in np.flatnonzero(some & ~small):
         part = slice(edges[g], edges[g] + sizes[g])
         f, h = fps[part], home[part]
-        if len(f) <= 4 * DENSE:
+        if len(f) <= 4 * DENSE or split[edges[g]]:
             for x, y in close(f, h):
                 yield f[x], f[y]
             continue
@@ -164,28 +164,42 @@ def compare(anchor: np.ndarray, fps: np.ndarray, home: np.ndarray) -> Iterator[t
 
 
 def links(nodes: DataFrame) -> DataFrame:
-    """u, v: links between different fps, enough of them to connect all that link; not all pairs of a dense group."""
+    """u, v: links between different fps, enough of them to connect all that link; not all pairs of a dense group.
+
+    An anchor with over SPLIT members, or more than its part of all where that is more, is dealt out by the bytes of the other
+    half: members that link agree in one of those four, so each goes to four tasks of some 1024.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list[list[np.ndarray]] = []  # rows of anchors that may go on
         for batch in batches:
-            now = [batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False)]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now)]
+            now = [batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), *(batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))]
             if not len(now[0]):
                 continue
             ends = int(np.searchsorted(now[0], now[0][-1], "left"))  # the last anchor may go on
-            held = [x[ends:] for x in now]
-            yield from batches_of(compare(*[x[:ends] for x in now])) if ends else ()
-        if held is not None:
-            yield from batches_of(compare(*held))
+            if held and held[0][0][-1] != now[0][-1]:
+                done = [np.concatenate(x) for x in zip(*held, [x[:ends] for x in now])]
+                yield from batches_of(compare(*done))
+                held = []
+            elif ends:
+                yield from batches_of(compare(*[x[:ends] for x in now]))
+            held.append([x[ends:] for x in now])
+        if held:
+            yield from batches_of(compare(*[np.concatenate(x) for x in zip(*held)]))
 
     def batches_of(found):
         for x, y in found:
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["u", "v"])
 
-    dealt = replicas(nodes).repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(run, "u long, v long")
+    # a fp has at most 2 x 34 replicas, so at most 34 x HOT_SHARE anchors have more members than this
+    most = max(SPLIT, 2 * nodes.count() // HOT_SHARE)
+    every = replicas(nodes)
+    dense = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("anchor", F.lit(True).alias("dense"))
+    marked = every.join(F.broadcast(dense), "anchor", "left")
+    other = [F.when(F.shiftright("anchor", 32) > 0, F.shiftrightunsigned("fp", 8 * b)).otherwise(F.shiftrightunsigned("fp", 32 + 8 * b)).bitwiseAND(255) for b in range(4)]
+    keys = F.when(F.col("dense"), F.array(*[F.xxhash64("anchor", F.lit(b), x) for b, x in enumerate(other)])).otherwise(F.array("anchor"))
+    dealt = marked.select(F.explode(keys).alias("key"), "fp", "home", F.coalesce("dense", F.lit(False)).alias("split"))
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
 
 
 def find_near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -208,26 +222,13 @@ def find_near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
 
 
-def row_key() -> Column:
-    """Stands for a row by id and text: rows share it if both are equal (texts after lower-casing A-Z)."""
-    return F.unhex(F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), F.sha2(normalised(), 256)), 256))
-
-
-def keep_rows(docs: DataFrame, stays: DataFrame) -> DataFrame:
-    """The rows of docs whose row_key is in stays (_key), all columns; of rows that repeat id and text one."""
-    columns = docs.columns
-    found = docs.withColumn("_key", row_key()).join(stays, "_key", "left_semi")
-    first = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(*columns)))
-    return found.withColumn("_row", first).filter(F.col("_row") == 1).select(*columns)
-
-
 def drop_near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     """The rows of docs that stay, all columns: of each component exactly one, the one with the least doc_id that is not null.
 
     Rows go by id and text, so that null and repeated ids of different texts are kept apart.
     """
-    rows = fingerprints(docs.withColumn("_key", row_key()), words, ["_key"])
-    nodes = cut(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("first")))
+    rows = fingerprints(docs.select("doc_id", "text", row_key().alias("key")), words, ["key"])
+    nodes = cut(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")))
     found = components(links(nodes)).withColumnRenamed("node", "fp")
     firsts = nodes.join(found, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    return keep_rows(docs, firsts.select("first._key"))
+    return keep_rows(docs, firsts.select("first.key"))

@@ -2,7 +2,9 @@ import hashlib
 import random
 import string
 
-from folioforge.llm import exact_dedup
+import pytest
+
+from folioforge.llm import common, exact_dedup
 
 
 def brute(rows):
@@ -25,9 +27,10 @@ def order(rows):
     return sorted(map(tuple, rows), key=repr)
 
 
-def test_equals_brute_force_with_small_blocks(frame, monkeypatch):
+@pytest.mark.parametrize("share", [3, 20, 1000])  # with few hot keys, and with all that repeat
+def test_equals_brute_force_with_small_blocks(frame, monkeypatch, share):
     monkeypatch.setattr(exact_dedup, "BLOCK", 4)
-    monkeypatch.setattr(exact_dedup, "HOT_SHARE", 3, raising=False)
+    monkeypatch.setattr(common, "HOT_SHARE", share)
     r = random.Random(2)
     texts = ["".join(r.choice("abAÉ\n") for _ in range(r.randint(0, 9))) for _ in range(60)] + ["x" * 40, "X" * 40, "x" * 41, "É" * 33, None, "", None]
     rows = [(r.choice([None, *range(80)]), r.choice(texts)) for _ in range(200)]
