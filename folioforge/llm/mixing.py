@@ -1,74 +1,110 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame operations alone.
 
 Documents fall into cells of source x language x topic. The cells' token weights are raked: scaled to the target share of each
-source, then of each language, then of each topic, ROUNDS times over. A document of a cell is then kept with probability
-min(1, scale x target tokens / tokens of the cell), the scale fitted so that the expected tokens meet the budget.
+source, then of each language, then of each topic, until no factor differs from 1 by TOLERANCE or more, ROUNDS times at most. A
+document of a cell is then kept with probability min(1, scale x target tokens / tokens of the cell), the scale fitted so that the
+expected tokens meet the budget.
+
+A topic is a stem: the first STEM letters of words of CONTENT letters or more. The TOPICS stems that most documents have, those
+left out that more than WIDEST of all have, are the corpus's topics, and a document's topic is the one it says most often.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import cut, lookup
+from folioforge.llm.common import cut, lookup, packed, quoted
 
 #: Marginals and the power of the corpus share that gives a value's target share: 1 keeps the mixture, 0 makes it even.
 TEMPER = {"source": 0.7, "lang": 0.7, "topic": 0.8}
-ROUNDS, SCALINGS, BUDGET = 12, 6, 0.75
-#: Cells in a partition; with one partition the raking needs no shuffle.
-CELLS = 100_000
-NONE = "(none)"
+ROUNDS, TOLERANCE, SCALINGS, BUDGET = 16, 1e-6, 6, 0.75
+TOPICS, STEM, CONTENT, WIDEST = 16, 5, 7, 0.2
+NONE, OTHER = "(none)", "(other)"
 WORDS = r"[^\x20\x09-\x0D]+"
+LONG_WORDS = f"[a-zà-öø-ÿ]{{{CONTENT},}}"
+
+
+def stems() -> Column:
+    """The stems of a text's long words, in order."""
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(LONG_WORDS), F.lit(0))
+    return F.transform(words, lambda w: F.substring(w, 1, STEM))
+
+
+def find_topics(docs: DataFrame) -> list[str]:
+    """The corpus's topics, the most widespread first: TOPICS rows at most, counted over all documents."""
+    said = docs.select(F.explode(F.array_distinct(stems())).alias("stem")).groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
+    least = said.filter((F.col("n") > 1) & (F.col("n") <= WIDEST * docs.count()))
+    return [r.stem for r in least.orderBy(F.desc("n"), "stem").limit(TOPICS).collect()]
+
 
+def says(topic: str, place: int, found: Column) -> Column:
+    return F.struct(F.size(F.filter(found, lambda x: x == topic)).alias("n"), F.lit(-place).alias("place"), F.lit(topic).alias("topic"))
 
-def topic() -> Column:
-    """A coarse topic of a text: licensing terms, figures, prose of several lines, or a fragment; null texts are fragments."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return F.when(F.contains(F.lower(text), F.lit("licen")), "licence").when(text.rlike("[0-9]"), "figures").when(F.contains(text, F.lit("\n")), "prose").otherwise("fragment")
 
+def topic(topics: list[str]) -> Column:
+    """The topic a text says most often, of equals the most widespread; OTHER for a text that says none."""
+    if not topics:
+        return F.lit(OTHER)
+    most = lambda found: F.array_max(F.array(*[says(t, k, found) for k, t in enumerate(topics)]))
+    best = F.transform(F.array(F.filter(stems(), lambda x: x.isin(topics))), most)[0]
+    return F.when(best["n"] > 0, best["topic"]).otherwise(OTHER)
 
-def described(docs: DataFrame) -> DataFrame:
-    """docs with the columns _source, _lang, _topic and _tokens (words)."""
-    tokens = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORDS)).cast("long")
-    named = {"_source": F.coalesce(F.col("source").cast("string"), F.lit(NONE)), "_lang": F.coalesce(F.col("lang").cast("string"), F.lit(NONE))}
-    return docs.withColumns(named | {"_topic": topic(), "_tokens": tokens})
+
+def described(docs: DataFrame, topics: list[str], *keep: Column) -> DataFrame:
+    """source, lang, topic, tokens (words) and draw of each row, and the columns in keep."""
+    name = lambda c: F.coalesce(quoted(c).cast("string"), F.lit(NONE)).alias(c)
+    tokens = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORDS)).cast("long").alias("tokens")
+    return docs.select(name("source"), name("lang"), topic(topics).alias("topic"), tokens, *keep)
 
 
 def cells_of(rows: DataFrame) -> DataFrame:
-    """_source, _lang, _topic, _n (rows), t (tokens), one row for each cell, in few partitions."""
-    cells = cut(rows.groupBy("_source", "_lang", "_topic").agg(F.count(F.lit(1)).alias("_n"), F.sum("_tokens").alias("t")))
-    return cells.coalesce(max(1, cells.count() // CELLS))
+    """source, lang, topic, n (rows), t (tokens), one row for each cell."""
+    return cut(rows.groupBy("source", "lang", "topic").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t")))
 
 
-def raked(cells: DataFrame, temper: dict[str, float], rounds: int = ROUNDS) -> DataFrame:
-    """cells with w: raked token weights that sum to 1."""
-    total = F.sum("t").over(Window.partitionBy(F.lit(0)))
-    out = cells.withColumn("w", F.col("t") / F.greatest(total, F.lit(1)))
+def targets(cells: DataFrame, temper: dict[str, float]) -> DataFrame:
+    """cells with w, their token weights, and for each marginal its value's target share, t_<marginal>."""
+    total = cells.agg(F.sum("t")).first()[0] or 0
+    out = cells.withColumn("w", F.col("t") / F.lit(float(max(1, total))))
     for name, power in temper.items():
-        share = F.sum("w").over(Window.partitionBy(f"_{name}"))
-        out = out.withColumn(f"_p_{name}", F.when(share > 0, F.pow(share, F.lit(power))).otherwise(0.0))
-        # each value counts once in the sum: its cells share its power in proportion to their weight
-        even = F.sum(F.when(share > 0, F.col(f"_p_{name}") * F.col("w") / share).otherwise(0.0)).over(Window.partitionBy(F.lit(0)))
-        out = out.withColumn(f"_t_{name}", F.when(even > 0, F.col(f"_p_{name}") / even).otherwise(0.0)).drop(f"_p_{name}")
-    for k in range(rounds):
+        shares = out.groupBy(name).agg(F.sum("w").alias("h")).select(name, F.when(F.col("h") > 0, F.pow("h", F.lit(power))).otherwise(0.0).alias("p"))
+        whole = shares.agg(F.sum("p")).first()[0] or 0.0
+        shares = shares.select(name, (F.col("p") / whole if whole > 0 else F.lit(0.0)).alias(f"t_{name}"))
+        out = cut(out.join(shares, name))
+    return out
+
+
+def raked(cells: DataFrame, temper: dict[str, float], rounds: int = ROUNDS) -> DataFrame:
+    """cells with w: raked token weights that sum to 1, and e: how much the last round's factors differed from 1 at most.
+
+    A marginal is a combined aggregate joined back, so no task gets all cells of a value; a round's result is cut off.
+    """
+    out = targets(cells, temper).withColumn("e", F.lit(1.0))
+    for _ in range(rounds):
+        out = out.withColumn("e", F.lit(0.0))
         for name in temper:
-            share = F.sum("w").over(Window.partitionBy(f"_{name}"))
-            out = out.withColumn("w", F.when(share > 0, F.col("w") * F.col(f"_t_{name}") / share).otherwise(0.0))
-        if (k + 1) % ROUNDS == 0 and k + 1 < rounds:
-            out = cut(out)  # a plan of many more steps is too deep to send
+            share = out.groupBy(name).agg(F.sum("w").alias("h"))
+            factor = F.when(F.col("h") > 0, F.col(f"t_{name}") / F.col("h"))
+            out = out.join(share, name).withColumns({"w": F.coalesce(F.col("w") * factor, F.lit(0.0)), "e": F.greatest("e", F.abs(factor - 1))}).drop("h")
+        out = cut(out)
+        if (out.agg(F.max("e")).first()[0] or 0.0) < TOLERANCE:
+            break
     return out
 
 
 def calibrated(cells: DataFrame, budget: float, scalings: int = SCALINGS) -> DataFrame:
     """cells with p: keeping probabilities whose expected tokens meet `budget` of all, no probability over 1."""
-    everything = Window.partitionBy(F.lit(0))
-    out = cells.withColumn("r", F.when(F.col("t") > 0, F.col("w") * F.sum("t").over(everything) / F.col("t")).otherwise(0.0)).withColumn("p", F.least(F.lit(1.0), F.col("r") * budget))
+    total = float(cells.agg(F.sum("t")).first()[0] or 0)
+    r = F.when(F.col("t") > 0, F.col("w") * total / F.col("t")).otherwise(0.0)
+    out, scale = cells.withColumn("r", r), budget
     for _ in range(scalings):
-        full = F.sum(F.when(F.col("p") >= 1, F.col("t")).otherwise(0)).over(everything)
-        part = F.sum(F.when(F.col("p") < 1, F.col("p") * F.col("t")).otherwise(0.0)).over(everything)
-        scale = F.when(part > 0, (F.sum("t").over(everything) * budget - full) / part).otherwise(1.0)
-        out = out.withColumn("p", F.when(F.col("p") >= 1, 1.0).otherwise(F.least(F.lit(1.0), F.col("p") * scale)))
-    return out.withColumn("p", F.when(F.col("t") > 0, F.col("p")).otherwise(1.0))
+        p = F.least(F.lit(1.0), F.col("r") * scale)
+        full, part = out.agg(F.sum(F.when(p >= 1, F.col("t")).otherwise(0)), F.sum(F.when(p < 1, p * F.col("t")).otherwise(0.0))).first()
+        if not part:
+            break
+        scale *= (total * budget - full) / part
+    return out.withColumn("p", F.when(F.col("t") > 0, F.least(F.lit(1.0), F.col("r") * scale)).otherwise(1.0))
 
 
 def draw(seed: int) -> Column:
@@ -77,55 +113,83 @@ def draw(seed: int) -> Column:
     return F.conv(F.substring(of, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def weighted(docs: DataFrame, temper: dict[str, float] = TEMPER, budget: float = BUDGET) -> DataFrame:
-    """docs, all columns, with _source, _lang, _topic, _tokens, _w (its cell's raked weight) and _p (its keeping probability)."""
-    rows = described(docs)
-    cells = cells_of(rows)
-    solved = cut(calibrated(raked(cells, temper), budget).select("_source", "_lang", "_topic", "_n", F.col("w").alias("_w"), F.col("p").alias("_p")))
-    total = int(cells.agg(F.sum("_n")).first()[0] or 0)
-    return lookup(rows, solved, ["_source", "_lang", "_topic"], "_n", total).drop("_n")
+def solved(cells: DataFrame, temper: dict[str, float], budget: float) -> DataFrame:
+    """source, lang, topic, n, w (raked weight), p (keeping probability) of each cell."""
+    return cut(calibrated(raked(cells, temper), budget).select("source", "lang", "topic", "n", "w", "p"))
+
+
+def placed(rows: DataFrame, cells: DataFrame, temper: dict[str, float], budget: float) -> DataFrame:
+    """rows with their cell's w and p."""
+    total = int(cells.agg(F.sum("n")).first()[0] or 0)
+    return lookup(rows, solved(cells, temper, budget), ["source", "lang", "topic"], "n", total)
 
 
 def mix_report(docs: DataFrame, temper: dict[str, float] = TEMPER, budget: float = BUDGET, seed: int = 42) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, cell_weight, probability (both to 6 digits) and sampled, one row for each row of docs.
 
     A null source or language is the value "(none)"; a null or empty text has no tokens, and a cell without tokens is kept whole.
-    Rows with the same doc_id share a draw; all null ids share one. An empty table gives no rows.
+    Rows with the same doc_id share a draw; all null ids share one. An empty table gives no rows; other columns are not read.
     """
     few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang")
-    rows = weighted(few, temper, budget)
-    return rows.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("_w", 6).alias("cell_weight"), F.round("_p", 6).alias("probability"), (draw(seed) < F.col("_p")).alias("sampled"))
+    rows = cut(described(few, find_topics(few), F.col("doc_id"), draw(seed).alias("draw")))
+    out = placed(rows, cells_of(rows), temper, budget)
+    weights = F.round("w", 6).alias("cell_weight"), F.round("p", 6).alias("probability")
+    return out.select("doc_id", "source", "lang", "topic", F.col("tokens").alias("n_tokens"), *weights, (F.col("draw") < F.col("p")).alias("sampled"))
+
+
+def marginals(docs: DataFrame, temper: dict[str, float] = TEMPER) -> DataFrame:
+    """marginal, value, target, share of tokens after raking, and error (share - target), of each value: how well the targets are met."""
+    out = raked(cells_of(described(docs, find_topics(docs))), temper)
+    parts = [out.groupBy(F.col(c).alias("value")).agg(F.max(f"t_{c}").alias("target"), F.sum("w").alias("share")).withColumn("marginal", F.lit(c)) for c in temper]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.select("marginal", "value", "target", "share", (F.col("share") - F.col("target")).alias("error"))
 
 
 def sample(docs: DataFrame, temper: dict[str, float] = TEMPER, budget: float = BUDGET, seed: int = 42) -> DataFrame:
     """The sampled rows of docs, all columns; rows as in mix_report."""
-    return weighted(docs, temper, budget).filter(draw(seed) < F.col("_p")).select(*docs.columns)
+    topics = find_topics(docs)
+    rows = described(docs, topics, draw(seed).alias("draw"), packed(docs))
+    return placed(rows, cells_of(described(docs, topics)), temper, budget).filter(F.col("draw") < F.col("p")).select("row.*")
 
 
 def sql(temper: dict[str, float] = TEMPER, budget: float = BUDGET, seed: int = 42) -> str:
-    """The same result in DuckDB's SQL, one common table for each scaling."""
+    """The same result in DuckDB's SQL, a common table for each step; a round after one that has converged changes nothing."""
+    said = f"list_transform(regexp_extract_all(lower(coalesce(text, '')), '{LONG_WORDS}'), lambda w: substring(w, 1, {STEM}))"
     parts = [
-        f"""d AS (SELECT doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang,
- CASE WHEN contains(lower(coalesce(text, '')), 'licen') THEN 'licence' WHEN regexp_matches(coalesce(text, ''), '[0-9]') THEN 'figures'
- WHEN contains(coalesce(text, ''), chr(10)) THEN 'prose' ELSE 'fragment' END AS topic,
- len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM documents)""",
+        f"d0 AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang, {said} AS said,"
+        f" len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM documents)",
+        "f0 AS (SELECT stem, count(*) AS n FROM (SELECT unnest(list_distinct(said)) AS stem FROM d0) GROUP BY 1)",
+        f"f1 AS (SELECT stem, row_number() OVER (ORDER BY n DESC, stem) AS place FROM f0 WHERE n > 1 AND n <= {WIDEST} * (SELECT count(*) FROM d0) QUALIFY place <= {TOPICS})",
+        "f2 AS (SELECT rid, stem, row_number() OVER (PARTITION BY rid ORDER BY count(*) DESC, min(place)) AS k FROM (SELECT rid, unnest(said) AS stem FROM d0) JOIN f1 USING (stem) GROUP BY 1, 2)",
+        f"d AS (SELECT doc_id, source, lang, coalesce(stem, '{OTHER}') AS topic, n_tokens FROM d0 LEFT JOIN (SELECT * FROM f2 WHERE k = 1) USING (rid))",
         "c0 AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS t FROM d GROUP BY ALL)",
         "k0 AS (SELECT *, t / greatest(sum(t) OVER (), 1) AS w FROM c0)",
     ]
     at = 0
     for name, power in temper.items():
         parts.append(f"s{at} AS (SELECT *, sum(w) OVER (PARTITION BY {name}) AS h FROM k{at})")
-        parts.append(f"k{at + 1} AS (SELECT * EXCLUDE (h), CASE WHEN h > 0 THEN pow(h, {power}) / sum(CASE WHEN h > 0 THEN pow(h, {power}) * w / h ELSE 0 END) OVER () ELSE 0 END AS t_{name} FROM s{at})")
+        even = f"sum(CASE WHEN h > 0 THEN pow(h, {power}) * w / h ELSE 0 END) OVER ()"
+        parts.append(f"k{at + 1} AS (SELECT * EXCLUDE (h), CASE WHEN h > 0 THEN pow(h, {power}) / {even} ELSE 0 END AS t_{name} FROM s{at})")
         at += 1
+    parts.append(f"r0 AS (SELECT *, 1.0::DOUBLE AS e, FALSE AS done FROM k{at})")
+    at = 0
     for _ in range(ROUNDS):
-        for name in temper:
-            parts.append(f"s{at} AS (SELECT *, sum(w) OVER (PARTITION BY {name}) AS h FROM k{at})")
-            parts.append(f"k{at + 1} AS (SELECT * EXCLUDE (h) REPLACE (CASE WHEN h > 0 THEN w * t_{name} / h ELSE 0 END AS w) FROM s{at})")
+        for k, name in enumerate(temper):
+            parts.append(f"h{at} AS (SELECT *, CASE WHEN sum(w) OVER (PARTITION BY {name}) > 0 THEN t_{name} / sum(w) OVER (PARTITION BY {name}) END AS q FROM r{at})")
+            e = "0" if k == 0 else "e"
+            parts.append(f"r{at + 1} AS (SELECT * EXCLUDE (q) REPLACE (CASE WHEN done THEN w ELSE coalesce(w * q, 0) END AS w, CASE WHEN done THEN e ELSE greatest({e}, abs(coalesce(q, 1) - 1)) END AS e) FROM h{at})")
             at += 1
-    parts.append(f"p0 AS (SELECT *, least(1.0, CASE WHEN t > 0 THEN w * sum(t) OVER () / t ELSE 0 END * {budget}) AS p FROM k{at})")
+        parts.append(f"r{at + 1} AS (SELECT * REPLACE (max(e) OVER () < {TOLERANCE} AS done) FROM r{at})")
+        at += 1
+    parts.append(f"p0 AS (SELECT *, least(1.0, CASE WHEN t > 0 THEN w * sum(t) OVER () / t ELSE 0 END * {budget}) AS p FROM r{at})")
     for k in range(SCALINGS):
         parts.append(f"q{k} AS (SELECT *, sum(CASE WHEN p >= 1 THEN t ELSE 0 END) OVER () AS f, sum(CASE WHEN p < 1 THEN p * t ELSE 0 END) OVER () AS g, sum(t) OVER () AS a FROM p{k})")
-        parts.append(f"p{k + 1} AS (SELECT * EXCLUDE (f, g, a) REPLACE (CASE WHEN p >= 1 THEN 1.0 ELSE least(1.0, p * CASE WHEN g > 0 THEN (a * {budget} - f) / g ELSE 1.0 END) END AS p) FROM q{k})")
+        scaled = f"p * CASE WHEN g > 0 THEN (a * {budget} - f) / g ELSE 1.0 END"
+        parts.append(f"p{k + 1} AS (SELECT * EXCLUDE (f, g, a) REPLACE (CASE WHEN p >= 1 THEN 1.0 ELSE least(1.0, {scaled}) END AS p) FROM q{k})")
     parts.append(f"cells AS (SELECT source, lang, topic, w, CASE WHEN t > 0 THEN p ELSE 1.0 END AS p FROM p{SCALINGS})")
+    parts = [p.replace(" AS (", " AS MATERIALIZED (", 1) for p in parts]
     draws = f"('0x' || substr(md5(concat_ws('/', coalesce(doc_id::VARCHAR, '{NONE}'), '{seed}')), 1, 13))::BIGINT / 4503599627370496.0"
-    return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, source, lang, topic, n_tokens, round(w, 6) AS cell_weight, round(p, 6) AS probability, {draws} < p AS sampled FROM d JOIN cells USING (source, lang, topic)"
+    out = f"SELECT doc_id, source, lang, topic, n_tokens, round(w, 6) AS cell_weight, round(p, 6) AS probability, {draws} < p AS sampled"
+    return "WITH " + ",\n".join(parts) + f"\n{out} FROM d JOIN cells USING (source, lang, topic)"
