@@ -133,19 +133,25 @@ def turns_as_events(turns: DataFrame) -> DataFrame:
     return turns.select("conv_id", F.col("turn").alias("message"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
 
 
-def digest_chats(segments: DataFrame) -> DataFrame:
-    """What format_chats wrote, read back: each conversation's turns, loss text and length. Takes the rows as they stand."""
+def digest_chats(segments: DataFrame, ordered: bool = True) -> DataFrame:
+    """What format_chats wrote, read back: each conversation's turns, loss text and length.
+
+    Takes the rows as format_chats leaves them, a conversation whole and in order. With `ordered` false, as after a write and a
+    read, they are dealt out and sorted first; a conversation met out of order is a ValueError.
+    """
     names = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = conv = None
         for batch in batches:
             done = []
-            for c, segment, low, high in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "segment", "loss_start", "loss_end"))):
+            for c, position, segment, low, high in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "position", "segment", "loss_start", "loss_end"))):
                 if now is None or c != conv:
                     if now is not None:
                         done.append(row(conv, now))
                     conv, now = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                if position != now[0]:
+                    raise ValueError(f"conversation {c}: {position} where {now[0]} should stand; the rows are not in order")
                 for role, text in parse(segment):
                     now[0] += 1
                     now[1].update(f"{role}\n{text}\n".encode())
@@ -164,6 +170,8 @@ def digest_chats(segments: DataFrame) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], list(names))
 
+    if not ordered:
+        segments = segments.repartition("conv_id").sortWithinPartitions("conv_id", "position")
     return segments.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 

@@ -3,13 +3,13 @@
 A file holds documents in ascending doc_id order. Layout, all numbers little-endian:
 
     data frames   ids, 2 or 4 bytes each, about FRAME_BYTES a frame; a document may span frames
-    skippable     magic 0x184D2A50: one zstandard frame of the document index (doc_id i64, first byte u64, bytes u64) x documents
+    skippable     magic 0x184D2A50, its content's size u32, then the id width u8, the document count u64, and one zstandard frame of
+                  the document index: (doc_id i64, whether it is null u8, first byte u64, bytes u64) x documents, 25 bytes each
     skippable     magic 0x184D2A5E: the seek table of the public zstandard seekable format: for each data frame its compressed
                   size, its size and the low 32 bits of the XXH64 of its content (u32 each), then the number of frames u32,
                   the descriptor byte 0x80 (checksums present) and the magic 0x8F92EAB1
 
-The first skippable frame's content starts with the id width (u8), whether doc ids are all present (u8) and the document count (u64).
-Any zstandard reader decompresses the data frames; this one reads the tail, then only the frames of the documents asked for.
+A first byte counts the data frames' uncompressed bytes. Both skippable frames start with their magic and size, u32 each. Any zstandard reader decompresses the data frames; this one reads the tail, then only the frames of the documents asked for.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.llm.common import strings, trimmed
 from folioforge.llm.encoding import word_encoder
 
 FRAME_BYTES = 1 << 18
@@ -115,14 +116,29 @@ class TokenFileReader:
         return [self.ids(n) for n in range(low, high)]
 
 
+def settle(store: fs.FileSystem, held: str, name: str) -> None:
+    """Puts a file in its place. Where an attempt that ran before has left the file, which has the same content, that one stays:
+    not every store can rename onto a file that is there."""
+    if store.get_file_info(name).type == fs.FileType.NotFound:
+        try:
+            store.move(held, name)
+            return
+        except OSError:
+            if store.get_file_info(name).type == fs.FileType.NotFound:
+                raise
+    store.delete_file(held)
+
+
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None) -> list[tuple[str, int, int]]:
     """Encode every whole text of docs, append end_id, and write files whose names ascend with doc_id; (path, documents, ids) of each.
 
-    A null text is empty, a null doc_id comes before all others, repeated doc_ids stand in text order. Range partitioning deals
-    documents out by doc_id; a file is written under the attempt's name and renamed, so a task that runs twice leaves one file,
-    with the same content. `folder` is a URI that pyarrow can write to (file, hdfs, s3, gs), shared by all executors.
+    A null text is empty, a null doc_id comes before all others, repeated doc_ids stand by a hash of their texts, then by the
+    texts. Range partitioning deals documents out by doc_id and that hash, so an id of very many rows goes to several tasks; a file
+    is written under the attempt's name and renamed, so a task that runs twice leaves one file, with the same content. `folder` is
+    a URI that pyarrow can write to (file, hdfs, s3, gs), shared by all executors. Other columns are not read.
     """
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task = word_encoder(tokenizer_path), TaskContext.get()
         width = 2 if encoder.library.get_vocab_size() <= 1 << 16 and (end_id or 0) < 1 << 16 else 4
@@ -134,19 +150,20 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         with store.open_output_stream(held) as out:
             writer = TokenFileWriter(out, width)
             for batch in batches:
-                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist())):
+                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(strings(batch.column("text")))):
                     writer.add(doc_id, np.concatenate([ids, end]))
                     total += len(ids) + len(end)
             writer.close()
         if writer.documents:
-            store.move(held, f"{path}/{name}")
+            settle(store, held, f"{path}/{name}")
             row = [[name], [len(writer.documents)], [total]]
             yield pa.RecordBatch.from_arrays([pa.array(row[0]), pa.array(row[1], pa.int64()), pa.array(row[2], pa.int64())], ["name", "documents", "ids"])
         else:
             store.delete_file(held)
 
-    dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
-    written = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(run, "name string, documents long, ids long")
+    order = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
+    dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(*order).sortWithinPartitions(*order, "text")
+    written = dealt.mapInArrow(run, "name string, documents long, ids long")
     return [(f"{folder}/{r.name}", r.documents, r.ids) for r in sorted(written.collect())]
 
 
@@ -163,7 +180,8 @@ def read_token_files(spark: SparkSession, files: list[tuple[str, int, int]]) ->
                     for low in range(0, len(rows), step):
                         part = rows[low : low + step]
                         ids = [zlib.crc32(reader.ids(n).astype("<u4").tobytes()) for n in range(low, low + len(part))]
-                        columns = [pa.array(part["doc_id"], mask=part["null"].astype(bool)), pa.array(base + (part["first"] // reader.width).astype(np.int64)), pa.array((part["bytes"] // reader.width).astype(np.int64)), pa.array(ids, pa.int64())]
+                        start, size = ((part[c] // reader.width).astype(np.int64) for c in ("first", "bytes"))
+                        columns = [pa.array(part["doc_id"], mask=part["null"].astype(bool)), pa.array(base + start), pa.array(size), pa.array(ids, pa.int64())]
                         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     bases = [0, *np.cumsum([n for _, _, n in files]).tolist()]

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 from folioforge.llm import chat
 
 EVENTS = "conv_id long, message long, seq long, kind string, role string, text string, segment string"
@@ -47,3 +49,13 @@ def test_digest_equals_brute_force(spark):
         loss = "".join(text or "" for _, role, text in mine if role == "assistant")
         assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert chat.digest_chats(chat.format_chats(chat.turns_as_events(frame.limit(0)))).count() == 0
+
+
+def test_digest_of_rows_read_back_in_parts(spark):
+    turns = [(c, t, "user" if t % 2 else "assistant", f"text {c} {t}") for c in range(20) for t in range(30)]
+    segments = chat.format_chats(chat.turns_as_events(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")))
+    whole = sorted(map(tuple, chat.digest_chats(segments).collect()))
+    dealt = spark.createDataFrame(segments.collect(), segments.schema).repartition(7)
+    assert sorted(map(tuple, chat.digest_chats(dealt, ordered=False).collect())) == whole
+    with pytest.raises(Exception, match="not in order"):
+        chat.digest_chats(dealt).collect()

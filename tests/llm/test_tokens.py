@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from folioforge.llm import encoding, token_counts, token_files
 from folioforge.llm.common import shared_dir
@@ -41,7 +42,8 @@ def test_files_round_trip(frame, spark):
     files = token_files.write_token_files(frame(rows, extra="start"), shared_dir(spark, "test"), WORD, 2)
     got = sorted(token_files.read_token_files(spark, files).collect(), key=lambda r: r.start)
     library, at = encoding.load(WORD), 0
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    signed = lambda t: 42 if t is None else (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (h >> 63 << 64)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1])))
     assert [r.doc_id for r in got] == [i for i, _ in order]
     for r, (i, t) in zip(got, order):
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
@@ -67,3 +69,55 @@ def test_reader_finds_documents_and_damage(monkeypatch, width):
     data[len(data) - 9 - 4] ^= 1  # the last frame's checksum
     with pytest.raises(ValueError):
         token_files.TokenFileReader(io.BytesIO(bytes(data))).frame(len(reader.frames) - 1)
+
+
+def test_format_is_as_it_is_described(monkeypatch):
+    """A reader written from the module's text alone."""
+    import struct
+
+    import zstandard
+
+    monkeypatch.setattr(token_files, "FRAME_BYTES", 64)
+    out = io.BytesIO()
+    writer = token_files.TokenFileWriter(out, 2)
+    docs = [(None, [1, 2]), (-5, []), (8, list(range(100)))]
+    for i, ids in docs:
+        writer.add(i, np.array(ids, "<u4"))
+    writer.close()
+    data = out.getvalue()
+    frames, flags, magic = struct.unpack("<IBI", data[-9:])
+    assert (flags, magic) == (0x80, 0x8F92EAB1)
+    table = len(data) - 9 - 12 * frames
+    assert struct.unpack("<II", data[table - 8 : table]) == (0x184D2A5E, 12 * frames + 9)
+    plain, at = b"", 0
+    for k in range(frames):
+        size, whole, check = struct.unpack_from("<III", data, table + 12 * k)
+        part = zstandard.ZstdDecompressor().decompress(data[at : at + size])
+        assert len(part) == whole and xxhash.xxh64_intdigest(part) & 0xFFFFFFFF == check
+        plain, at = plain + part, at + size
+    magic, size, width, count = struct.unpack_from("<IIBQ", data, at)
+    assert (magic, width, count) == (0x184D2A50, 2, 3) and at + 8 + size == table - 8
+    index = zstandard.ZstdDecompressor().decompress(data[at + 17 : at + 8 + size])
+    got = []
+    for k in range(count):
+        doc_id, null, first, n = struct.unpack_from("<qBQQ", index, 25 * k)
+        got.append((None if null else doc_id, np.frombuffer(plain[first : first + n], "<u2").tolist()))
+    assert got == docs
+
+
+def test_a_file_that_an_earlier_attempt_left_stays(tmp_path):
+    from pyarrow import fs
+
+    class Strict(fs.LocalFileSystem):
+        """Refuses to rename onto a file that is there."""
+
+        def move(self, src, dest):
+            if self.get_file_info(dest).type != fs.FileType.NotFound:
+                raise OSError("there already")
+            super().move(src, dest)
+
+    store = Strict()
+    for _ in range(2):
+        (tmp_path / "held").write_text("x")
+        token_files.settle(store, str(tmp_path / "held"), str(tmp_path / "final"))
+    assert [f.name for f in tmp_path.iterdir()] == ["final"]
