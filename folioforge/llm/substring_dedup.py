@@ -346,9 +346,10 @@ def remove_repeats(docs: DataFrame, array: int = ARRAY, shard: int = SHARD) -> D
     total, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("data"))).first()
     hot_ids = rows.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max(1, total // HOT_SHARE)).select("id", F.lit(True).alias("_hot"))
     hashed = F.pmod(F.xxhash64("data"), F.lit(BUCKETS))
-    bucket = F.when(F.col("_hot"), hashed).otherwise(0).cast("int")
+    bucket = F.coalesce(F.when(F.col("_hot"), hashed).cast("int"), F.lit(0))
     marked = rows.join(F.broadcast(hot_ids), "id", "left").select("doc_id", "id", bucket.alias("bucket"), "data")
-    # every part below reads the same columns of the same exchange, so the texts are shuffled once
+    # every part below reads the same columns of the same exchange, so the texts are shuffled once; the keys can't be null, or the
+    # joins would ask for that below the exchange, each in its own way
     within = Window.partitionBy("id", "bucket").orderBy(hashed, "data", F.col("doc_id").asc_nulls_first())
     dealt = marked.repartition("id", "bucket").withColumn("rep", F.row_number().over(within))
     # ordered rows of equal texts: of rows that repeat id and text the first has the least rep
