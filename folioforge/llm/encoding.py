@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct pieces a worker keeps, and as many pre-tokens; at about 150 bytes each, some 70 MB. A full memo takes no more.
-MEMO_PIECES = 200_000
+#: Distinct pieces a worker keeps, and as many pre-tokens; at about 150 bytes each, some 100 MB. A full memo takes no more.
+MEMO_PIECES = 300_000
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Texts with another character than these are left to the library as a whole. These need no normal form, each folds to one character.
 OTHER = re.compile(f"[^ \\t\\n\\r!-~{LETTERS}]")
@@ -27,7 +27,7 @@ UNEVEN = re.compile("  |[\\n\\t\\r] |[\\t\\r]")
 WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+")
 PRE_TOKENS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
 #: Characters looked at together.
-TOGETHER = 1_000_000
+TOGETHER = 3_000_000
 
 
 def load(path: str):
