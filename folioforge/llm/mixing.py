@@ -11,14 +11,14 @@ left out that more than WIDEST of all have, are the corpus's topics, and a docum
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.llm.common import cut, lookup, packed, quoted
 
 #: Marginals and the power of the corpus share that gives a value's target share: 1 keeps the mixture, 0 makes it even.
 TEMPER = {"source": 0.7, "lang": 0.7, "topic": 0.8}
-ROUNDS, TOLERANCE, SCALINGS, BUDGET = 16, 1e-6, 6, 0.75
+ROUNDS, TOLERANCE, SCALINGS, BUDGET = 12, 1e-4, 6, 0.75
 TOPICS, STEM, CONTENT, WIDEST = 16, 5, 7, 0.2
 NONE, OTHER = "(none)", "(other)"
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -65,29 +65,41 @@ def cells_of(rows: DataFrame) -> DataFrame:
 
 def targets(cells: DataFrame, temper: dict[str, float]) -> DataFrame:
     """cells with w, their token weights, and for each marginal its value's target share, t_<marginal>."""
-    total = cells.agg(F.sum("t")).first()[0] or 0
-    out = cells.withColumn("w", F.col("t") / F.lit(float(max(1, total))))
+    total = float(max(1, cells.agg(F.sum("t")).first()[0] or 0))
+    out = cells.withColumn("w", F.col("t") / total)
     for name, power in temper.items():
-        shares = out.groupBy(name).agg(F.sum("w").alias("h")).select(name, F.when(F.col("h") > 0, F.pow("h", F.lit(power))).otherwise(0.0).alias("p"))
+        h = F.sum("t") / total
+        shares = cells.groupBy(name).agg(F.when(h > 0, F.pow(h, F.lit(power))).otherwise(0.0).alias("p"))
         whole = shares.agg(F.sum("p")).first()[0] or 0.0
-        shares = shares.select(name, (F.col("p") / whole if whole > 0 else F.lit(0.0)).alias(f"t_{name}"))
-        out = cut(out.join(shares, name))
-    return out
+        out = out.join(shares.select(name, (F.col("p") / whole if whole > 0 else F.lit(0.0)).alias(f"t_{name}")), name)
+    return cut(out)
+
+
+def scaled(rows: DataFrame, name: str) -> DataFrame:
+    """rows with w scaled so that each value of a marginal has its target, and e, how much a factor differs from 1 at most so far."""
+    share = F.sum("w").over(Window.partitionBy(name))
+    factor = F.when(share > 0, F.col(f"t_{name}") / share)
+    return rows.withColumn("_f", factor).withColumns({"w": F.coalesce(F.col("w") * F.col("_f"), F.lit(0.0)), "e": F.greatest("e", F.abs(F.col("_f") - 1))}).drop("_f")
 
 
 def raked(cells: DataFrame, temper: dict[str, float], rounds: int = ROUNDS) -> DataFrame:
     """cells with w: raked token weights that sum to 1, and e: how much the last round's factors differed from 1 at most.
 
-    A marginal is a combined aggregate joined back, so no task gets all cells of a value; a round's result is cut off.
+    The first marginal, of which there may be very many values, is scaled where its cells lie together, a few for each value. The
+    others are scaled on the sums over it, a table of a row for each language and topic, and their joint factor is joined back; so
+    no task gets all cells of a language. Each round's result is cut off.
     """
+    first, *others = temper
     out = targets(cells, temper).withColumn("e", F.lit(1.0))
     for _ in range(rounds):
-        out = out.withColumn("e", F.lit(0.0))
-        for name in temper:
-            share = out.groupBy(name).agg(F.sum("w").alias("h"))
-            factor = F.when(F.col("h") > 0, F.col(f"t_{name}") / F.col("h"))
-            out = out.join(share, name).withColumns({"w": F.coalesce(F.col("w") * factor, F.lit(0.0)), "e": F.greatest("e", F.abs(factor - 1))}).drop("h")
-        out = cut(out)
+        now = scaled(out.withColumn("e", F.lit(0.0)), first)
+        sums = now.groupBy(*others).agg(F.sum("w").alias("w"), F.max("e").alias("e"), *[F.max(f"t_{c}").alias(f"t_{c}") for c in others])
+        after = sums.withColumn("_w", F.col("w"))
+        for name in others:
+            after = scaled(after, name)
+        factor = F.when(F.col("_w") > 0, F.col("w") / F.col("_w")).otherwise(0.0)
+        after = after.select(*others, factor.alias("_g"), F.col("e").alias("_e"))
+        out = cut(now.join(after, others).withColumns({"w": F.col("w") * F.col("_g"), "e": F.greatest("e", "_e")}).drop("_g", "_e"))
         if (out.agg(F.max("e")).first()[0] or 0.0) < TOLERANCE:
             break
     return out
@@ -103,7 +115,9 @@ def calibrated(cells: DataFrame, budget: float, scalings: int = SCALINGS) -> Dat
         full, part = out.agg(F.sum(F.when(p >= 1, F.col("t")).otherwise(0)), F.sum(F.when(p < 1, p * F.col("t")).otherwise(0.0))).first()
         if not part:
             break
-        scale *= (total * budget - full) / part
+        was, scale = scale, scale * (total * budget - full) / part
+        if abs(scale - was) <= 1e-12 * was:
+            break
     return out.withColumn("p", F.when(F.col("t") > 0, F.least(F.lit(1.0), F.col("r") * scale)).otherwise(1.0))
 
 

@@ -52,12 +52,12 @@ def test_weights_meet_the_marginals_and_the_budget(spark):
         for r in rows:
             shares[r[name]] = shares.get(r[name], 0) + r.w
             targets[r[name]] = r[f"t_{name}"]
-        assert all(abs(shares[k] - targets[k]) < 1e-5 for k in shares)
+        assert all(abs(shares[k] - targets[k]) < 1e-4 for k in shares)
     solved = mixing.calibrated(cells, 0.6).collect()
     total = sum(r.t for r in solved)
     assert all(0 <= r.p <= 1 for r in solved) and abs(sum(r.p * r.t for r in solved) / total - 0.6) < 0.01
     report = mixing.marginals(docs).collect()
-    assert len(report) == sum(len({r[c] for r in rows}) for c in mixing.TEMPER) and max(abs(r.error) for r in report) < 1e-5
+    assert len(report) == sum(len({r[c] for r in rows}) for c in mixing.TEMPER) and max(abs(r.error) for r in report) < 1e-4
 
 
 def test_sample_is_stable_and_near_its_probability(spark):
