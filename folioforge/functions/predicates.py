@@ -114,3 +114,8 @@ def missing_core(consideration: Column, total: Column, cash: Column, stock: Colu
 
 def clamp_page_size(asked: int | None, most: int, default: int = 25) -> int:
     return min(asked, most) if isinstance(asked, int) and asked > 0 else min(default, most)
+
+
+def clamped_size(asked: Column, most: Column, default: int = 25) -> Column:
+    """clamp_page_size as a column."""
+    return F.when(asked > 0, F.least(asked, most)).otherwise(F.least(F.lit(default), most))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -48,3 +49,33 @@ def insert_tags(text: str, spans: list[tuple[int, int, str]]) -> str:
         out += [text[at:start], f"<{tag}>", text[start:stop], f"</{tag}>"]
         at = stop
     return "".join(out) + text[at:]
+
+
+def aligned(text: str, quote: str, expected: str):
+    """align as a column of (start, stop), null where no place fits or several do; the arguments are columns' names."""
+
+    @F.pandas_udf("struct<start:int,stop:int>")
+    def run(texts: pd.Series, quotes: pd.Series, places: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, q, e in zip(texts, quotes, places):
+            try:
+                found = align(t, q, int(e)) if isinstance(t, str) and isinstance(q, str) and q else None
+            except ValueError:
+                found = None
+            out.append(found or (None, None))
+        return pd.DataFrame(out, columns=["start", "stop"]).astype("Int32")
+
+    return run(text, quote, expected)
+
+
+def tagged(text: Column, spans: Column) -> Column:
+    """insert_tags as a column, null where spans overlap or lie outside; spans: an array of (start, stop, tag)."""
+    ordered = F.array_sort(spans)
+    ends = F.transform(ordered, lambda s: s["stop"])
+    starts = F.transform(ordered, lambda s: s["start"])
+    apart = F.forall(F.sequence(F.lit(1), F.size(ordered)), lambda k: (F.element_at(starts, k) < F.element_at(ends, k)) & ((k == F.size(ordered)) | (F.element_at(ends, k) <= F.coalesce(F.try_element_at(starts, k + 1), F.length(text)))))
+    inside = (F.element_at(starts, 1) >= 0) & (F.element_at(ends, -1) <= F.length(text))
+    piece = lambda a, b: F.substring(text, a + 1, F.greatest(F.lit(0), b - a))
+    parts = F.transform(ordered, lambda s, i: F.concat(piece(F.coalesce(F.get(ends, i - 1), F.lit(0)), s["start"]), F.lit("<"), s["tag"], F.lit(">"), piece(s["start"], s["stop"]), F.lit("</"), s["tag"], F.lit(">")))
+    whole = F.concat(F.array_join(parts, ""), piece(F.element_at(ends, -1), F.length(text)))
+    return F.when(F.size(ordered) == 0, text).when(apart & inside, whole)

@@ -142,8 +142,9 @@ def build_xml(text: str | None) -> str:
     return ET.tostring(root, encoding="unicode")
 
 
-def structure_violations(xml: str | None, least_articles: int = 5) -> list[str]:
-    """The reason codes of a document's structure, each once, in the order of REASONS; xml_parse_failure alone if it does not parse."""
+def violation_codes(xml: str | None, least_articles: int = 5) -> list[str]:
+    """The reason codes of a document's structure, one for each place where it breaks a rule, in the order of REASONS;
+    xml_parse_failure alone if it does not parse."""
     try:
         root = ET.fromstring(xml or "")
     except ET.ParseError:
@@ -154,24 +155,23 @@ def structure_violations(xml: str | None, least_articles: int = 5) -> list[str]:
     children = [c for c in body if c.tag not in INLINE]
     if not children:
         return ["body_has_no_structural_children"]
-    found = set()
+    found = []
     if children[0].tag != "article":
-        found.add("body_starts_non_article")
-    if any(c.tag != "article" for c in children):
-        found.add("body_contains_non_article_children")
+        found.append("body_starts_non_article")
+    found += ["body_contains_non_article_children" for c in children if c.tag != "article"]
     articles = [c for c in children if c.tag == "article"]
     if not articles:
-        return [r for r in REASONS if r in found | {"body_has_no_articles"}]
+        return [r for r in REASONS for x in [*found, "body_has_no_articles"] if x == r]
     if len(articles) < least_articles:
-        found.add("too_few_articles")
+        found.append("too_few_articles")
     numbers = [number(m[1]) if (m := ARTICLE.match(a.get("title", ""))) else None for a in articles]
     if numbers[0] != 1:
-        found.add("first_article_not_one")
+        found.append("first_article_not_one")
     most, empty = None, 0
     for article, n in zip(articles, numbers):
         if n is not None:
             if most is not None and n <= most:
-                found.add("articles_out_of_order")
+                found.append("articles_out_of_order")
             else:
                 most = n
         sections = article.findall("section")
@@ -181,16 +181,21 @@ def structure_violations(xml: str | None, least_articles: int = 5) -> list[str]:
         for s in sections:
             m = SECTION.match(s.get("title", ""))
             if not m:
-                found.add("section_title_invalid_numbering")
+                found.append("section_title_invalid_numbering")
                 continue
             if n is not None and int(m[1]) != n:
-                found.add("section_article_mismatch")
+                found.append("section_article_mismatch")
             if int(m[2]) != expected:
-                found.add("section_non_sequential")
+                found.append("section_non_sequential")
             expected = int(m[2]) + 1
     if empty > 1:
-        found.add("too_many_empty_articles")
-    return [r for r in REASONS if r in found]
+        found.append("too_many_empty_articles")
+    return [r for r in REASONS for x in found if x == r]
+
+
+def structure_violations(xml: str | None, least_articles: int = 5) -> list[str]:
+    """violation_codes, each once."""
+    return list(dict.fromkeys(violation_codes(xml, least_articles)))
 
 
 def repair_accepted(before: list[str], after: list[str]) -> bool:
@@ -279,3 +284,105 @@ def word_counts(xml: str | None) -> list[dict]:
             name = child.tag if part.tag == "body" else part.tag
             out[name] = out.get(name, 0) + len(inner_text(child).split())
     return [{"region": k, "words": v} for k, v in sorted(out.items())]
+
+
+def with_standard_ids(xml: str | None, ids: dict[str, str] | None) -> str | None:
+    """The document with standardId set on the sections whose uuid is among ids; one that does not parse stays as it is."""
+    if not xml or not ids:
+        return xml
+    try:
+        root = ET.fromstring(xml)
+    except ET.ParseError:
+        return xml
+    for section in root.iter("section"):
+        if section.get("uuid") in ids:
+            section.set("standardId", ids[section.get("uuid")])
+    return ET.tostring(root, encoding="unicode")
+
+
+def write_standard_ids(docs: DataFrame, assigned: DataFrame, key: str) -> DataFrame:
+    """docs (key, xml) with the standard ids of assigned (key, uuid, standard_id) in their sections; of several for one section the least."""
+    one = assigned.groupBy(key, "uuid").agg(F.min("standard_id").alias("id"))
+    maps = one.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("uuid", "id"))).alias("_ids"))
+
+    @F.pandas_udf("string")
+    def apply(xml: pd.Series, ids: pd.Series) -> pd.Series:
+        return pd.Series([with_standard_ids(x if isinstance(x, str) else None, dict(i) if i is not None else None) for x, i in zip(xml, ids)], dtype=object)
+
+    return docs.join(maps, key, "left").withColumn("xml", apply("xml", F.col("_ids"))).drop("_ids")
+
+
+def screen_table(html: str | None, width: int = 100) -> str:
+    """A table of contents as lines for a screen: the cells of each row, the last one (a page number) at the right edge after dots;
+    rows too long for that, and text outside tables, as they are."""
+    parser = _Rows()
+    parser.feed(html or "")
+    parser.close()
+    lines = []
+    for cells in parser.rows:
+        cells = [c for c in (re.sub(r"\s+", " ", x).strip() for x in cells) if c]
+        if len(cells) > 1 and re.fullmatch(r"[0-9ivxlc-]+", cells[-1], re.I):
+            left = "  ".join(cells[:-1])
+            gap = width - len(left) - len(cells[-1]) - 2
+            lines.append(f"{left} {'.' * gap} {cells[-1]}" if gap > 0 else f"{left} {cells[-1]}")
+        elif cells:
+            lines.append("  ".join(cells))
+    return "\n".join(lines)
+
+
+class _Rows(HTMLParser):
+    """The cells of table rows; text outside rows is a row of one cell, parted at blocks."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.rows, self.inside, self.silent = [[""]], False, 0
+
+    def handle_starttag(self, tag, attrs):
+        self.silent += tag in SILENT
+        if tag == "tr":
+            self.rows.append([""])
+            self.inside = True
+        elif tag in ("td", "th"):
+            self.rows[-1].append("")
+        elif tag in BLOCKS and not self.inside:
+            self.rows.append([""])
+
+    def handle_endtag(self, tag):
+        self.silent -= tag in SILENT and self.silent > 0
+        if tag == "tr":
+            self.inside = False
+            self.rows.append([""])
+        elif tag in BLOCKS and not self.inside:
+            self.rows.append([""])
+
+    def handle_data(self, data):
+        if not self.silent:
+            self.rows[-1][-1] += data
+
+
+#: The labels of a signature block.
+SIGNATURE_LABELS = ("by", "name", "title", "its", "date", "address")
+LABELLED = re.compile(rf"^({'|'.join(SIGNATURE_LABELS)})\s*:\s*(.*)$", re.I)
+
+
+def screen_signature(text: str | None) -> str:
+    """A signature block for a screen: a line for each label with its value, "By: ____" where the value is a rule or missing, a blank
+    line before each new signer."""
+    lines = [re.sub(r"[^\S\n]+", " ", x).strip() for x in re.sub("[\u200b-\u200f\u202a-\u202e\u2060\ufeff]", "", text or "").splitlines()]
+    lines = [re.sub(r"\s+([,.;:)\]])", r"\1", re.sub(r"([(\[])\s+", r"\1", x)) for x in lines if x]
+    out, k = [], 0
+    while k < len(lines):
+        m = LABELLED.match(lines[k])
+        if not m:
+            if out and LABELLED.match(out[-1]):
+                out.append("")
+            out.append(lines[k])
+        else:
+            value = m[2]
+            rule = k + 1 < len(lines) and not lines[k + 1].strip("_ -")
+            if not value and k + 1 < len(lines) and not LABELLED.match(lines[k + 1]) and (m[1].lower() != "by" or rule):
+                k += 1
+                value = lines[k]
+            out.append(f"{m[1].title()}: {value if value.strip('_ -') else '____'}")
+        k += 1
+    return "\n".join(out)

@@ -55,3 +55,19 @@ def fill_from_losers(rows: DataFrame, survivors: DataFrame, key: str, columns: S
 def versioned_id(request: Column) -> tuple[Column, Column]:
     """The parts of an id of the form page::version; a version that is no number is null."""
     return F.substring_index(request, "::", 1), F.substring_index(request, "::", -1).try_cast("int")
+
+
+def crosswalked(rows: DataFrame, code: str, walk: DataFrame, classes: DataFrame) -> DataFrame:
+    """rows with sic and class: of the walk's prefixes (prefix, sic) of the code the longest gives the sic, and of the classes'
+    prefixes of that (prefix, class) the longest gives the class; null where none fits. Both tables are small code lists."""
+
+    def longest(left: DataFrame, key: str, table: DataFrame, value: str) -> DataFrame:
+        sizes = [r[0] for r in table.select(F.length("prefix")).distinct().orderBy(F.desc(F.length("prefix"))).limit(16).collect()]
+        names = []
+        for n in sizes:
+            names.append(f"_{value}{n}")
+            part = table.filter(F.length("prefix") == n).select(F.col("prefix").alias(f"_p{n}"), F.col(value).alias(names[-1]))
+            left = left.join(part, F.substring(F.col(key).cast("string"), 1, n) == F.col(f"_p{n}"), "left").drop(f"_p{n}")
+        return left.withColumn(value, F.coalesce(*names) if names else F.lit(None)).drop(*names)
+
+    return longest(longest(rows, code, walk, "sic"), "sic", classes, "class")

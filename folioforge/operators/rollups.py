@@ -131,15 +131,81 @@ def class_metrics(rows: DataFrame, truth: str, guess: str) -> DataFrame:
     return out.withColumn("f1", share(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")))
 
 
+def average_metrics(per_class: DataFrame) -> DataFrame:
+    """One row from class_metrics: accuracy, and precision, recall and f1 as macro, micro and support-weighted means."""
+    tp, fp, fn = (F.sum(c) for c in ("tp", "fp", "fn"))
+    support = F.col("tp") + F.col("fn")
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    means = [F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")]
+    weighted = [share(F.sum(F.col(c) * support), F.sum(support)).alias(f"weighted_{c}") for c in ("precision", "recall", "f1")]
+    micro = [share(tp, tp + fp).alias("micro_precision"), share(tp, tp + fn).alias("micro_recall"), share(2 * tp, 2 * tp + fp + fn).alias("micro_f1")]
+    return per_class.agg(share(tp, tp + fn).alias("accuracy"), *means, *micro, *weighted)
+
+
+def set_metrics(rows: DataFrame, truth: str, guess: str) -> DataFrame:
+    """One row for sets of labels (arrays): rows, subset_accuracy (both sets equal), and micro precision, recall and f1 over their members."""
+    a, b = F.array_distinct(F.coalesce(truth, F.array().cast("array<string>"))), F.array_distinct(F.coalesce(guess, F.array().cast("array<string>")))
+    both = F.size(F.array_intersect(a, b))
+    made = rows.select(F.size(a).alias("t"), F.size(b).alias("g"), both.alias("c"))
+    share = lambda x, y: F.when(y > 0, x / y).otherwise(0.0)
+    t, g, c = (F.sum(x) for x in "tgc")
+    equal = F.avg(((F.col("t") == F.col("c")) & (F.col("g") == F.col("c"))).cast("int"))
+    return made.agg(F.count("*").alias("n"), equal.alias("subset_accuracy"), share(c, g).alias("micro_precision"), share(c, t).alias("micro_recall"), share(2 * c, t + g).alias("micro_f1"))
+
+
+def mined_pair_rules(rows: DataFrame, outer: str, inner: str, label: str, support: int, precision: float, margin: float) -> DataFrame:
+    """mined_rules of pairs of titles, as of an article and its section."""
+    paired = rows.withColumn("_pair", F.struct(outer, inner))
+    return mined_rules(paired, "_pair", label, support, precision, margin).select("_pair.*", label, "n", "precision", "margin")
+
+
+def running(rows: DataFrame, lead: str, order: Sequence[Column], sums: dict[str, Column], descending: bool = False, parts: int = 200) -> DataFrame:
+    """rows with running sums in a total order whose first column is `lead`, a number, not null.
+
+    No task gets all rows: they fall into ranges of `lead` between quantiles, sums run within a range, and each range starts from
+    the total of those before, a table of `parts` rows at most that is broadcast.
+    """
+    bounds = sorted(set(rows.approxQuantile(lead, [k / parts for k in range(1, parts)], 0.25 / parts)))
+    part = F.size(F.filter(F.array(*[F.lit(float(x)) for x in bounds]), lambda x: x < F.col(lead).cast("double"))) if bounds else F.lit(0)
+    made = rows.withColumns({"_part": -part if descending else part, **{f"_v_{c}": v for c, v in sums.items()}})
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = made.groupBy("_part").agg(*[F.sum(f"_v_{c}").alias(f"_s_{c}") for c in sums])
+    starts = totals.select("_part", *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums])
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = made.join(F.broadcast(starts), "_part")
+    out = out.withColumns({c: F.col(f"_b_{c}") + F.sum(f"_v_{c}").over(within) for c in sums})
+    return out.drop("_part", *[f"_v_{c}" for c in sums], *[f"_b_{c}" for c in sums])
+
+
+def ntiles(rows: DataFrame, lead: str, order: Sequence[Column], k: int, name: str) -> DataFrame:
+    """rows with `name`: which of k parts of equal size, the first ones larger by one, a row falls into in that order (see running)."""
+    n = rows.count()
+    ranked = running(rows, lead, order, {"_rank": F.lit(1)})
+    small, more = n // k, n % k
+    split = more * (small + 1)
+    rank = F.col("_rank") - 1
+    late = F.floor((rank - split) / max(1, small)) + more if small else F.lit(k - 1)
+    return ranked.withColumn(name, (F.when(rank < split, F.floor(rank / (small + 1))).otherwise(late) + 1).cast("int")).drop("_rank")
+
+
+def cut_edges(value: Column, edges: Sequence[float], labels: Sequence[str]) -> Column:
+    """The label of the interval (edges[k], edges[k + 1]] a value lies in, the first with its lower edge; null outside."""
+    out = F.lit(None).cast("string")
+    for k, label in enumerate(labels):
+        low = (value >= edges[k]) if k == 0 else (value > edges[k])
+        out = F.when(low & (value <= edges[k + 1]), label).otherwise(out)
+    return out
+
+
 def best_threshold(rows: DataFrame, score: str, positive: str, target: float) -> DataFrame:
     """One row: the threshold (score >= it is flagged) that reaches the target recall with the fewest flagged, then the best
     precision, f1 and the highest threshold; if none does, the one with the best recall."""
-    by_score = rows.groupBy(F.col(score).alias("threshold")).agg(F.count("*").alias("n"), F.count_if(F.col(positive) == 1).alias("p"))
-    down = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.partitionBy(F.lit(0))
-    made = by_score.select("threshold", F.sum("n").over(down).alias("flagged"), F.sum("p").over(down).alias("hits"), F.sum("p").over(everything).alias("_all"))
-    made = made.withColumns({"precision": F.col("hits") / F.col("flagged"), "recall": F.when(F.col("_all") > 0, F.col("hits") / F.col("_all")).otherwise(0.0)})
-    made = made.withColumn("f1", F.when(F.col("hits") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0)).withColumn("feasible", F.col("recall") >= target)
+    by_score = rows.groupBy(F.col(score).alias("threshold")).agg(F.count("*").alias("n"), F.count_if(F.col(positive) == 1).alias("p")).filter("threshold IS NOT NULL")
+    everything = by_score.agg(F.sum("p")).first()[0] or 0
+    made = running(by_score, "threshold", [F.desc("threshold")], {"flagged": F.col("n"), "hits": F.col("p")}, descending=True)
+    made = made.withColumns({"precision": F.col("hits") / F.col("flagged"), "recall": F.col("hits") / everything if everything else F.lit(0.0)})
+    f1 = F.when(F.col("hits") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0)
+    made = made.withColumn("f1", f1).withColumn("feasible", F.col("recall") >= target)
     order = [F.desc("feasible"), F.when(F.col("feasible"), -F.col("flagged")).otherwise(F.col("recall")).desc(), F.desc("precision"), F.desc("f1"), F.desc("threshold")]
     return made.orderBy(*order).limit(1).select("threshold", "flagged", "hits", "precision", "recall", "f1", "feasible")
 

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.operators.rollups import running
+
 
 def prefix_search(rows: DataFrame, column: str, asked: str, year_of: str | None = None) -> DataFrame:
     """Rows whose column starts with what is asked, case aside; four digits ask for a year where there is a date."""
@@ -96,10 +98,9 @@ def capped_groups(rows: DataFrame, group: str, order: Sequence[Column], most: in
     return ranked.filter(F.col("_row") <= most).withColumn("truncated", F.col("matched_count") > most).drop("_m", "_row")
 
 
-def budget_prefix(rows: DataFrame, order: Sequence[Column], cost: str, budget: float) -> DataFrame:
-    """Rows in order while their summed cost is within the budget; the first that overflows ends it."""
-    so_far = F.sum(cost).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("so_far", so_far).filter(F.col("so_far") <= budget)
+def budget_prefix(rows: DataFrame, lead: str, order: Sequence[Column], cost: str, budget: float) -> DataFrame:
+    """Rows in order while their summed cost is within the budget; the first that overflows ends it. lead: the order's first column."""
+    return running(rows, lead, order, {"so_far": F.col(cost)}).filter(F.col("so_far") <= budget)
 
 
 def hydrate(ids: DataFrame, details: DataFrame, key: str) -> DataFrame:

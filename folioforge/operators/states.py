@@ -34,6 +34,12 @@ def batch_key(ids: Column) -> Column:
     return F.sha1(F.array_join(F.array_sort(F.array_distinct(ids)), "\n"))
 
 
+def batch_keys(rows: DataFrame, scope: str, key: str, size: int = 1000) -> DataFrame:
+    """scope, batch, key: the key of each batch, the ids of one range of `size` numbers, so that none grows with the table."""
+    batch = F.floor(F.col(key) / size).cast("long").alias("batch")
+    return rows.groupBy(scope, batch).agg(batch_key(F.collect_list(F.col(key).cast("string"))).alias("key"))
+
+
 def price_total(kind: Column, cash: Column, stock: Column, assets: Column) -> Column:
     """cash gives cash, stock gives stock, a mix needs two parts at least and sums them."""
     parts = F.array_compact(F.array(cash, stock, assets))

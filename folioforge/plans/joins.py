@@ -117,10 +117,20 @@ def _(t: Tables) -> DataFrame:
     return J.label_of(t.part.select("p_partkey", "p_size"), "p_size", sector, inner).select("p_partkey", "label")
 
 
-@query("J15_crosswalk", "SELECT o_orderkey, kind FROM orders JOIN (VALUES ('1', 'urgent'), ('2', 'urgent'), ('3', 'plain'), ('5', 'plain')) x(k, kind) ON k = substring(o_orderpriority, 1, 1)")
+_WALK = "(VALUES ('31', '20'), ('311', '201'), ('3115', '2026'), ('32', '28'), ('325', '283'), ('33', '35'), ('3364', '372'), ('51', '73'), ('511', '737'), ('5', '60')) x(prefix, sic)"
+_KINDS = "(VALUES ('2', 'goods'), ('28', 'chemicals'), ('283', 'drugs'), ('35', 'machines'), ('7', 'services'), ('737', 'software')) y(prefix, kind)"
+
+
+@query(
+    "J15_crosswalk",
+    f"""WITH c AS (SELECT p_partkey, (300000 + p_partkey * 7919 % 230000)::VARCHAR AS naics FROM part), w AS (SELECT p_partkey, naics, (SELECT sic FROM {_WALK} WHERE starts_with(naics, prefix) ORDER BY length(prefix) DESC LIMIT 1) AS sic FROM c)
+    SELECT p_partkey, naics, sic, (SELECT kind FROM {_KINDS} WHERE starts_with(sic, prefix) ORDER BY length(prefix) DESC LIMIT 1) AS class FROM w""",
+)
 def _(t: Tables) -> DataFrame:
-    walk = t.spark.createDataFrame([("1", "urgent"), ("2", "urgent"), ("3", "plain"), ("5", "plain")], "k string, kind string")
-    return t.orders.withColumn("k", F.substring("o_orderpriority", 1, 1)).join(F.broadcast(walk), "k").select("o_orderkey", "kind")
+    walk = t.spark.sql(f"SELECT * FROM {_WALK}")
+    classes = t.spark.sql(f"SELECT prefix, kind AS class FROM {_KINDS}")
+    codes = t.part.select("p_partkey", (300_000 + F.col("p_partkey") * 7919 % 230_000).cast("string").alias("naics"))
+    return J.crosswalked(codes, "naics", walk, classes)
 
 
 @query("J17_totals_and_hits", "SELECT year(o_orderdate)::INT AS y, count(*) AS total, count(*) FILTER (WHERE o_totalprice > 400000) AS hits FROM orders GROUP BY 1")

@@ -9,49 +9,6 @@ from folioforge.functions import text as T
 from folioforge.operators import near_duplicates as N
 from folioforge.operators import retrieval as R
 from folioforge.plans.registry import Tables, query
-from folioforge.plans.texts import SHINGLES
-
-
-@query("X1_signatures")
-def _(t: Tables) -> DataFrame:
-    return N.signatures(t.documents, 32)
-
-
-@query("X2_lsh_candidates")
-def _(t: Tables) -> DataFrame:
-    classes = N.representatives(t.documents)
-    return N.lsh_candidates(N.signatures(t.documents.join(classes.filter("doc_id = class_id"), "doc_id"), 32), 16)
-
-
-@query(
-    "X3_similar_pairs",
-    f"""WITH fp AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS c FROM documents), s AS (SELECT * FROM ({SHINGLES}) JOIN fp USING (doc_id) WHERE c = doc_id AND len(s) > 0),
-    f AS (SELECT doc_id, unnest(s) AS h FROM s), p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM f x JOIN f y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY 1, 2)
-    SELECT a, b, round(k / (len(x.s) + len(y.s) - k), 8) AS jaccard FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE k >= 0.8::DOUBLE * (len(x.s) + len(y.s) - k)""",
-)
-def _(t: Tables) -> DataFrame:
-    return N.similar_pairs(t.documents, 0.8).withColumn("jaccard", F.round("jaccard", 8))
-
-
-@query("X3_classes", r"SELECT doc_id, min(doc_id) OVER (PARTITION BY trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS class_id FROM documents")
-def _(t: Tables) -> DataFrame:
-    return N.representatives(t.documents)
-
-
-@query(
-    "X3_decisions",
-    """SELECT o_orderkey, CASE WHEN k = 0 THEN 'none' WHEN j < 0.8 AND c < 0.85 AND NOT f THEN 'none' WHEN k = 1 THEN 'review' WHEN f THEN 'auto_dedupe' WHEN k = 2 AND (j >= 0.94 OR c >= 0.97) THEN 'auto_dedupe' ELSE 'review' END AS action,
-    CASE WHEN k = 0 THEN 'same_accession_siblings' WHEN j < 0.8 AND c < 0.85 AND NOT f THEN 'below_threshold' WHEN k = 1 THEN 'party_metadata_conflict' WHEN f THEN 'exact_fingerprint' WHEN k = 2 AND (j >= 0.94 OR c >= 0.97) THEN 'content_and_dated_as_of'
-    WHEN k = 2 THEN 'dated_as_of_match_but_moderate_similarity' WHEN k = 3 THEN 'dated_as_of_mismatch' ELSE 'content_match_without_cover_identity' END AS reason
-    FROM (SELECT o_orderkey, o_orderkey % 5 AS k, (o_custkey % 100) / 100 AS j, (o_custkey % 97) / 97 AS c, o_orderstatus = 'P' AS f FROM orders)""",
-)
-def _(t: Tables) -> DataFrame:
-    k, day = F.col("o_orderkey") % 5, lambda c, d: F.when(c, F.lit(d).cast("date"))
-    rows = t.orders.select(
-        "o_orderkey", (k == 0).alias("same_folder"), ((F.col("o_custkey") % 100) / 100.0).alias("jaccard"), ((F.col("o_custkey") % 97) / 97.0).alias("containment"), (F.col("o_orderstatus") == "P").alias("same_fingerprint"),
-        (k == 1).alias("party_conflict"), F.lit(False).alias("party_match"), F.lit(False).alias("supersedes"), day(k.isin(2, 3), "2020-01-01").alias("newer_date"), F.coalesce(day(k == 2, "2020-01-01"), day(k == 3, "2019-01-01")).alias("older_date"),
-    )
-    return rows.select("o_orderkey", N.decision(F.col).alias("d")).select("o_orderkey", "d.*")
 
 
 @query("X4_survivors", "SELECT a, b, CASE WHEN (b_new AND NOT (pb < 0.5 * pa)) OR (NOT b_new AND pa < 0.5 * pb) THEN b ELSE a END AS survivor FROM (SELECT x.doc_id AS a, y.doc_id AS b, x.n_chars AS pa, y.n_chars AS pb, y.n_chars % 7 >= x.n_chars % 7 AS b_new FROM documents x JOIN documents y ON y.doc_id = x.doc_id + 1)")
@@ -74,13 +31,13 @@ _TOKENS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 
 @query(
     "M5_bm25",
-    f"""WITH d AS (SELECT doc_id, list_filter({_TOKENS}, lambda x: length(x) > 1) AS w FROM documents), q AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter({_TOKENS}, lambda x: length(x) > 1))) AS term FROM benchmark WHERE item_id < 5),
+    f"""WITH d AS (SELECT doc_id, list_filter({_TOKENS}, lambda x: length(x) > 1) AS w FROM documents), q AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter({_TOKENS}, lambda x: length(x) > 1))) AS term FROM benchmark),
     p AS (SELECT doc_id, len(w) AS size, unnest(w) AS term FROM d), f AS (SELECT doc_id, size, term, count(*) AS tf FROM p GROUP BY ALL), c AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d), i AS (SELECT term, count(*) AS df FROM f GROUP BY 1)
     SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean))), 5) AS score FROM q JOIN f USING (term) JOIN i USING (term), c GROUP BY 1, 2""",
 )
 def _(t: Tables) -> DataFrame:
     docs = t.documents.select("doc_id", T.bm25_tokens(F.col("text")).alias("tokens"))
-    asked = t.benchmark.filter("item_id < 5").select(F.col("item_id").alias("query_id"), T.bm25_tokens(F.col("text")).alias("tokens"))
+    asked = t.benchmark.select(F.col("item_id").alias("query_id"), T.bm25_tokens(F.col("text")).alias("tokens"))
     return R.bm25(docs, asked).withColumn("score", F.round("score", 5))
 
 
@@ -121,12 +78,12 @@ def _(t: Tables) -> DataFrame:
     return R.recall_at(ranked, gold, 5).withColumns({c: F.round(c, 8) for c in ("recall", "mrr")})
 
 
-_BIGRAMS = "SELECT doc_id, source, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS phrase FROM (SELECT doc_id, source, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents WHERE lang = 'de')"
+_BIGRAMS = "SELECT doc_id, source, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS phrase FROM (SELECT doc_id, source, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents)"
 
 
 @query("X16_phrase_counts", f"SELECT phrase, count(DISTINCT doc_id) AS docs, count(*) AS occurrences FROM ({_BIGRAMS}) GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5")
 def _(t: Tables) -> DataFrame:
-    return R.phrase_counts(t.documents.filter("lang = 'de'"), _bigrams(), 5)
+    return R.phrase_counts(t.documents, _bigrams(), 5)
 
 
 def _bigrams():
@@ -135,18 +92,67 @@ def _bigrams():
 
 @query(
     "X17_phrase_shift",
-    f"""WITH p AS (SELECT DISTINCT doc_id, doc_id % 3 AS k, phrase FROM ({_BIGRAMS})), n AS (SELECT doc_id % 3 AS k, count(*) AS total FROM documents WHERE lang = 'de' GROUP BY 1),
+    f"""WITH p AS (SELECT DISTINCT doc_id, doc_id % 3 AS k, phrase FROM ({_BIGRAMS})), n AS (SELECT doc_id % 3 AS k, count(*) AS total FROM documents GROUP BY 1),
     s AS (SELECT phrase, count(*) AS docs, """ + ", ".join(f"count(*) FILTER (WHERE k = {k}) / (SELECT total FROM n WHERE k = {k}) AS share_{k}" for k in range(3)) + """ FROM p GROUP BY 1)
     SELECT phrase, docs, round(share_0, 8) AS share_0, round(share_1, 8) AS share_1, round(share_2, 8) AS share_2, round(share_2 - share_0, 8) AS effect, CASE WHEN share_1 >= share_0 AND share_2 >= share_1 THEN 'rising' WHEN share_1 <= share_0 AND share_2 <= share_1 THEN 'falling' ELSE 'mixed' END AS shape
-    FROM s WHERE docs >= 8 AND greatest(share_0, share_1, share_2) >= 0.1 AND abs(share_2 - share_0) >= 0.05""",
+    FROM s WHERE docs >= 8 AND greatest(share_0, share_1, share_2) >= 0.05 AND abs(share_2 - share_0) >= 0.02""",
 )
 def _(t: Tables) -> DataFrame:
-    rows = t.documents.filter("lang = 'de'").withColumn("k", F.col("doc_id") % 3)
-    out = R.phrase_shift(rows, "k", [0, 1, 2], _bigrams(), 8, 0.1, 0.05)
+    rows = t.documents.withColumn("k", F.col("doc_id") % 3)
+    out = R.phrase_shift(rows, "k", [0, 1, 2], _bigrams(), 8, 0.05, 0.02)
     return out.withColumns({c: F.round(c, 8) for c in ("share_0", "share_1", "share_2", "effect")})
 
 
-@query("M1_exact_containment", "SELECT item_id, doc_id FROM documents d JOIN benchmark b ON contains(d.text, substring(b.text, 1, 60)) WHERE item_id < 10")
+_DOT = "list_dot_product(x.e, y.e) / (sqrt(list_dot_product(x.e, x.e)) * sqrt(list_dot_product(y.e, y.e)))"
+_WORDS = f"list_filter({_TOKENS}, lambda x: length(x) > 1)"
+_TERMS = "list_distinct(regexp_extract_all(lower(text), '[a-z]{6,}')[1:5])"
+
+
+@query(
+    "X18_hybrid_top",
+    f"""WITH d AS (SELECT doc_id, text, embedding::DOUBLE[] AS e, {_WORDS} AS w FROM documents JOIN embeddings ON vec_id = doc_id), q AS (SELECT * FROM d WHERE doc_id % 100 = 0),
+    c AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d), f AS (SELECT doc_id, size, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS size, unnest(w) AS term FROM d) GROUP BY ALL), i AS (SELECT term, count(*) AS df FROM f GROUP BY 1), k AS (SELECT doc_id AS query_id, unnest(list_distinct(w)) AS term FROM q),
+    l AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean))) AS lexical FROM k JOIN f USING (term) JOIN i USING (term), c GROUP BY 1, 2),
+    o AS (SELECT q.doc_id AS query_id, t.doc_id, least(count(*), 3) AS hits FROM q JOIN (SELECT doc_id, unnest({_TERMS}) AS term FROM d) t ON contains(lower(q.text), t.term) GROUP BY 1, 2),
+    s AS (SELECT x.doc_id AS query_id, y.doc_id AS id, {_DOT} AS dense, coalesce(lexical, 0) AS lexical, coalesce(hits, 0)::DOUBLE AS overlap FROM q x CROSS JOIN d y LEFT JOIN l ON l.query_id = x.doc_id AND l.doc_id = y.doc_id LEFT JOIN o ON o.query_id = x.doc_id AND o.doc_id = y.doc_id),
+    z AS (SELECT query_id, id, """ + ", ".join(f"CASE WHEN max({x}) OVER w > min({x}) OVER w THEN ({x} - min({x}) OVER w) / (max({x}) OVER w - min({x}) OVER w) ELSE 0 END AS {x}" for x in ("dense", "lexical", "overlap")) + """ FROM s WINDOW w AS (PARTITION BY query_id)),
+    r AS (SELECT query_id, id, round(0.55::DOUBLE * dense + 0.3::DOUBLE * lexical + 0.15::DOUBLE * overlap, 7) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(0.55::DOUBLE * dense + 0.3::DOUBLE * lexical + 0.15::DOUBLE * overlap, 7) DESC, id)::INT AS rank FROM z)
+    SELECT query_id, id, round(score, 5) AS score, rank FROM r WHERE rank <= 20""",
+)
+def _(t: Tables) -> DataFrame:
+    both = t.documents.join(t.embeddings, F.col("vec_id") == F.col("doc_id"))
+    terms = F.array_distinct(F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0)), 1, 5))
+    nodes = both.select(F.col("doc_id").alias("id"), "embedding", F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) > 1).alias("tokens"), terms.alias("terms"), F.lower("text").alias("haystack"))
+    queries = nodes.filter("id % 100 = 0").withColumnRenamed("id", "query_id")
+    return R.hybrid_top(queries, nodes, 20).withColumn("score", F.round("score", 5))
+
+
+@query(
+    "X18_with_parents",
+    """WITH t AS (SELECT o_custkey AS query_id, o_orderkey AS id, o_totalprice AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)::INT AS rank FROM orders QUALIFY rank <= 3)
+    SELECT query_id, id, score, rank, FALSE AS backoff FROM t UNION ALL SELECT query_id, -1 - id % 10, max(score), NULL, TRUE FROM t WHERE id % 10 > 2 GROUP BY 1, 2""",
+)
 def _(t: Tables) -> DataFrame:
-    few = F.broadcast(t.benchmark.filter("item_id < 10").select("item_id", F.substring("text", 1, 60).alias("part")))
-    return t.documents.join(few, F.contains("text", "part")).select("item_id", "doc_id")
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
+    top = t.orders.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("score"), rank.alias("rank")).filter("rank <= 3")
+    parents = t.orders.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 10 > 2, -1 - F.col("o_orderkey") % 10).alias("parent"))
+    return R.with_parents(top, parents)
+
+
+@query(
+    "A32_recall_report",
+    """WITH g AS (SELECT o_custkey AS query_id, max(o_orderkey) AS id FROM orders GROUP BY 1), r AS (SELECT o_custkey AS query_id, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders QUALIFY rank <= 5),
+    n AS (SELECT o_orderkey AS id, o_orderkey % 3 AS parent, o_orderpriority AS l1 FROM orders), w AS (SELECT g.query_id, n.* FROM g JOIN n USING (id)),
+    x AS (SELECT w.query_id, l1, rank, EXISTS (SELECT 1 FROM r JOIN n m USING (id) WHERE r.query_id = w.query_id AND m.parent = w.parent) AS near FROM w LEFT JOIN r ON r.query_id = w.query_id AND r.id = w.id)
+    SELECT l1, count(*) AS queries, round(avg((rank IS NOT NULL)::INT), 8) AS strict, round(avg(near::INT), 8) AS lenient, round(avg(coalesce(1 / rank, 0)), 8) AS mrr FROM x GROUP BY ROLLUP (l1)""",
+)
+def _(t: Tables) -> DataFrame:
+    from pyspark.sql import Window
+
+    gold = t.orders.groupBy(F.col("o_custkey").alias("query_id")).agg(F.max("o_orderkey").alias("id"))
+    rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
+    ranked = t.orders.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("id"), rank.alias("rank"))
+    nodes = t.orders.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 3).alias("parent"), F.col("o_orderpriority").alias("l1"))
+    return R.recall_report(ranked, gold, nodes, 5).withColumns({c: F.round(c, 8) for c in ("strict", "lenient", "mrr")})

@@ -250,3 +250,41 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     return R.best_threshold(t.documents.join(t.labels, "doc_id"), "n_chars", "quality", 0.9).withColumns({c: F.round(c, 8) for c in ("precision", "recall", "f1")})
+
+
+@query(
+    "A25_pair_rules",
+    """WITH c AS (SELECT l_shipmode_ AS a, l_linestatus AS b, l_returnflag, count(*) AS n FROM (SELECT l_linenumber % 4 AS l_shipmode_, * FROM lineitem) GROUP BY ALL), r AS (SELECT *, n / sum(n) OVER (PARTITION BY a, b) AS p, row_number() OVER w AS k, coalesce(lead(n) OVER w, 0) AS nx FROM c WINDOW w AS (PARTITION BY a, b ORDER BY n DESC, l_returnflag))
+    SELECT a, b, l_returnflag, n, round(p, 6) AS precision, round(p - p * nx / n, 6) AS margin FROM r WHERE k = 1 AND n >= 3 AND p >= 0.2""",
+)
+def _(t: Tables) -> DataFrame:
+    rows = t.lineitem.select((F.col("l_linenumber") % 4).alias("a"), F.col("l_linestatus").alias("b"), "l_returnflag")
+    return R.mined_pair_rules(rows, "a", "b", "l_returnflag", 3, 0.2, -1.0).withColumns({c: F.round(c, 6) for c in ("precision", "margin")})
+
+
+@query(
+    "A31_average_metrics",
+    """WITH p AS (SELECT lang AS a, CASE WHEN n_chars % 5 = 0 THEN 'en' ELSE lang END AS b FROM documents), k AS (SELECT a AS label FROM p UNION SELECT b FROM p),
+    m AS (SELECT label, count(*) FILTER (WHERE a = label AND b = label) AS tp, count(*) FILTER (WHERE a <> label AND b = label) AS fp, count(*) FILTER (WHERE a = label AND b <> label) AS fn FROM k, p GROUP BY 1),
+    c AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r, 2 * tp / (2 * tp + fp + fn) AS f FROM m)
+    SELECT round(sum(tp) / sum(tp + fn), 8) AS accuracy, round(avg(p), 8) AS macro_precision, round(avg(r), 8) AS macro_recall, round(avg(f), 8) AS macro_f1, round(sum(tp) / sum(tp + fp), 8) AS micro_precision, round(sum(tp) / sum(tp + fn), 8) AS micro_recall, round(2 * sum(tp) / sum(2 * tp + fp + fn), 8) AS micro_f1,
+    round(sum(p * (tp + fn)) / sum(tp + fn), 8) AS weighted_precision, round(sum(r * (tp + fn)) / sum(tp + fn), 8) AS weighted_recall, round(sum(f * (tp + fn)) / sum(tp + fn), 8) AS weighted_f1 FROM c""",
+)
+def _(t: Tables) -> DataFrame:
+    rows = t.documents.select(F.col("lang").alias("a"), F.when(F.col("n_chars") % 5 == 0, "en").otherwise(F.col("lang")).alias("b"))
+    out = R.average_metrics(R.class_metrics(rows, "a", "b"))
+    return out.select(*[F.round(c, 8).alias(c) for c in out.columns])
+
+
+@query(
+    "A31_set_metrics",
+    """WITH s AS (SELECT list_distinct([p_brand, p_type, CASE WHEN p_size > 25 THEN 'big' ELSE p_brand END]) AS a, list_distinct([p_brand, CASE WHEN p_size % 3 = 0 THEN p_type ELSE 'other' END, CASE WHEN p_size > 20 THEN 'big' ELSE p_brand END]) AS b FROM part),
+    n AS (SELECT len(a) AS t, len(b) AS g, len(list_intersect(a, b)) AS c FROM s)
+    SELECT count(*) AS n, round(avg((t = c AND g = c)::INT), 8) AS subset_accuracy, round(sum(c) / sum(g), 8) AS micro_precision, round(sum(c) / sum(t), 8) AS micro_recall, round(2 * sum(c) / sum(t + g), 8) AS micro_f1 FROM n""",
+)
+def _(t: Tables) -> DataFrame:
+    size = F.col("p_size")
+    truth = F.array("p_brand", "p_type", F.when(size > 25, "big").otherwise(F.col("p_brand")))
+    guess = F.array("p_brand", F.when(size % 3 == 0, F.col("p_type")).otherwise("other"), F.when(size > 20, "big").otherwise(F.col("p_brand")))
+    out = R.set_metrics(t.part.select(truth.alias("truth"), guess.alias("guess")), "truth", "guess")
+    return out.select("n", *[F.round(c, 8).alias(c) for c in out.columns if c != "n"])

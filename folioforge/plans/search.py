@@ -63,7 +63,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("L9_budget_prefix", "SELECT doc_id, so_far::BIGINT AS so_far FROM (SELECT *, sum(n_chars) OVER (ORDER BY n_chars, doc_id ROWS UNBOUNDED PRECEDING) AS so_far FROM documents) WHERE so_far <= 100000")
 def _(t: Tables) -> DataFrame:
-    return S.budget_prefix(t.documents.select("doc_id", "n_chars"), [F.asc("n_chars"), F.asc("doc_id")], "n_chars", 100_000).select("doc_id", "so_far")
+    return S.budget_prefix(t.documents.select("doc_id", "n_chars"), "n_chars", [F.asc("n_chars"), F.asc("doc_id")], "n_chars", 100_000).select("doc_id", "so_far")
 
 
 @query("L10_seeded_sample", "SELECT o_orderkey FROM orders ORDER BY md5(o_orderkey::VARCHAR || '/7'), o_orderkey LIMIT 100")
@@ -101,16 +101,10 @@ def _(t: Tables) -> DataFrame:
     return t.customer.select(F.col("c_nationkey").alias("k")).subtract(t.supplier.filter("s_suppkey % 3 = 0").select("s_nationkey"))
 
 
-_EDGES = "SELECT DISTINCT l_partkey % 100 AS a, l_suppkey % 7 + 200 AS b FROM lineitem WHERE l_quantity = 1 AND l_partkey % 100 < 60"
-
-
-@query(
-    "U3_grouped_pairs",
-    f"""WITH RECURSIVE e AS ({_EDGES}), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(n, m) AS (SELECT a, a FROM s UNION SELECT r.n, s.b FROM r JOIN s ON s.a = r.m) SELECT n AS node, min(m) AS root FROM r GROUP BY 1""",
-)
+@query("U3_grouped_pairs", "SELECT o_orderkey AS node, min(o_orderkey) OVER (PARTITION BY o_custkey) AS root FROM orders UNION ALL SELECT 10000000 + o_custkey, min(o_orderkey) FROM orders GROUP BY o_custkey")
 def _(t: Tables) -> DataFrame:
-    pairs = t.lineitem.filter("l_quantity = 1 AND l_partkey % 100 < 60").select((F.col("l_partkey") % 100).alias("a"), (F.col("l_suppkey") % 7 + 200).alias("b")).distinct()
-    return sets.grouped(pairs)
+    # orders and their customers: as many groups as customers that order
+    return sets.grouped(t.orders.select(F.col("o_orderkey").alias("a"), (10_000_000 + F.col("o_custkey")).alias("b")))
 
 
 @query("U4_pair_set", "SELECT DISTINCT least(o_custkey % 50, o_orderkey % 50) AS a, greatest(o_custkey % 50, o_orderkey % 50) AS b FROM orders WHERE o_custkey % 50 <> o_orderkey % 50")

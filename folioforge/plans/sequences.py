@@ -126,3 +126,26 @@ def _(t: Tables) -> DataFrame:
     pages = turns(t).withColumn("c", (F.col("n") % 97) / 97.0)
     out = S.review_summary(pages, "conv_id", "turn", "role", "c", 0.3)
     return out.withColumns({c: F.round(c, 8) for c in ("mean_confidence", "least_confidence", "worst3", "review_score")})
+
+
+_PROBS = "(1 + {x}) / (15.0 + n % 5 + n % 7 + n % 11 + n % 3 + n % 13 - 10)"
+
+
+def page_probabilities(t: Tables) -> DataFrame:
+    """Made-up label probabilities of each turn, from its length."""
+    mods = {"front": 5, "toc": 7, "body": 11, "sig": 3, "back": 13}
+    n = F.col("n")
+    total = sum((1 + n % m for m in mods.values()), F.lit(0))
+    return turns(t).select("conv_id", "turn", *[((1 + n % m) / total).alias(c) for c, m in mods.items()])
+
+
+@query("A24_review_features")
+def _(t: Tables) -> DataFrame:
+    return S.review_features(page_probabilities(t), "conv_id", "turn", {c: c for c in ("front", "toc", "body", "sig", "back")}, "body", "back")
+
+
+@query("W14_bioes_decode")
+def _(t: Tables) -> DataFrame:
+    labels = S.bioes_labels(["article", "section"])
+    scored = turns(t).select("conv_id", "turn", *[(-F.abs(F.col("n") % 11 - k)).cast("double").alias(f"s{k}") for k in range(len(labels))])
+    return S.decode_bioes(scored, "conv_id", "turn", [f"s{k}" for k in range(len(labels))], ["article", "section"])

@@ -39,9 +39,9 @@ def _(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.round(1 - F.col("l_discount"), 8).alias("priority"))
 
 
-@query("G6_batch_keys", "SELECT source, sha1(array_to_string(list_sort(list(doc_id::VARCHAR)), chr(10))) AS key FROM documents GROUP BY 1")
+@query("G6_batch_keys", "SELECT source, doc_id // 1000 AS batch, sha1(array_to_string(list_sort(list(doc_id::VARCHAR)), chr(10))) AS key FROM documents GROUP BY 1, 2")
 def _(t: Tables) -> DataFrame:
-    return t.documents.groupBy("source").agg(S.batch_key(F.collect_list(F.col("doc_id").cast("string"))).alias("key"))
+    return S.batch_keys(t.documents, "source", "doc_id")
 
 
 @query("ST1_hourly_rollup", "SELECT event_type, date_trunc('hour', ts) AS slot, count(*) AS n, sum(value::DECIMAL(18,2))::DOUBLE AS total, max(value) AS most FROM events GROUP BY 1, 2")

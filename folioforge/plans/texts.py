@@ -36,10 +36,9 @@ def _(t: Tables) -> DataFrame:
     return docs(t, plain=T.normalised(F.col("text")))
 
 
-@query("T4_tight_quotes", """SELECT doc_id, regexp_replace('" ' || substring(text, 1, 20) || ' " x', '"[ \\t]*([^"\\n]+?)[ \\t]*"', '"\\1"', 'g') AS q FROM documents WHERE NOT contains(substring(text, 1, 20), '"') AND NOT contains(substring(text, 1, 20), chr(10)) AND lang = 'en'""")
+@query("T4_tight_quotes", """SELECT doc_id, regexp_replace('" ' || text || ' " x', '([“"])[ \\t]*([^“”"\\n]+?)[ \\t]*([”"])', '\\1\\2\\3', 'g') AS q FROM documents""")
 def _(t: Tables) -> DataFrame:
-    head = F.substring(F.col("text"), 1, 20)
-    return t.documents.filter(~F.contains(head, F.lit('"')) & ~F.contains(head, F.lit("\n")) & (F.col("lang") == "en")).select("doc_id", T.tight_quotes(F.concat(F.lit('" '), head, F.lit(' " x'))).alias("q"))
+    return docs(t, q=T.tight_quotes(F.concat(F.lit('" '), F.col("text"), F.lit(' " x'))))
 
 
 _PLAIN = r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'),
@@ -64,23 +63,50 @@ def _(t: Tables) -> DataFrame:
     return titles(t).select("o_orderkey", T.normalised_title(F.col("title")).alias("plain"))
 
 
-@query("T10_party_names", r"SELECT c_custkey, trim('CUSTOMER ' || regexp_extract(c_name, '[0-9]+')) AS party FROM customer")
+#: SQL of party_name, of the column in place of {x}.
+_PARTY = """array_to_string(list_filter(string_split(regexp_replace(trim(regexp_replace(regexp_replace(upper({x}), '[^A-Z0-9&\\s]', ' ', 'g'), '\\s+', ' ', 'g')), '(?:(?:^| )(?:INC|INCORPORATED|CORP|CORPORATION|CO|COMPANY|LLC|LP|LLP|LTD|LIMITED|PLC|NV|SA|AG|GMBH|HOLDINGS))+$', ''), ' '), lambda w: w <> '' AND w NOT IN ('THE', 'AND', 'OF', 'A', 'AN')), ' ')"""
+_NAMES = "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'The ' || p_name || ', Inc.' WHEN 1 THEN p_name || ' Holdings Corp' WHEN 2 THEN p_brand || ' & ' || p_name || ' Co., LLC' WHEN 3 THEN 'Inc. of ' || p_type WHEN 4 THEN p_type || ' plc' ELSE 'A.' || p_name END AS name FROM part"
+
+
+def company_names(t: Tables) -> DataFrame:
+    k, f = F.col("p_partkey") % 6, F.concat
+    name = F.when(k == 0, f(F.lit("The "), "p_name", F.lit(", Inc."))).when(k == 1, f("p_name", F.lit(" Holdings Corp"))).when(k == 2, f("p_brand", F.lit(" & "), "p_name", F.lit(" Co., LLC"))).when(k == 3, f(F.lit("Inc. of "), "p_type")).when(k == 4, f("p_type", F.lit(" plc")))
+    return t.part.select("p_partkey", F.coalesce(name, f(F.lit("A."), "p_name")).alias("name"))
+
+
+@query("T10_party_names", f"SELECT p_partkey, {_PARTY.format(x='name')} AS party FROM ({_NAMES})")
 def _(t: Tables) -> DataFrame:
-    number = F.regexp_extract("c_name", "[0-9]+", 0)
-    return t.customer.select("c_custkey", T.party_name(F.concat(F.lit("The Customer, "), number, F.lit(" Holdings, Inc."))).alias("party"))
+    return company_names(t).select("p_partkey", T.party_name(F.col("name")).alias("party"))
+
+
+_COVERS = "SELECT d.doc_id, CASE WHEN d.doc_id % 5 = 0 THEN d.text ELSE 'by and among ' || regexp_replace(p_name, '^.', upper(substring(p_name, 1, 1))) || ' North Corp. and  Beta ' || p_brand || ' LLC, the Gamma Company; ' || d.text END AS cover FROM documents d JOIN part ON p_partkey = 1 + d.doc_id % 97"
 
 
-@query("T11_companies_on_cover", "SELECT c_custkey, ['ACME ' || c_custkey, 'BETA GAMMA'] AS names FROM customer")
+@query(
+    "T11_companies_on_cover",
+    f"""SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(regexp_replace(substring(cover, 1, 2500), '\\s+', ' ', 'g'), '\\b((?:[A-Z][A-Za-z0-9&''-]* ){{1,6}}?)(?:Inc|INC|Corp|CORP|Corporation|LLC|LP|LLP|Ltd|LTD|plc|PLC|GmbH|Company)\\b', 1),
+    lambda x: {_PARTY.format(x='x')}), lambda n: length(n) >= 3))) AS names FROM ({_COVERS})""",
+)
 def _(t: Tables) -> DataFrame:
-    cover = F.concat(F.lit("by and among Acme "), F.lit("X"), F.col("c_custkey"), F.lit(" Corp., and Beta Gamma LLC, a Delaware company"))
-    cover = F.replace(cover, F.lit("Acme X"), F.lit("Acme N"))
-    names = F.transform(T.party_names(cover), lambda n: F.replace(n, F.lit("ACME N"), F.lit("ACME ")))
-    return t.customer.select("c_custkey", names.alias("names"))
+    parts = t.part.select("p_partkey", "p_name", "p_brand")
+    made = t.documents.join(parts, F.col("p_partkey") == 1 + F.col("doc_id") % 97)
+    first = F.concat(F.upper(F.substring("p_name", 1, 1)), F.expr("substring(p_name, 2)"))
+    cover = F.concat(F.lit("by and among "), first, F.lit(" North Corp. and  Beta "), "p_brand", F.lit(" LLC, the Gamma Company; "), "text")
+    return made.select("doc_id", T.party_names(F.when(F.col("doc_id") % 5 == 0, F.col("text")).otherwise(cover)).alias("names"))
+
 
+_COUNSEL = "SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN s_name || ' & Jones LLP; Firm ' || s_nationkey || ', P.C. ;' WHEN 1 THEN s_name || ' and Partners LLP' WHEN 2 THEN 'Alpha Beta L.L.P. and ' || s_name || ' P.C.' WHEN 3 THEN s_name || chr(10) || 'Other / Third LLC' ELSE ' ; ' END AS field FROM supplier"
 
-@query("T12_counsel", "SELECT s_suppkey, ['Smith & Jones LLP', 'Firm ' || s_suppkey || ', P.C'] AS firms, ['smith jones', 'firm ' || s_suppkey] AS keys FROM supplier")
+
+@query(
+    "T12_counsel",
+    f"""SELECT s_suppkey, firms, list_transform(firms, lambda n: array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(n), '\\bp\\.?\\s?c\\.?(\\W|$)|\\bprofessional corporation\\b|\\bl\\.?l\\.?p\\.?(\\W|$)|\\bllc\\b', ' \\1\\2', 'g'), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w NOT IN ('and', 'the', 'of', '')), ' ')) AS keys
+    FROM (SELECT s_suppkey, list_filter(list_transform(string_split_regex(regexp_replace(field, '(?i)(\\b(?:l\\.?l\\.?p\\.?|p\\.?\\s?c\\.?|l\\.?l\\.?c\\.?|p\\.?\\s?a\\.?|plc|professional corporation)),?\\s+and\\s+([A-Z])', '\\1;\\2', 'g'), '\\s*(?:;|\\n|\\s/\\s)\\s*'), lambda n: trim(regexp_replace(n, '[\\s,.]+$', ''))), lambda n: n <> '') AS firms FROM ({_COUNSEL}))""",
+)
 def _(t: Tables) -> DataFrame:
-    firms = T.counsel_names(F.concat(F.lit("Smith & Jones LLP; Firm "), "s_suppkey", F.lit(", P.C. ;")))
+    k, f = F.col("s_suppkey") % 5, F.concat
+    field = F.when(k == 0, f("s_name", F.lit(" & Jones LLP; Firm "), "s_nationkey", F.lit(", P.C. ;"))).when(k == 1, f("s_name", F.lit(" and Partners LLP"))).when(k == 2, f(F.lit("Alpha Beta L.L.P. and "), "s_name", F.lit(" P.C."))).when(k == 3, f("s_name", F.lit("\nOther / Third LLC"))).otherwise(" ; ")
+    firms = T.split_firms(field)
     return t.supplier.select("s_suppkey", firms.alias("firms"), F.transform(firms, T.counsel_key).alias("keys"))
 
 
@@ -97,21 +123,40 @@ def _(t: Tables) -> DataFrame:
     return docs(t, snip=F.substring(F.col("text"), 1, 220))
 
 
-@query("T15_amounts", "SELECT o_orderkey, ['$' || o_orderkey || ' million', '$5'] AS found, FALSE AS more FROM orders")
+@query(
+    "T15_amounts",
+    r"""SELECT doc_id, list_sort(found) AS found, len(found) > 20 AS more FROM (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text || ' $' || n_chars || ' Million or $ ' || doc_id || ',000.50 and $5, $' || n_chars || ' MILLION', '(?i)\$\s?[0-9][0-9,]*(?:\.[0-9]+)?(?:\s?(?:million|billion|thousand))?'), lambda x: lower(x))) AS found FROM documents) WHERE len(found) <= 20""",
+)
 def _(t: Tables) -> DataFrame:
-    found, more = T.amounts(F.concat(F.lit("for $"), "o_orderkey", F.lit(" Million, or $5 and $5 or $"), "o_orderkey", F.lit(" MILLION.")))
-    return t.orders.select("o_orderkey", found.alias("found"), more.alias("more"))
+    said = F.concat("text", F.lit(" $"), "n_chars", F.lit(" Million or $ "), "doc_id", F.lit(",000.50 and $5, $"), "n_chars", F.lit(" MILLION"))
+    found, more = T.amounts(said)
+    return docs(t, found=F.array_sort(found), more=more).filter("NOT more")
+
+
+_SAID = {"que": "QU", "with": "EN", "und": "DE", "para": "ES", "the ": "EN"}
+
 
+_FOUND = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS name, instr(lower(text), '{w}') AS p FROM documents" for w, n in _SAID.items())
 
-@query("T16_mentions", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN ['NY', 'DE'] ELSE ['DE'] END AS states FROM nation")
+
+@query("T16_mentions", f"SELECT doc_id, coalesce(states, []) AS states FROM documents LEFT JOIN (SELECT doc_id, list(name ORDER BY p, name) AS states FROM (SELECT doc_id, name, min(p) AS p FROM ({_FOUND}) WHERE p > 0 GROUP BY 1, 2) GROUP BY 1) USING (doc_id)")
 def _(t: Tables) -> DataFrame:
-    said = F.when(F.col("n_nationkey") % 2 == 0, "New York or Delaware, new york").otherwise("the State of delaware")
-    return t.nation.select("n_nationkey", T.mentions(said, {"delaware": "DE", "new york": "NY", "texas": "TX"}).alias("states"))
+    return docs(t, states=T.mentions(F.col("text"), _SAID))
+
+
+_FITS = "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN split_part(p_type, ' ', 1) WHEN 1 THEN p_brand ELSE '' END AS concept, p_type AS label, p_size / 50 AS score, p_partkey % 2 = 0 AS matched FROM part"
 
 
-@query("T18_confidence", "SELECT doc_id, CASE WHEN n_chars >= 3000 THEN 'high' WHEN n_chars >= 1000 THEN 'medium' ELSE 'low' END AS fit FROM documents")
+@query(
+    "T18_confidence",
+    f"""SELECT p_partkey, CASE WHEN c <> '' AND contains(l, c) THEN 'canonical' WHEN matched AND score >= 0.75 THEN 'proxy' ELSE 'broad_match' END AS fit, CASE WHEN score >= 0.85 THEN 'high' WHEN score >= 0.6 THEN 'medium' ELSE 'low' END AS confidence
+    FROM (SELECT *, trim(regexp_replace(replace(lower(concept), '&', ' and '), '[^a-z0-9]+', ' ', 'g')) AS c, trim(regexp_replace(replace(lower(label), '&', ' and '), '[^a-z0-9]+', ' ', 'g')) AS l FROM ({_FITS}))""",
+)
 def _(t: Tables) -> DataFrame:
-    return docs(t, fit=F.when(F.col("n_chars") >= 3000, "high").when(F.col("n_chars") >= 1000, "medium").otherwise("low"))
+    k, score = F.col("p_partkey") % 3, F.col("p_size") / 50
+    concept = F.when(k == 0, F.split_part(F.col("p_type"), F.lit(" "), F.lit(1))).when(k == 1, F.col("p_brand")).otherwise("")
+    fit = T.fit(T.concept_key(concept), T.concept_key(F.col("p_type")), score, F.col("p_partkey") % 2 == 0)
+    return t.part.select("p_partkey", fit.alias("fit"), T.confidence(score).alias("confidence"))
 
 
 @query("T19_numbers", "SELECT n, v, k FROM (VALUES ('XIV', 14, NULL), ('iv', 4, NULL), ('MCMXC', 1990, NULL), ('6.10', NULL, 6010.0::DOUBLE), ('6.10a', NULL, 6010.5), ('abc', NULL, NULL)) x(n, v, k)")
@@ -134,7 +179,16 @@ _STOPS = ", ".join(f"'{s}'" for s in STOPS)
     f"""SELECT doc_id, (len(list_filter(range(1, len(w) - 1), lambda i: w[i] NOT IN ({_STOPS}) AND w[i + 2] NOT IN ({_STOPS}))) + len(list_filter(range(1, len(w) - 2), lambda i: w[i] NOT IN ({_STOPS}) AND w[i + 3] NOT IN ({_STOPS}))))::INT AS n FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents)""",
 )
 def _(t: Tables) -> DataFrame:
-    return docs(t, n=F.size(T.ngrams(F.col("text"), 3, 4, STOPS)))
+    return docs(t, n=T.ngram_count(F.col("text"), 3, 4, STOPS))
+
+
+@query(
+    "T21_ngram_texts",
+    f"""SELECT g, count(*) AS n FROM (SELECT unnest(list_transform(list_filter(range(1, len(w) - 1), lambda i: w[i] NOT IN ({_STOPS}) AND w[i + 2] NOT IN ({_STOPS})), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents)) GROUP BY 1 HAVING count(*) > 3""",
+)
+def _(t: Tables) -> DataFrame:
+    grams = t.documents.select(F.explode(T.ngrams(F.col("text"), 3, 3, STOPS)).alias("g"))
+    return grams.groupBy("g").agg(F.count("*").alias("n")).filter("n > 3")
 
 
 @query("T23_reading_grade", r"SELECT doc_id, round(CASE WHEN w > 0 THEN 0.39::DOUBLE * w / s + 11.8::DOUBLE * greatest(w, v) / w - 15.59 END, 6) AS grade FROM (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]+')) AS w, greatest(1, len(regexp_extract_all(text, '[.!?]+'))) AS s, len(regexp_extract_all(lower(text), '[aeiouy]+')) AS v FROM documents)")
@@ -147,22 +201,33 @@ def _(t: Tables) -> DataFrame:
     return t.part.filter(F.contains(T.plain_key(F.concat_ws(" ", "p_brand", "p_type")), F.lit("d1"))).select("p_partkey")
 
 
-@query("T25_same_folder", "SELECT n_nationkey, n_nationkey % 3 = 0 AS same FROM nation")
+_OTHER = "CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN regexp_replace(url, '^[a-z]+://', 'https://www.') WHEN 2 THEN regexp_replace(url, '/[^/]*$', '/other.htm') WHEN 3 THEN 'https://host/root.htm' ELSE regexp_replace(url, '/[^/]*$', '/deep/x.htm') END"
+
+
+@query(
+    "T25_same_folder",
+    rf"""SELECT page_id, f1 <> '' AND f1 = f2 AND h1 = h2 AS same FROM (SELECT page_id, regexp_extract(u, '^[a-z]+://([^/?#]+)((?:/[^/?#]+)+)/[^/?#]*(?:[?#].*)?$', 2) AS f1, regexp_extract(v, '^[a-z]+://([^/?#]+)((?:/[^/?#]+)+)/[^/?#]*(?:[?#].*)?$', 2) AS f2,
+    regexp_extract(u, '^[a-z]+://([^/?#]+)', 1) AS h1, regexp_extract(v, '^[a-z]+://([^/?#]+)', 1) AS h2 FROM (SELECT page_id, url AS u, {_OTHER} AS v FROM pages))""",
+)
 def _(t: Tables) -> DataFrame:
-    k = F.col("n_nationkey") % 3
-    right = F.when(k == 0, "https://x.org/a/1/ex2.htm").when(k == 1, "https://x.org/a/2/ex2.htm").otherwise("https://y.org/a/1/ex2.htm")
-    return t.nation.select("n_nationkey", T.same_folder(F.lit("https://x.org/a/1/ex1.htm"), right).alias("same"))
+    k = F.col("page_id") % 5
+    other = F.when(k == 0, F.col("url")).when(k == 1, F.regexp_replace("url", "^[a-z]+://", "https://www.")).when(k == 2, F.regexp_replace("url", "/[^/]*$", "/other.htm")).when(k == 3, "https://host/root.htm").otherwise(F.regexp_replace("url", "/[^/]*$", "/deep/x.htm"))
+    return t.pages.select("page_id", T.same_folder(F.col("url"), other).alias("same"))
 
 
 @query(
     "T27_page_features",
     r"""SELECT doc_id, length(text)::INT AS n_chars, len(regexp_extract_all(text, '\S+'))::INT AS n_words, round(len(regexp_extract_all(text, '[0-9]')) / greatest(1, length(text)), 8) AS digit_share, round(len(regexp_extract_all(text, '[A-Z]')) / greatest(1, length(text)), 8) AS upper_share,
-    len(l)::INT AS n_lines, round(CASE WHEN len(l) > 0 THEN len(list_filter(l, lambda x: length(x) < 40)) / len(l) ELSE 0 END, 8) AS short_lines FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents WHERE lang = 'en')""",
+    len(l)::INT AS n_lines, """ + ", ".join(f"round(CASE WHEN len(l) > 0 THEN len(list_filter(l, lambda x: {c})) / len(l) ELSE 0 END, 8) AS {n}" for n, c in (("short_lines", "length(x) < 40"), ("dotted_lines", r"regexp_matches(x, '\.{4,}|(\. ){3,}')"), ("number_end_lines", r"regexp_matches(x, '[0-9]+\s*$')"))) + r""",
+    len(regexp_extract_all(text, '(?i)\bsection [0-9]+\.[0-9]+'))::INT AS n_section, len(regexp_extract_all(text, '(?i)\barticle [ivxlc0-9]+\b'))::INT AS n_article, len(regexp_extract_all(text, '(?m)^\s*By:'))::INT AS n_by, contains(lower(text), 'table of contents') AS has_toc, contains(lower(text), 'in witness whereof') AS has_witness
+    FROM (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM (SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN chr(10) || 'Section 1.2 x .... 12' || chr(10) || 'Article IV' WHEN 1 THEN chr(10) || ' By: IN WITNESS WHEREOF' ELSE ' Table of Contents . . . 4' END AS text FROM documents))""",
 )
 def _(t: Tables) -> DataFrame:
-    f = T.page_features(F.col("text"))
-    share = {c: F.round(f[c], 8) for c in ("digit_share", "upper_share", "short_lines")}
-    return t.documents.filter("lang = 'en'").select("doc_id", *[(share.get(c, f[c])).alias(c) for c in ("n_chars", "n_words", "digit_share", "upper_share", "n_lines", "short_lines")])
+    k = F.col("doc_id") % 4
+    made = F.concat("text", F.when(k == 0, "\nSection 1.2 x .... 12\nArticle IV").when(k == 1, "\n By: IN WITNESS WHEREOF").otherwise(" Table of Contents . . . 4"))
+    f = T.page_features(F.col("made"))
+    share = ("digit_share", "upper_share", "short_lines", "dotted_lines", "number_end_lines")
+    return t.documents.select("doc_id", made.alias("made")).select("doc_id", *[(F.round(v, 8) if c in share else v).alias(c) for c, v in f.items()])
 
 
 @query("T30_without_control", "SELECT doc_id, text AS plain FROM documents")
@@ -170,13 +235,30 @@ def _(t: Tables) -> DataFrame:
     return docs(t, plain=T.without_control(F.concat(F.lit("\u0001"), F.col("text"), F.lit("\u0008"))))
 
 
-@query("D1_dated_as_of", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE o_orderdate::DATE END AS dated FROM orders")
+@query("D1_dated_as_of", "SELECT o_orderkey, CASE WHEN o_orderkey % 8 IN (3, 4, 5) THEN NULL ELSE o_orderdate::DATE END AS dated FROM orders")
 def _(t: Tables) -> DataFrame:
-    k, d = F.col("o_orderkey") % 4, F.col("o_orderdate")
-    said = F.when(k == 0, F.date_format(d, "'AGREEMENT dated as of 'MMMM d, yyyy' by'")).when(k == 1, F.date_format(d, "'Dated: 'd MMMM yyyy")).when(k == 2, F.date_format(d, "'dated as of the 'd'th day of 'MMMM, yyyy")).otherwise("dated as of June 31, 2021")
+    k, d = F.col("o_orderkey") % 8, F.col("o_orderdate")
+    later = F.date_format(F.date_add(d, 400), "' dated as of 'MMMM d, yyyy")
+    said = (
+        F.when(k == 0, F.concat(F.date_format(d, "'AGREEMENT dated as of 'MMMM d, yyyy' by'"), later)).when(k == 1, F.date_format(d, "'Dated: 'd MMMM yyyy")).when(k == 2, F.date_format(d, "'dated  as of\nthe 'd'th day of 'MMMM, yyyy"))
+        .when(k == 3, "dated as of June 31, 2021").when(k == 4, F.date_format(d, "'updated as of 'MMMM d, yyyy")).when(k == 5, F.concat("o_orderstatus", F.lit(" no date"))).when(k == 6, F.concat(F.lit("dated as of June 31, 2021 "), F.date_format(d, "'dated 'MMMM d yyyy")))
+        .otherwise(F.concat(F.col("o_orderpriority"), F.date_format(d, "' DATED AS OF 'MMMM d, yyyy")))
+    )
     return t.orders.select("o_orderkey", T.dated_as_of(said).alias("dated"))
 
 
+@query("D2_restated_dates", "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN [o_orderdate::DATE] WHEN 1 THEN [o_orderdate::DATE, o_orderdate::DATE + 100] ELSE []::DATE[] END AS dates, o_orderkey % 5 = 4 AS title FROM orders")
+def _(t: Tables) -> DataFrame:
+    k, d = F.col("o_orderkey") % 5, F.col("o_orderdate")
+    one, two = F.date_format(d, "'dated as of 'MMMM d, yyyy"), F.date_format(F.date_add(d, 100), "'dated 'd MMMM yyyy")
+    far = F.repeat(F.lit("filler "), 80)
+    said = (
+        F.when(k == 0, F.concat(far, F.lit("amends and restates the original merger agreement, "), one, F.lit(" and "), one)).when(k == 1, F.concat(far, F.lit("was amended and restated by that agreement "), two, F.lit("; amends and restates the agreement "), one))
+        .when(k == 2, F.concat(far, F.lit("amends and restates the agreement "), far, far, one)).when(k == 3, F.concat(far, F.lit("an agreement "), one)).otherwise(F.concat(F.lit("AMENDED AND\nRESTATED MERGER AGREEMENT "), far))
+    )
+    return t.orders.select("o_orderkey", T.restated_dates(said).alias("dates"), T.restates(said).alias("title"))
+
+
 @query("D3_years_ago", "SELECT o_orderkey, (o_orderdate::DATE - INTERVAL 3 YEAR)::DATE AS before FROM orders")
 def _(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", T.years_ago(F.col("o_orderdate").cast("date"), 3).alias("before"))
@@ -221,9 +303,23 @@ def _(t: Tables) -> DataFrame:
 
 @query("M10_terciles", "SELECT c_custkey, ntile(3) OVER (ORDER BY c_acctbal, c_custkey)::INT AS tercile FROM customer")
 def _(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
+    from folioforge.operators.rollups import ntiles
+
+    return ntiles(t.customer.select("c_custkey", "c_acctbal"), "c_acctbal", [F.asc("c_acctbal"), F.asc("c_custkey")], 3, "tercile").drop("c_acctbal")
+
+
+@query("M10_fixed_edges", "SELECT c_custkey, CASE WHEN c_acctbal BETWEEN 0 AND 1000 THEN 'low' WHEN c_acctbal > 1000 AND c_acctbal <= 5000 THEN 'middle' WHEN c_acctbal > 5000 AND c_acctbal <= 9000 THEN 'high' END AS bucket FROM customer")
+def _(t: Tables) -> DataFrame:
+    from folioforge.operators.rollups import cut_edges
 
-    return t.customer.select("c_custkey", F.ntile(3).over(Window.orderBy("c_acctbal", "c_custkey")).alias("tercile"))
+    return t.customer.select("c_custkey", cut_edges(F.col("c_acctbal"), [0, 1000, 5000, 9000], ["low", "middle", "high"]).alias("bucket"))
+
+
+@query("M2_linear_quantile", "SELECT c_nationkey, round(quantile_cont(c_acctbal, 0.1) FILTER (WHERE c_acctbal > 0), 6) AS p10, round(quantile_cont(c_acctbal, 0.95) FILTER (WHERE c_acctbal > 0), 6) AS p95 FROM customer GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    from folioforge.operators.rollups import quantiles
+
+    return quantiles(t.customer, ["c_nationkey"], "c_acctbal", {"p10": 0.1, "p95": 0.95}).withColumns({c: F.round(c, 6) for c in ("p10", "p95")})
 
 
 @query("R1_merged_spans", "WITH s AS (SELECT l_orderkey AS k, l_linenumber * 10 AS a, l_linenumber * 10 + l_quantity::INT AS b FROM lineitem), m AS (SELECT *, max(b) OVER (PARTITION BY k ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM s), g AS (SELECT *, sum(CASE WHEN p IS NULL OR a > p + 3 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS i FROM m) SELECT k, min(a) AS start, max(b) AS stop FROM g GROUP BY k, i")
@@ -234,15 +330,24 @@ def _(t: Tables) -> DataFrame:
     return merge_spans(spans, "k", gap=3)
 
 
-@query("R4_distinct_in_order", "SELECT conv_id, list_distinct(list(role))::VARCHAR[] IS NOT NULL AS any_role FROM conversations GROUP BY 1")
+@query("R4_distinct_in_order", "SELECT conv_id, list(role ORDER BY t, role) AS roles FROM (SELECT conv_id, role, min(turn) AS t FROM conversations GROUP BY 1, 2) GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"])
-    return t.conversations.groupBy("conv_id").agg((F.size(F.array_distinct(ordered)) > 0).alias("any_role"))
+    # of each conversation only its different roles are gathered, not its turns
+    first = t.conversations.groupBy("conv_id", "role").agg(F.min("turn").alias("t"))
+    return first.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "role"))), lambda x: x["role"]).alias("roles"))
+
+
+_LISTS = """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '["' || p_brand || '", "' || p_type || '"]' WHEN 1 THEN '[]' WHEN 2 THEN '' WHEN 3 THEN '["' || p_brand WHEN 4 THEN '{"a": 1}' ELSE NULL END AS said FROM part"""
 
 
-@query("N1_json_lists", "SELECT p_partkey, [p_brand, p_type] AS ids FROM part")
+@query("N1_json_lists", f"SELECT p_partkey, CASE WHEN p_partkey % 6 = 0 THEN [p_brand, p_type] WHEN p_partkey % 6 = 1 THEN []::VARCHAR[] END AS strict, CASE WHEN p_partkey % 6 = 0 THEN [p_brand, p_type] ELSE []::VARCHAR[] END AS lenient FROM ({_LISTS}) JOIN part USING (p_partkey)")
 def _(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", F.from_json(F.to_json(F.array("p_brand", "p_type")), "array<string>").alias("ids"))
+    return t.part.select("p_partkey", json_said().alias("said")).select("p_partkey", T.json_list(F.col("said")).alias("strict"), T.json_list(F.col("said"), strict=False).alias("lenient"))
+
+
+def json_said():
+    k = F.col("p_partkey") % 6
+    return F.when(k == 0, F.concat(F.lit('["'), "p_brand", F.lit('", "'), "p_type", F.lit('"]'))).when(k == 1, "[]").when(k == 2, "").when(k == 3, F.concat(F.lit('["'), "p_brand")).when(k == 4, '{"a": 1}')
 
 
 @query("N2_compact_json", """SELECT p_partkey, '["' || p_brand || '","' || p_type || '"]' AS j FROM part""")
@@ -250,9 +355,9 @@ def _(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.to_json(F.array("p_brand", "p_type")).alias("j"))
 
 
-@query("N3_bridge", "SELECT p_partkey, unnest([p_brand, p_type]) AS id FROM part")
+@query("N3_bridge", "SELECT p_partkey, unnest([p_brand, p_type]) AS id FROM part WHERE p_partkey % 6 = 0")
 def _(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", F.explode(F.from_json(F.to_json(F.array("p_brand", "p_type")), "array<string>")).alias("id"))
+    return t.part.select("p_partkey", F.explode(T.json_list(json_said(), strict=False)).alias("id"))
 
 
 @query("N4_response_check", "SELECT event_id, CASE WHEN k IS NULL THEN 'unparsed' WHEN k >= 50 THEN 'unknown' ELSE 'ok' END AS verdict FROM (SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)")
@@ -280,3 +385,86 @@ def _(t: Tables) -> DataFrame:
 @query("U6_uuid5")
 def _(t: Tables) -> DataFrame:
     return t.pages.select("page_id", T.uuid5("6ba7b8119dad11d180b400c04fd430c8", F.col("url")).alias("uuid"))
+
+
+@query(
+    "T5_quick_links",
+    r"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) || chr(10) || chr(10) || 'QuickLinks' WHEN 1 THEN chr(10) || 'QuickLinks' || chr(10) || '-- Click here to rapidly navigate through this document' || chr(10) || text WHEN 2 THEN 'QuickLinks' ELSE text END AS moved FROM documents""",
+)
+def _(t: Tables) -> DataFrame:
+    k = F.col("doc_id") % 4
+    said = F.when(k == 0, F.concat(F.lit("\n QuickLinks \n"), "text")).when(k == 1, F.concat(F.lit("\nQuickLinks\n-- Click here to rapidly navigate through this document\n"), "text")).when(k == 2, "QuickLinks").otherwise(F.col("text"))
+    return docs(t, moved=T.quick_links_last(said))
+
+
+@query(
+    "T5_chrome",
+    r"""SELECT doc_id, trim(CASE WHEN doc_id % 3 = 0 THEN regexp_replace('One' || chr(10) || text, '\n{3,}', chr(10) || chr(10), 'g') WHEN doc_id % 3 = 1 THEN regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g') ELSE text END, ' ' || chr(9) || chr(10) || chr(13)) AS plain FROM documents""",
+)
+def _(t: Tables) -> DataFrame:
+    k = F.col("doc_id") % 3
+    said = F.when(k == 0, F.concat(F.lit("QuickLinks\n-- click here to rapidly navigate through this document\nOne\n  Back to Contents\n"), "text")).when(k == 1, F.concat(F.lit("\nReturn to the Table of Contents\n"), "text")).otherwise(F.col("text"))
+    return docs(t, plain=T.without_chrome(said))
+
+
+_COURT = "CASE doc_id % 5 WHEN 0 THEN 'In the Court of Chancery of the State of Delaware, ' WHEN 1 THEN 'U.S. District Court for the District of Delaware: ' WHEN 2 THEN 'the Delaware court of chancery/' WHEN 3 THEN 'the 12-34 federal district court for the district of Delaware ' ELSE '' END"
+
+
+@query(
+    "T22_phrase_text",
+    rf"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(x, '[-/]+', ' ', 'g'), '[^a-z0-9\s'']+', ' ', 'g'), '\s+', ' ', 'g')) AS plain FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'in delaware court of chancery, ' WHEN 1 THEN 'district of delaware: ' WHEN 2 THEN 'delaware court of chancery/' WHEN 3 THEN 'the 12-34 district of delaware ' ELSE '' END || lower(text) AS x FROM documents)""",
+)
+def _(t: Tables) -> DataFrame:
+    return docs(t, plain=T.phrase_text(F.concat(F.expr(_COURT), F.col("text"))))
+
+
+@query(
+    "T22_noisy_phrases",
+    """SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN TRUE WHEN 1 THEN TRUE WHEN 2 THEN FALSE WHEN 3 THEN TRUE WHEN 4 THEN FALSE WHEN 5 THEN TRUE ELSE FALSE END AS noisy FROM part""",
+)
+def _(t: Tables) -> DataFrame:
+    k, n = F.col("p_partkey") % 7, F.col("p_size").cast("string")
+    phrase = (
+        F.when(k == 0, F.concat(n, F.lit(" "), n)).when(k == 1, F.concat(F.lit("section "), n, F.lit(" a"))).when(k == 2, F.concat(n, F.lit(" days"))).when(k == 3, F.concat(n, F.lit(" 2nd day")))
+        .when(k == 4, F.regexp_replace(F.lower("p_type"), "[^a-z ]", " ")).when(k == 5, F.lit(" ")).otherwise(F.concat(n, F.lit(" business days before")))
+    )
+    return t.part.select("p_partkey", T.noisy_phrase(phrase).alias("noisy"))
+
+
+@query(
+    "T23_complexity",
+    r"""SELECT doc_id, w::INT AS words, round(g, 6) AS grade, round(w / s, 6) AS words_per_sentence, round((g + w / s / 2) / 2, 6) AS composite FROM (SELECT *, CASE WHEN w > 0 THEN 0.39::DOUBLE * w / s + 11.8::DOUBLE * greatest(w, v) / w - 15.59 END AS g FROM (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]+')) AS w, greatest(1, len(regexp_extract_all(text, '[.!?]+'))) AS s, len(regexp_extract_all(lower(text), '[aeiouy]+')) AS v FROM documents)) WHERE w > 0""",
+)
+def _(t: Tables) -> DataFrame:
+    made = T.complexity(F.col("text"))
+    return docs(t, **{c: v if c == "words" else F.round(v, 6) for c, v in made.items()}).filter("words > 0")
+
+
+@query("T17_concepts")
+def _(t: Tables) -> DataFrame:
+    from folioforge.operators.concepts import matched_concepts
+
+    labels = t.part.select(F.col("p_type").alias("id"), F.col("p_type").alias("label"), F.array("p_type", F.concat_ws(" > ", F.split_part(F.col("p_type"), F.lit(" "), F.lit(1)), "p_type")).alias("terms")).distinct()
+    concepts = t.nation.select(F.col("n_nationkey").alias("concept_id"), F.concat_ws(" ", F.element_at(F.array(F.lit("steel"), F.lit("plated nickel"), F.lit("small & brushed")), (F.col("n_nationkey") % 3 + 1).cast("int")), "n_name").alias("concept"))
+    return matched_concepts(concepts, labels, 5)
+
+
+@query(
+    "R2_aligned_quotes",
+    """SELECT doc_id, CASE WHEN substring(text, e + 1, 12) = q THEN e WHEN instr(w, q) > 0 AND instr(substring(w, instr(w, q) + 1), q) = 0 THEN greatest(0, e - 128) + instr(w, q) - 1 END AS start FROM (SELECT *, substring(text, greatest(0, e - 128) + 1, e + 140 - greatest(0, e - 128)) AS w FROM (SELECT doc_id, text, substring(text, 31, 12) AS q, 30 + 7 * (doc_id % 2) AS e FROM documents WHERE length(text) > 60))
+    WHERE substring(text, e + 1, 12) = q OR instr(w, q) > 0""",
+)
+def _(t: Tables) -> DataFrame:
+    from folioforge.functions.spans import aligned
+
+    rows = t.documents.filter(F.length("text") > 60).select("doc_id", "text", F.substring("text", 31, 12).alias("quote"), (30 + 7 * (F.col("doc_id") % 2)).alias("expected"))
+    return rows.select("doc_id", aligned("text", "quote", "expected")["start"].alias("start"))
+
+
+@query("R3_inserted_tags", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE '<a>' || substring(text, 1, 5) || '</a>' || substring(text, 6, 2) || '<b>' || substring(text, 8, 5) || '</b>' || substring(text, 13) END AS tagged FROM documents WHERE length(text) >= 20")
+def _(t: Tables) -> DataFrame:
+    from folioforge.functions.spans import tagged
+
+    second = F.when(F.col("doc_id") % 3 == 0, 3).otherwise(7)
+    spans = F.array(F.struct(second.alias("start"), F.lit(12).alias("stop"), F.lit("b").alias("tag")), F.struct(F.lit(0).alias("start"), F.lit(5).alias("stop"), F.lit("a").alias("tag")))
+    return t.documents.filter(F.length("text") >= 20).select("doc_id", tagged(F.col("text"), spans).alias("tagged"))

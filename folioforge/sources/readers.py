@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,3 +70,46 @@ def manifest_states(rows: DataFrame, manifest: DataFrame, key: str, text: str) -
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a file of JSON lines; lines that do not parse are kept whole in _corrupt."""
     return spark.read.schema(f"{schema}, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+
+
+def rendered(pages: DataFrame, key: str, url: str, content: str) -> DataFrame:
+    """key, kind, text: pages by the kind of their address; text files as they are, HTML as its shown text, others null."""
+    from folioforge.operators.documents import html_text
+
+    typed = pages.select(key, kind_of(F.col(url)).alias("kind"), F.col(content).alias("_c"))
+    html = html_text(F.when(F.col("kind") == "html", F.col("_c")))
+    return typed.select(key, "kind", F.when(F.col("kind") == "txt", F.col("_c")).when(F.col("kind") == "html", html).alias("text"))
+
+
+def read_training(spark: SparkSession, path: str, columns: dict[str, str], lead: str, order: Sequence[str]) -> DataFrame:
+    """A table with the columns checked, and each row's place in that order, by ranges: no task sorts the whole table. lead: order's first."""
+    from folioforge.operators.rollups import running
+
+    rows = require(spark.read.parquet(path).select(*columns), columns)
+    return running(rows, lead, [F.col(c) for c in order], {"place": F.lit(1)})
+
+
+def download_pages(spark: SparkSession, fetch: Callable[[str | None], tuple[list[tuple], str | None]], schema: str, folder: str) -> DataFrame:
+    """The rows of a paged source, written page by page with the cursor that comes next, so that a download goes on where it stopped.
+
+    fetch(cursor) gives a page's rows and the next cursor, null at the end; a page is held by the driver, the table is not.
+    """
+    marks = f"{folder}/cursors"
+
+    def held() -> dict[int, str | None]:
+        try:
+            return {r.page: r.next for r in spark.read.schema("page int, next string").json(marks).collect()}
+        except Exception as error:  # nothing yet
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            return {}
+
+    done = held()
+    page = max(done, default=-1)
+    cursor = done.get(page)
+    while page < 0 or cursor is not None:
+        rows, cursor = fetch(cursor)
+        page += 1
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{folder}/rows/page={page}")
+        spark.createDataFrame([(page, cursor)], "page int, next string").coalesce(1).write.mode("append").json(marks)
+    return spark.read.parquet(f"{folder}/rows").drop("page")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import tempfile
+import uuid
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,3 +72,42 @@ def restore(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 def append_csv(frame: DataFrame, path: str) -> None:
     frame.write.mode("append").option("header", True).csv(path)
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder path below the folder that spark.checkpoint.dir names; a local one only where none is named, on a local master."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir", None)
+    if root is None:
+        held = context._jsc.sc().getCheckpointDir()
+        if held.isDefined():
+            root = held.get()
+        elif context.master.startswith("local") and not context.master.startswith("local-cluster"):
+            root = "file://" + tempfile.mkdtemp(prefix="folioforge-")
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def write_lines(rows: DataFrame, path: str) -> None:
+    """Rows of one text column as the lines of files."""
+    rows.write.mode("append").text(path)
+
+
+def last_wins(old: DataFrame, new: DataFrame, keys: Sequence[str], arrival: str) -> DataFrame:
+    """The table after each key's last new row, whole, has taken the place of what was there."""
+    last = keep_last(new, keys, arrival).select(*old.columns)
+    return old.join(last.select(*keys), list(keys), "left_anti").unionByName(last)
+
+
+def rebuild(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> None:
+    """Makes a table anew, one writer at a time: a lock file beside it is created, which fails if another holds it, and taken away at the end."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    lock = hadoop.Path(path + ".lock")
+    store = lock.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.createNewFile(lock):
+        raise RuntimeError(f"{path} is being rebuilt")
+    try:
+        make().write.mode("overwrite").parquet(path)
+    finally:
+        store.delete(lock, False)

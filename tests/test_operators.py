@@ -16,7 +16,7 @@ from folioforge.functions import text as T
 from folioforge.operators import documents as D
 from folioforge.operators import near_duplicates as N
 from folioforge.operators import retrieval as R
-from folioforge.operators import rollups, search, sequence, sets, states
+from folioforge.operators import concepts, exhibits, repairs, rollups, search, sequence, sets, slots, states
 from folioforge.sources import readers, sinks
 from folioforge.streaming import usage
 
@@ -84,7 +84,8 @@ def test_minhash_estimates_and_finds_pairs(spark):
     rows = [(0, " ".join(base)), (1, " ".join(base[:290] + [word() for _ in range(10)])), (2, " ".join(word() for _ in range(300))), (3, ""), (4, None), (5, "one two")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     signed = N.signatures(docs)
-    assert {(p.a, p.b) for p in N.lsh_candidates(signed).collect()} == {(0, 1)}
+    found = {(p.a, p.b) for p in N.lsh_candidates(signed, signed).collect()}
+    assert {(0, 1), (1, 0)} <= found and all(a != b for a, b in found)
     a, b = (signed.filter(f"doc_id = {k}").select(F.col("minhash").alias(f"m{k}"), F.col("shingle_count").alias(f"n{k}")) for k in (0, 1))
     j, c = N.estimated(F.col("m0"), F.col("m1"), F.col("n0"), F.col("n1"))
     got = a.crossJoin(b).select(j, c).first()
@@ -178,3 +179,224 @@ def test_odd_dates(spark):
     said = ["dated as of June 31, 2021 and dated as of 1 May 202 1", "Dated: March 3, 1980", "DATED AS OF THE 2nd day of July, 2020", None]
     got = [r[0] for r in spark.createDataFrame([(s,) for s in said], "t string").select(T.dated_as_of(F.col("t"))).collect()]
     assert got[1:] == [None, datetime.date(2020, 7, 2), None]
+
+
+def test_lsh_candidates_are_not_chained(spark):
+    rows = spark.createDataFrame([(1, [1, 2, 3, 4]), (2, [1, 2, 7, 8]), (3, [1, 2, 3, 9]), (4, [])], "doc_id long, minhash array<bigint>")
+    assert {(p.a, p.b) for p in N.lsh_candidates(rows, rows.filter("doc_id = 1"), 2).collect()} == {(1, 2), (1, 3)}
+
+
+def test_a_band_of_very_many_members_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 3)
+    rows = spark.createDataFrame([(i, [1, 2, i, i]) for i in range(20)], "doc_id long, minhash array<bigint>")
+    assert {(p.a, p.b) for p in N.lsh_candidates(rows, rows.filter("doc_id IN (0, 5)"), 2).collect()} == {(a, b) for a in (0, 5) for b in range(20) if a != b}
+
+
+def test_lsh_recall_against_all_pairs(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    base = [[word() for _ in range(120)] for _ in range(12)]
+    rows = []
+    for k, words in enumerate(base):
+        rows.append((len(rows), " ".join(words)))
+        for share in (0.05, 0.1, 0.25, 0.45, 0.6):
+            cut = int(len(words) * share)
+            rows.append((len(rows), " ".join([*(word() for _ in range(cut)), *words[cut:]])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    true = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a != b}
+    signed = N.signatures(docs)
+    found = {(p.a, p.b) for p in N.lsh_candidates(signed, signed).collect()}
+    for least, recall in ((0.8, 1.0), (0.3, 0.98), (0.2, 0.9)):
+        wanted = {p for p, j in true.items() if j >= least}
+        assert len(wanted & found) >= recall * len(wanted)
+    exact = N.overlaps(docs.select("doc_id", T.shingle_hashes(F.col("text")).alias("s")), docs.select("doc_id", T.shingle_hashes(F.col("text")).alias("s"))).filter("a <> b").collect()
+    assert {(p.a, p.b): round(p.jaccard, 9) for p in exact} == {p: round(j, 9) for p, j in true.items() if j}
+
+
+def test_similar_pairs_equal_all_pairs(spark):
+    r = random.Random(8)
+    words = [r.choice(["aa", "bb", "cc", "dd", "ee"]) + r.choice("xyz") for _ in range(400)]
+    rows = [(i, " ".join(words[k : k + n])) for i in range(80) for k, n in [(r.randint(0, 12), r.choice([6, 12, 40, 60]))]]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    least = {}
+    for i, t in rows:
+        least.setdefault(t, i)
+    keep = set(least.values())
+    for threshold in (0.5, 0.8):
+        true = {(a, b) for a in keep for b in keep if a < b and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])}
+        assert {(p.a, p.b) for p in N.similar_pairs(spark.createDataFrame(rows, "doc_id long, text string"), threshold).collect()} == true and true
+
+
+def test_running_sums_and_ntiles_equal_plain_ones(spark):
+    r = random.Random(9)
+    rows = [(i, r.choice([0, 1, 1, 1, 5, 700, -3]), r.randint(1, 9)) for i in range(301)]
+    frame = spark.createDataFrame(rows, "id long, v long, c long").repartition(5)
+    for descending in (False, True):
+        order = [F.desc("v") if descending else F.asc("v"), F.asc("id")]
+        got = {x.id: x.s for x in rollups.running(frame, "v", order, {"s": F.col("c")}, descending, parts=10).collect()}
+        total, wanted = 0, {}
+        for i, _, c in sorted(rows, key=lambda x: (-x[1] if descending else x[1], x[0])):
+            total += c
+            wanted[i] = total
+        assert got == wanted
+    for k in (3, 7, 400):
+        got = {x.id: x.q for x in rollups.ntiles(frame, "v", [F.asc("v"), F.asc("id")], k, "q").collect()}
+        n, parts = len(rows), []
+        for q in range(k):
+            parts += [q + 1] * (n // k + (q < n % k))
+        assert got == {i: q for (i, _, _), q in zip(sorted(rows, key=lambda x: (x[1], x[0])), parts)}
+
+
+def test_grouped_equals_union_find(spark):
+    r = random.Random(10)
+    pairs = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1060)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    got = {x.node: x.root for x in sets.grouped(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root if x in {y for a, b in pairs if a != b for y in (a, b)}}
+
+
+def test_bioes_viterbi_equals_all_paths():
+    labels = sequence.bioes_labels(["x", "y"])
+    start, stop, follow = sequence.bioes_allowed(labels)
+    r = np.random.default_rng(4)
+    for n in (1, 2, 4):
+        for _ in range(10):
+            scores = r.integers(0, 9, (n, len(labels))).astype(float)
+            valid = [p for p in product(range(len(labels)), repeat=n) if start[p[0]] and stop[p[-1]] and all(follow[a, b] for a, b in zip(p, p[1:]))]
+            best = max(sum(scores[t, k] for t, k in enumerate(p)) for p in valid)
+            path = [labels.index(x) for x in sequence.bioes_viterbi(scores, labels)]
+            assert tuple(path) in set(valid) and sum(scores[t, k] for t, k in enumerate(path)) == best
+
+
+def longest(flags):
+    best = now = 0
+    for f in flags:
+        now = now + 1 if f else 0
+        best = max(best, now)
+    return best
+
+
+def test_review_features_equal_plain_ones(spark):
+    r = random.Random(11)
+    names = ("front", "toc", "body", "back")
+    pages = {}
+    for d in range(6):
+        for k in range(r.randint(1, 30)):
+            w = [r.random() ** 3 for _ in names]
+            pages.setdefault(d, []).append([x / sum(w) for x in w])
+    frame = spark.createDataFrame([(d, k, *p) for d, ps in pages.items() for k, p in enumerate(ps)], "d long, k long, front double, toc double, body double, back double")
+    for row in sequence.review_features(frame, "d", "k", {c: c for c in names}, "body", "back").collect():
+        ps = pages[row.d]
+        n = len(ps)
+        labels = [names[max(range(4), key=lambda k: (p[k], names[k]))] for p in ps]
+        top = [sorted(p, reverse=True) for p in ps]
+        conf, margin = [t[0] for t in top], [t[0] - t[1] for t in top]
+        late = [k + 1 > max(n // 2, n - 10) for k in range(n)]
+        edge = [k > 0 and labels[k] != labels[k - 1] for k in range(n)]
+        low, high = [c < sequence.LOW for c in conf], [1 - c * m > sequence.HIGH_RISK for c, m in zip(conf, margin)]
+        rival = [abs(p[2] - p[3]) < sequence.LOW_MARGIN and max(p[2], p[3]) == c for p, c in zip(ps, conf)]
+        wanted = {
+            "pages": n, "toc_pages": labels.count("toc"), "boundaries": sum(edge), "body_to_back": sum(a == "body" and b == "back" for a, b in zip(labels, labels[1:])), "low_confidence_pages": sum(low), "late_low_confidence_pages": sum(a and b for a, b in zip(low, late)),
+            "boundary_high_risk_pages": sum(a and b for a, b in zip(high, edge)), "low_confidence_longest_run": longest(low), "high_risk_longest_run": longest(high), "competition_pages": sum(rival), "competition_longest_run": longest(rival), "late_competition_pages": sum(a and b for a, b in zip(rival, late)),
+            "worst3_confidence": sum(sorted(conf)[:3]) / min(3, n), "worst5_margin": sum(sorted(margin)[:5]) / min(5, n), "least_margin": min(margin), "mean_confidence": sum(conf) / n,
+        }
+        for name, value in wanted.items():
+            assert abs(row[name] - value) < 1e-9, name
+        assert 0 <= row.review_score <= 1
+
+
+def test_repairs_stay_only_where_they_help():
+    good = "\n".join(f"<article>ARTICLE {n} T</article>\n<section>Section {i}.1 A</section>\nbody\n<section>Section {i}.2 B</section>\nbody" for i, n in enumerate(["I", "II", "III", "IV", "V"], 1))
+    assert repairs.repaired(good) == {"text": good, "applied": [], "before": 0, "after": 0}
+    faults = {
+        "split_missing_sections": good.replace("<section>Section 2.1 A</section>\nbody\n<section>Section 2.2 B</section>", "<section>Section 2.1 A Section 2.2 B</section>\nbody\n<section>Section 2.3 C</section>"),
+        "split_embedded_sections": good.replace("<article>ARTICLE II T</article>\n<section>Section 2.1 A</section>", "<section>2. TERMS 2.1 A</section>"),
+        "promote_whole_numbers": good.replace("<article>ARTICLE II T</article>", "<section>2. TERMS</section>"),
+        "unwrap_bare_numbers": good.replace("<section>Section 3.2 B</section>", "<section>3.2</section> <section>Section 3.2 B</section>"),
+        "unwrap_bare_labels": good.replace("<section>Section 3.2 B</section>", "<section>Section</section> <section>Section 3.2 B</section>"),
+        "space_after_label": good.replace("<section>Section 3.2 B", "<section>Section3.2 B"),
+        "page_number_before_tag": good.replace("<section>Section 3.2 B", "<section>14 Section 3.2 B"),
+        "unwrap_inline_references": good.replace("body\n<section>Section 4.2", "see <section>Section 2.2</section> of this\n<section>Section 4.2"),
+        "insert_missing_sections": good.replace("<section>Section 3.1 A</section>", "Section 3.1 A"),
+        "wrap_untagged_articles": good.replace("<article>ARTICLE III T</article>", "ARTICLE III T"),
+        "split_omitted_articles": good + "\n<article>ARTICLE VI [Reserved] ARTICLE VII [Reserved]</article>\n<section>Section 7.1 X</section> y",
+    }
+    for name, text in faults.items():
+        out = repairs.repaired(text)
+        assert out["applied"] == [name] and out["after"] == 0 < out["before"], name
+    worse = good.replace("body", "see <section>Section 9.9</section> alone", 1)
+    assert repairs.repaired(worse)["after"] <= repairs.repaired(worse)["before"]
+    assert D.violation_codes(repairs.tagged_xml("<article>ARTICLE I T</article><section>x</section><section>y</section>")).count("section_title_invalid_numbering") == 2
+    assert repairs.repaired(None)["before"] == 1
+
+
+def test_likeness_of_concepts():
+    assert concepts.likeness("", ["a"]) == (0.0, False) and concepts.likeness("no shop", ["no shop"]) == (1.0, True)
+    score, matched = concepts.likeness("no shop", ["the no shop covenant"])
+    assert matched and score == round(0.7 * 0.95 + 0.3, 4)
+    assert concepts.likeness("zzz", ["steel"]) == (0.0, False)
+
+
+def test_exhibit_classifier_learns(spark):
+    r = random.Random(12)
+    said = lambda good: ("AGREEMENT AND PLAN OF MERGER " if good else "CREDIT AGREEMENT ") + " ".join(r.choice(["merger", "closing", "target"] if good else ["loan", "lender", "interest"]) for _ in range(30))
+    rows = [(i, said(i % 2), i % 2) for i in range(80)]
+    docs = spark.createDataFrame(rows + [(900, None, None), (901, "", None)], "doc_id long, text string, label int")
+    out = {x.doc_id: x for x in exhibits.predict(exhibits.fit(docs.filter("doc_id < 60")), docs, "doc_id").collect()}
+    assert len(out) == 82 and all(out[i].positive == bool(i % 2) for i in range(60, 80)) and all(0 <= x.probability <= 1 for x in out.values())
+
+
+def test_a_slot_loads_its_model_once_a_task(spark):
+    import pandas as pd
+
+    double = slots.register(spark, "double_it", lambda: lambda x: pd.Series(x * 2.0), "exhibit")
+    rows = spark.range(5).select(F.col("id").cast("double").alias("x"))
+    assert [r[0] for r in rows.select(double("x")).collect()] == [0.0, 2.0, 4.0, 6.0, 8.0]
+
+
+def test_hidden_quotes_and_json_lists(spark):
+    said = ['["a", "b"]', "[]", None, "", '["a"', '{"a": 1}', '["a", ]x', "[1]"]
+    rows = spark.createDataFrame([(x,) for x in said], "s string").select(T.json_list(F.col("s")).alias("strict"), T.json_list(F.col("s"), False).alias("lenient")).collect()
+    assert [r.strict for r in rows][:6] == [["a", "b"], [], None, None, None, None] and [r.lenient for r in rows][:6] == [["a", "b"], [], [], [], [], []]
+
+
+def test_screens():
+    assert D.screen_table("<p>TABLE</p><table><tr><td>1.1</td><td>The Merger</td><td>4</td></tr><tr><td>Exhibits</td></tr></table>", 40) == "TABLE\n1.1  The Merger ...................... 4\nExhibits"
+    assert D.screen_signature("ACME  INC .\nBy:\n_____\nName:\nJohn ( Jack )\nTitle: CEO\nBETA LLC\nBy: ____") == "ACME INC.\nBy: ____\nName: John (Jack)\nTitle: CEO\n\nBETA LLC\nBy: ____"
+    assert D.with_standard_ids("<a", {"x": "1"}) == "<a" and D.with_standard_ids(None, {}) is None
+
+
+def test_a_download_goes_on_where_it_stopped(spark, tmp_path):
+    calls = []
+
+    def fetch(cursor):
+        calls.append(cursor)
+        if len(calls) == 2:
+            raise OSError("cut off")
+        at = int(cursor or 0)
+        return [(at,), (at + 1,)], str(at + 2) if at < 4 else None
+
+    with pytest.raises(OSError):
+        readers.download_pages(spark, fetch, "id long", str(tmp_path / "x"))
+    rows = readers.download_pages(spark, fetch, "id long", str(tmp_path / "x"))
+    assert sorted(r.id for r in rows.collect()) == [0, 1, 2, 3, 4, 5] and calls == [None, "2", "2", "4"]
+
+
+def test_a_rebuild_holds_a_lock(spark, tmp_path):
+    path = str(tmp_path / "t")
+    (tmp_path / "t.lock").write_text("")
+    with pytest.raises(RuntimeError):
+        sinks.rebuild(spark, path, lambda: spark.range(1))
+    (tmp_path / "t.lock").unlink()
+    sinks.rebuild(spark, path, lambda: spark.range(3))
+    assert spark.read.parquet(path).count() == 3 and not (tmp_path / "t.lock").exists()
