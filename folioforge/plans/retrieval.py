@@ -116,7 +116,7 @@ _TERMS = "list_distinct(regexp_extract_all(lower(text), '[a-z]{6,}')[1:5])"
     o AS (SELECT q.doc_id AS query_id, t.doc_id, least(count(*), 3) AS hits FROM q JOIN (SELECT doc_id, unnest({_TERMS}) AS term FROM d) t ON contains(lower(q.text), t.term) GROUP BY 1, 2),
     s AS (SELECT x.doc_id AS query_id, y.doc_id AS id, {_DOT} AS dense, coalesce(lexical, 0) AS lexical, coalesce(hits, 0)::DOUBLE AS overlap FROM q x CROSS JOIN d y LEFT JOIN l ON l.query_id = x.doc_id AND l.doc_id = y.doc_id LEFT JOIN o ON o.query_id = x.doc_id AND o.doc_id = y.doc_id),
     z AS (SELECT query_id, id, """ + ", ".join(f"CASE WHEN max({x}) OVER w > min({x}) OVER w THEN ({x} - min({x}) OVER w) / (max({x}) OVER w - min({x}) OVER w) ELSE 0 END AS {x}" for x in ("dense", "lexical", "overlap")) + """ FROM s WINDOW w AS (PARTITION BY query_id)),
-    r AS (SELECT query_id, id, round(0.55::DOUBLE * dense + 0.3::DOUBLE * lexical + 0.15::DOUBLE * overlap, 7) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(0.55::DOUBLE * dense + 0.3::DOUBLE * lexical + 0.15::DOUBLE * overlap, 7) DESC, id)::INT AS rank FROM z)
+    r AS (SELECT query_id, id, 0.55::DOUBLE * dense + 0.3::DOUBLE * lexical + 0.15::DOUBLE * overlap AS score, row_number() OVER (PARTITION BY query_id ORDER BY 0.55::DOUBLE * dense + 0.3::DOUBLE * lexical + 0.15::DOUBLE * overlap DESC, id)::INT AS rank FROM z)
     SELECT query_id, id, round(score, 5) AS score, rank FROM r WHERE rank <= 20""",
 )
 def _(t: Tables) -> DataFrame:
