@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.operators.names import own
+
 #: Fixed values of HTML: elements that begin a line, that show nothing, and that have no end tag.
 BLOCKS = {"p", "div", "br", "tr", "li", "ul", "ol", "table", "section", "article", "header", "footer", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "pre", "blockquote", "title"}
 SILENT = {"script", "style", "head", "noscript", "template"}
@@ -227,44 +229,53 @@ SECTIONS = "array<struct<article_title:string,article_order:int,section_title:st
 
 
 def clauses_of(blocks: list[str] | None) -> list[dict]:
-    """Clauses of a section's paragraphs: at enumerators (a), (b), ... in turn; without any, paragraphs, one that goes on where the
-    one before stopped being part of it; method says which."""
-    blocks = [b.strip() for b in blocks or [] if b and b.strip()]
-    out: list[tuple[str | None, list[str]]] = []
-    pending: list[str] = []
+    """Clauses of a section's paragraphs: at enumerators (a), (b), ... in turn, each with what stands below it (1), (i) or further
+    letters out of turn; without any, paragraphs, one that goes on where the one before stopped being part of it; without more than
+    one of those, the whole section. method says which; start and stop are characters of the paragraphs joined by line ends."""
+    places, at = [], 0
+    for b in blocks or []:
+        plain = (b or "").strip()
+        if plain:
+            low = at + (b or "").index(plain)
+            places.append((plain, low, low + len(plain)))
+        at += len(b or "") + 1
+    out: list[tuple[str | None, list[tuple[str, int, int]]]] = []
+    pending: list[tuple[str, int, int]] = []
     wanted = "a"
-    for block in blocks:
-        m = re.match(r"\(([a-z])\)", block)
+    for place in places:
+        m = re.match(r"\(([a-z])\)", place[0])
         if m and m[1] == wanted:
-            out.append((f"({wanted})", [*pending, block]))
+            out.append((f"({wanted})", [*pending, place]))
             pending, wanted = [], chr(ord(wanted) + 1) if wanted < "z" else wanted
         elif out:
-            out[-1][1].append(block)
-        else:
-            pending.append(block)
-    if out:
-        return [{"anchor": a, "text": "\n\n".join(t), "method": "enumerated_split"} for a, t in out]
-    for block in pending:
-        goes_on = out and (out[-1][1][-1][-1] not in ".?!\"'”’)]" or block[0].islower() or block[0] in ",;:)]")
-        if goes_on:
-            out[-1][1].append(block)
+            out[-1][1].append(place)
         else:
-            out.append((None, [block]))
-    return [{"anchor": None, "text": "\n\n".join(t), "method": "paragraph_split"} for _, t in out]
+            pending.append(place)
+    method = "enumerated_split"
+    if not out:
+        for place in pending:
+            before = out[-1][1][-1][0] if out else ""
+            goes_on = out and (before[-1] not in ".?!\"'”’)]" or place[0][0].islower() or place[0][0] in ",;:)]")
+            if goes_on:
+                out[-1][1].append(place)
+            else:
+                out.append((None, [place]))
+        method = "paragraph_split" if len(out) > 1 else "whole_section"
+    return [{"anchor": a, "text": "\n\n".join(x for x, _, _ in t), "method": method, "start": t[0][1], "stop": t[-1][2]} for a, t in out]
 
 
-CLAUSES = "array<struct<anchor:string,text:string,method:string>>"
+CLAUSES = "array<struct<anchor:string,text:string,method:string,start:int,stop:int>>"
 
 
 def redacted(rows: DataFrame, key: str, order: str, focus: Column, around: int, columns: list[str], instead: str = "[redacted]") -> DataFrame:
     """Rows within `around` of a focus row of their document keep their columns; in all others `instead` stands for them."""
     from pyspark.sql import Window
 
-    made = rows.withColumn("_f", focus)
+    f, close = own(rows, "_f", "_near")
+    made = rows.withColumn(f, focus)
     w = Window.partitionBy(key).orderBy(order).rowsBetween(-around, around)
-    near = F.max(F.col("_f").cast("int")).over(w) == 1
-    made = made.withColumn("_near", near)
-    return made.withColumns({c: F.when(F.col("_near"), F.col(c)).otherwise(instead) for c in columns}).drop("_f", "_near")
+    made = made.withColumn(close, F.max(F.col(f).cast("int")).over(w) == 1)
+    return made.withColumns({c: F.when(F.col(close), F.col(c)).otherwise(instead) for c in columns}).drop(f, close)
 
 
 def definitions(text: Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.operators.names import own
+
 
 def expand_taxonomy(nodes: DataFrame, asked: DataFrame, depth: int) -> DataFrame:
     """The ids asked for and all below them, in a tree of fixed depth. nodes: id, parent."""
@@ -35,9 +37,10 @@ def label_of(rows: DataFrame, code: str, *lookups: DataFrame) -> DataFrame:
 
 def with_flags(rows: DataFrame, flagged: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
     """An update join: rows whose key is flagged get 1, the others keep what they have, or 0."""
-    marks = flagged.select(*keys).distinct().withColumn("_flag", F.lit(1))
+    (mark,) = own(rows, "_flag")
+    marks = flagged.select(*keys).distinct().withColumn(mark, F.lit(1))
     now = F.col(flag) if flag in rows.columns else F.lit(0)
-    return rows.join(marks, list(keys), "left").withColumn(flag, F.coalesce("_flag", now, F.lit(0))).drop("_flag")
+    return rows.join(marks, list(keys), "left").withColumn(flag, F.coalesce(mark, now, F.lit(0))).drop(mark)
 
 
 def counts_or_zero(totals: DataFrame, hits: DataFrame, keys: Sequence[str], count: str) -> DataFrame:

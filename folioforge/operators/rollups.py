@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.operators.names import own
+
 #: Upper bounds in milliseconds; a tenth slot takes what is above.
 LATENCY_BOUNDS = (25, 50, 100, 250, 500, 1000, 2000, 5000, 10000)
 
@@ -167,14 +169,17 @@ def running(rows: DataFrame, lead: str, order: Sequence[Column], sums: dict[str,
     """
     bounds = sorted(set(rows.approxQuantile(lead, [k / parts for k in range(1, parts)], 0.25 / parts)))
     part = F.size(F.filter(F.array(*[F.lit(float(x)) for x in bounds]), lambda x: x < F.col(lead).cast("double"))) if bounds else F.lit(0)
-    made = rows.withColumns({"_part": -part if descending else part, **{f"_v_{c}": v for c, v in sums.items()}})
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = made.groupBy("_part").agg(*[F.sum(f"_v_{c}").alias(f"_s_{c}") for c in sums])
-    starts = totals.select("_part", *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums])
-    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = made.join(F.broadcast(starts), "_part")
-    out = out.withColumns({c: F.col(f"_b_{c}") + F.sum(f"_v_{c}").over(within) for c in sums})
-    return out.drop("_part", *[f"_v_{c}" for c in sums], *[f"_b_{c}" for c in sums])
+    (at,) = own(rows, "_part")
+    value = dict(zip(sums, own(rows, *[f"_v_{c}" for c in sums])))
+    base = dict(zip(sums, own(rows, *[f"_b_{c}" for c in sums])))
+    made = rows.withColumns({at: -part if descending else part, **{value[c]: v for c, v in sums.items()}})
+    before = Window.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    totals = made.groupBy(at).agg(*[F.sum(value[c]).alias(value[c]) for c in sums])
+    starts = totals.select(at, *[F.coalesce(F.sum(value[c]).over(before), F.lit(0)).alias(base[c]) for c in sums])
+    within = Window.partitionBy(at).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = made.join(F.broadcast(starts), at)
+    out = out.withColumns({c: F.col(base[c]) + F.sum(value[c]).over(within) for c in sums})
+    return out.drop(at, *value.values(), *base.values())
 
 
 def ntiles(rows: DataFrame, lead: str, order: Sequence[Column], k: int, name: str) -> DataFrame:

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.operators.names import own
 from folioforge.operators.rollups import running
 
 
@@ -47,8 +48,9 @@ def page(rows: DataFrame, order: Sequence[Column], number: int, size: int) -> Da
     """Page `number` from 1 on, with has_next; one row more than a page is looked at."""
     window = Window.orderBy(*order)
     taken = rows.orderBy(*order).offset((number - 1) * size).limit(size + 1)
-    ranked = taken.withColumn("_row", F.row_number().over(window)).withColumn("has_next", F.lit(False) | (F.count("*").over(Window.partitionBy(F.lit(0))) > size))
-    return ranked.filter(F.col("_row") <= size).drop("_row")
+    (row,) = own(taken, "_row")
+    ranked = taken.withColumn(row, F.row_number().over(window)).withColumn("has_next", F.lit(False) | (F.count("*").over(Window.partitionBy(F.lit(0))) > size))
+    return ranked.filter(F.col(row) <= size).drop(row)
 
 
 def keyset_order(column: str, key: str, descending: bool) -> list[Column]:
@@ -93,9 +95,10 @@ def top_by(rows: DataFrame, groups: Sequence[str], ranks: dict[str, Sequence[Col
 def capped_groups(rows: DataFrame, group: str, order: Sequence[Column], most: int, matched: Column) -> DataFrame:
     """The first `most` matching rows of a group, with how many matched, whether some were left out, and how many there are."""
     everything = Window.partitionBy(group)
-    counted = rows.withColumns({"_m": matched, "total_count": F.count("*").over(everything), "matched_count": F.count_if(matched).over(everything)})
-    ranked = counted.filter("_m").withColumn("_row", F.row_number().over(everything.orderBy(*order)))
-    return ranked.filter(F.col("_row") <= most).withColumn("truncated", F.col("matched_count") > most).drop("_m", "_row")
+    m, row = own(rows, "_m", "_row")
+    counted = rows.withColumns({m: matched, "total_count": F.count("*").over(everything), "matched_count": F.count_if(matched).over(everything)})
+    ranked = counted.filter(F.col(m)).withColumn(row, F.row_number().over(everything.orderBy(*order)))
+    return ranked.filter(F.col(row) <= most).withColumn("truncated", F.col("matched_count") > most).drop(m, row)
 
 
 def budget_prefix(rows: DataFrame, lead: str, order: Sequence[Column], cost: str, budget: float) -> DataFrame:
@@ -105,9 +108,10 @@ def budget_prefix(rows: DataFrame, lead: str, order: Sequence[Column], cost: str
 
 def hydrate(ids: DataFrame, details: DataFrame, key: str) -> DataFrame:
     """Details of a page's ids in the page's order (column `ordinal`); an id without details is an error when the row is read."""
-    joined = ids.join(details.withColumn("_there", F.lit(True)), key, "left")
-    checked = F.when(F.col("_there").isNull(), F.raise_error(F.concat(F.lit("no details for "), F.col(key).cast("string")))).otherwise(F.col("ordinal"))
-    return joined.withColumn("ordinal", checked.cast("int")).drop("_there")
+    (there,) = own(details.join(ids.limit(0), key, "full"), "_there")
+    joined = ids.join(details.withColumn(there, F.lit(True)), key, "left")
+    checked = F.when(F.col(there).isNull(), F.raise_error(F.concat(F.lit("no details for "), F.col(key).cast("string")))).otherwise(F.col("ordinal"))
+    return joined.withColumn("ordinal", checked.cast("int")).drop(there)
 
 
 def seeded_sample(rows: DataFrame, key: str, seed: int, size: int) -> DataFrame:

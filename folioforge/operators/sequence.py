@@ -9,9 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.operators.names import own
+
 
 def first_n(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int) -> DataFrame:
-    return rows.withColumn("_row", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_row") <= n).drop("_row")
+    (row,) = own(rows, "_row")
+    return rows.withColumn(row, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(row) <= n).drop(row)
 
 
 def keep_last(rows: DataFrame, keys: Sequence[str], arrival: str) -> DataFrame:
@@ -33,10 +36,11 @@ def since_last(rows: DataFrame, key: str, order: str, hit: Column, recent: int =
     """since: rows since the last hit, null before the first; seen: whether one came; recent_hits among the last `recent` rows, this one included."""
     w = Window.partitionBy(key).orderBy(order)
     ordinal = F.row_number().over(w)
-    made = rows.withColumns({"_o": ordinal, "_h": hit})
-    last = F.last(F.when(F.col("_h"), F.col("_o")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    hits = F.sum(F.col("_h").cast("int")).over(w.rowsBetween(1 - recent, 0))
-    return made.withColumns({"since": F.col("_o") - last, "seen": last.isNotNull(), "recent_hits": hits}).drop("_o", "_h")
+    o, h = own(rows, "_o", "_h")
+    made = rows.withColumns({o: ordinal, h: hit})
+    last = F.last(F.when(F.col(h), F.col(o)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    hits = F.sum(F.col(h).cast("int")).over(w.rowsBetween(1 - recent, 0))
+    return made.withColumns({"since": F.col(o) - last, "seen": last.isNotNull(), "recent_hits": hits}).drop(o, h)
 
 
 def relative_position(rows: DataFrame, key: str, order: str) -> DataFrame:

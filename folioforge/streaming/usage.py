@@ -43,6 +43,21 @@ def merge(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new).groupBy("event_type", "slot").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 2).alias("total"), F.max("most").alias("most"), added.alias("buckets"))
 
 
+def _folder(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as the JVM has them."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """The versions of a roll-up that are whole: a write's mark of success is there."""
+    store, place = _folder(spark, folder)
+    if not store.exists(place):
+        return []
+    names = [f.getPath() for f in store.listStatus(place) if f.isDirectory() and f.getPath().getName().startswith("version=")]
+    return sorted(int(p.getName().split("=")[1]) for p in names if store.exists(_folder(spark, f"{p.toString()}/_SUCCESS")[1]))
+
+
 def _store(batch: DataFrame, number: int, folder: str) -> None:
     """Merges a batch into the latest version; a batch that runs again writes the same version again, from the one before."""
     spark = batch.sparkSession
@@ -50,6 +65,10 @@ def _store(batch: DataFrame, number: int, folder: str) -> None:
     if number:
         new = merge(spark.read.parquet(f"{folder}/version={number - 1}"), new)
     new.write.mode("overwrite").parquet(f"{folder}/version={number}")
+    for old in versions(spark, folder):
+        if old < number - 1:  # the one before is kept for a batch that runs again
+            store, path = _folder(spark, f"{folder}/version={old}")
+            store.delete(path, True)
 
 
 def stream_hourly(events: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
@@ -58,8 +77,8 @@ def stream_hourly(events: DataFrame, folder: str, checkpoint: str) -> StreamingQ
 
 
 def latest(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spark.read.parquet(folder)
-    return rows.join(rows.agg(F.max("version").alias("version")), "version").drop("version")
+    """The roll-up as it stands: one version is read, whatever there were before."""
+    return spark.read.parquet(f"{folder}/version={max(versions(spark, folder))}")
 
 
 def windowed(events: DataFrame, delay: str = "2 hours") -> DataFrame:

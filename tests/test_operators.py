@@ -400,3 +400,25 @@ def test_a_rebuild_holds_a_lock(spark, tmp_path):
     (tmp_path / "t.lock").unlink()
     sinks.rebuild(spark, path, lambda: spark.range(3))
     assert spark.read.parquet(path).count() == 3 and not (tmp_path / "t.lock").exists()
+
+
+def test_own_columns_clash_with_none_of_a_table(spark):
+    rows = spark.createDataFrame([(k % 2, k, 10 - k, "x", "y", "z", "w", "v") for k in range(10)], "g long, k long, v long, _row string, _m string, _f string, _part string, _o string")
+    first = sequence.first_n(rows, ["g"], ["k"], 2)
+    assert first.columns == rows.columns and [(r.k, r._row) for r in first.orderBy("k").collect()] == [(0, "x"), (1, "x"), (2, "x"), (3, "x")]
+    capped = search.capped_groups(rows, "g", [F.asc("k")], 1, F.col("v") > 3).collect()
+    assert sorted((r.g, r.k, r._row, r._m, r.matched_count) for r in capped) == [(0, 0, "x", "y", 4), (1, 1, "x", "y", 3)]
+    near = D.redacted(rows, "g", "k", F.col("k") == 4, 1, ["_o"]).collect()
+    assert sorted(r.k for r in near if r._o == "v") == [2, 4, 6] and all(r._f == "z" for r in near)
+    ran = {r.k: (r.s, r._part) for r in rollups.running(rows, "k", [F.asc("k")], {"s": F.col("v")}, parts=3).collect()}
+    assert ran[3] == (34, "w") and ran[9] == (55, "w")
+    since = sequence.since_last(rows, "g", "k", F.col("v") > 8).collect()
+    assert all(r._o == "v" for r in since)
+
+
+def test_clauses_have_their_places():
+    text = "Intro:\n(a) one\n  (i) inner\n(b) two"
+    out = D.clauses_of(text.split("\n"))
+    assert [(c["anchor"], text[c["start"] : c["stop"]]) for c in out] == [("(a)", "Intro:\n(a) one\n  (i) inner"), ("(b)", "(b) two")]
+    assert [c["method"] for c in D.clauses_of(["All of it."])] == ["whole_section"] and D.clauses_of(None) == []
+    assert [c["method"] for c in D.clauses_of(["First.", "Second."])] == ["paragraph_split"] * 2
