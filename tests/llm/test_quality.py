@@ -44,3 +44,39 @@ def test_clean_text_is_kept(frame):
     r = random.Random(2)
     clean = "\n".join(" ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(12)) for _ in range(40))
     assert [x.kept for x in quality.quality_report(frame([(1, clean), (2, clean + "\n" + clean)])).collect()] == [True, False]
+
+
+def brute_shares(text, n):
+    """Characters of words inside n-windows that are found twice or more, and of lines equal to an earlier one."""
+    words = BLANK.findall(text or "")
+    windows = {}
+    for i in range(len(words) - n + 1):
+        windows.setdefault(tuple(words[i : i + n]), []).append(i)
+    inside = {i + k for v in windows.values() if len(v) > 1 for i in v for k in range(n)}
+    seen, lines = set(), 0
+    for line in (text or "").split("\n"):
+        if BLANK.search(line):
+            lines += sum(map(len, BLANK.findall(line))) if line in seen else 0
+            seen.add(line)
+    return sum(len(words[i]) for i in inside), lines
+
+
+def test_shares_and_verdict_equal_brute_force(frame):
+    r = random.Random(3)
+    part = lambda: " ".join(r.choice("abcdefgh") * r.randint(1, 4) for _ in range(r.randint(4, 14)))
+    texts = [None, ""]
+    for _ in range(60):
+        lines = [part() for _ in range(r.randint(1, 12))]
+        texts.append("\n".join(r.choice(lines) if r.random() < 0.3 else part() for _ in range(r.randint(1, 25))))
+    rules, rows = quality.Rules(), list(enumerate(texts))
+    verdicts = set()
+    for x in quality.quality_report(frame(rows)).collect():
+        text = texts[x.doc_id]
+        n, chars, symbols, dup, _, failed = brute(text)
+        for k in (5, 8, 12):
+            assert (x[f"repeat_chars_{k}"], x.dup_line_chars) == brute_shares(text, k)
+        lines = sum(bool(BLANK.search(y)) for y in (text or "").split("\n"))
+        bad = symbols > rules.symbols * chars or dup > rules.line_share * max(1, lines) or x.dup_line_chars > rules.line_chars * chars or any(brute_shares(text, k)[0] > most * chars for k, most in rules.coverage.items())
+        assert x.kept == (not failed and not bad) and x.n_lines == lines
+        verdicts.add(x.kept)
+    assert verdicts == {True, False}

@@ -118,3 +118,26 @@ def test_rows_that_stay_go_by_id_and_text(frame):
     stays = [(x.doc_id, x.text) for x in simhash.drop_near_duplicates(docs).collect()]
     assert sorted(t.lower() for _, t in stays) == sorted(texts)  # one row of each component
     assert {t.lower(): i for i, t in stays} == {texts[0]: None, texts[1]: 9, texts[2]: None, texts[3]: None, texts[4]: 5, texts[5]: 5}
+
+
+def test_whole_query_equals_brute_force(frame):
+    r = random.Random(9)
+    prose = lambda n: [r.choice("abcdefghijklm") * r.randint(1, 3) for _ in range(n)]
+    rows = []
+    for _ in range(12):
+        words = prose(r.choice([3, 40, 400]))
+        for _ in range(r.randint(1, 6)):
+            near = list(words)
+            for _ in range(r.choice([0, 0, 1, 2])):
+                near[r.randrange(len(near))] = "zz"
+            rows.append((r.choice([None, *range(200)]), " ".join(near)))
+    rows += [(500, None), (501, " "), (None, "")]
+    fps = [brute(t) for _, t in rows]
+    root = linked(fps)
+    least = {}
+    for k, (i, _) in zip(root, rows):
+        if i is not None:
+            least[k] = min(least.get(k, i), i)
+    wanted = sorted(((i, f"{f:016x}", least.get(k)) for (i, _), f, k in zip(rows, fps, root)), key=repr)
+    got = sorted(((x.doc_id, x.fingerprint, x.component_id) for x in simhash.find_near_duplicates(frame(rows)).collect()), key=repr)
+    assert got == wanted and len({x[2] for x in got}) < len(rows)
