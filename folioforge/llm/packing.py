@@ -4,8 +4,8 @@
 2.  Document frequencies of all terms, and the documents' number and mean length, are counted over the whole table; a vector of
     the vocabulary's size goes to the driver and back to the tasks.
 3.  Documents that are alike are brought together from all over the table: each is dealt out by its TOP terms of most BM25 weight,
-    the most widespread of these first, so that documents with a common subject lie side by side, and copies with them. Ranges of
-    that order are the shards; a very common key goes on over several, by a hash of the document.
+    the most widespread of these first, up to one that few documents have; so documents with a common subject meet in a task and
+    lie side by side, and copies with them. A key without a rare term goes to several tasks, by a hash of the document.
 4.  A shard of about SHARD tokens has a BM25 inverted index, with the frequencies of the whole table. For the document that a
     sequence starts with it gives the nearest unused documents, by all terms of that document, and these fill the sequence; the
     one that crosses its end is cut there and starts the next. An open sequence goes on into the next shard. A partition's last,
@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import shared_dir, strings, trimmed
+from folioforge.llm.common import HOT_SHARE, shared_dir, strings, trimmed
 from folioforge.llm.encoding import load, word_encoder
 
 SHARD = 1 << 19
@@ -211,23 +211,41 @@ def keys(documents: list[np.ndarray], corpus: Corpus) -> np.ndarray:
     return out
 
 
+def dealing(found: np.ndarray, corpus: Corpus) -> tuple[np.ndarray, np.ndarray]:
+    """For each document's key a number that is equal where documents shall meet, and over how many tasks these are dealt out.
+
+    The number stands for as many of the key's terms as it takes to come to one that few documents have; so at most so many meet.
+    """
+    few = max(1000, corpus.documents // HOT_SHARE)
+    df = np.where(found >= 0, corpus.df[np.maximum(found, 0)], corpus.documents)
+    rare = df <= few
+    last = np.where(rare.any(axis=1), rare.argmax(axis=1), TOP - 1)
+    number = np.zeros(len(found), np.uint64)
+    for k in range(TOP):
+        part = np.where(k <= last, found[:, k] + 2, 0).astype(np.uint64)
+        number = (number ^ part) * np.uint64(0x9E3779B97F4A7C15)
+        number ^= number >> np.uint64(29)
+    return number.view(np.int64), np.where(rare.any(axis=1), 1, df[:, TOP - 1] // few + 1)
+
+
 def dealt(tokens: DataFrame, kind: str, corpus: Corpus) -> DataFrame:
-    """doc_id and ids, in ranges of the documents' keys; partitions and the rows in them stand in the order of these."""
+    """doc_id and ids, dealt out so that documents with a rare term of the key in common meet; rows stand in the order of the keys."""
     names = [f"t{k}" for k in range(TOP)]
 
-    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             low = 0
             for held in parts(batch.column("ids"), kind):
                 found = keys(held, corpus)
                 columns = [batch.column(c).slice(low, len(held)) for c in ("doc_id", "ids")]
-                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(found[:, k]) for k in range(TOP)]], ["doc_id", "ids", *names])
+                own = [pa.array(x.astype(np.int64)) for x in (*dealing(found, corpus), *found.T)]
+                yield pa.RecordBatch.from_arrays([*columns, *own], ["doc_id", "ids", "number", "tasks", *names])
                 low += len(held)
 
-    keyed = tokens.select("doc_id", "ids").mapInArrow(run, f"doc_id long, ids binary, {', '.join(f'{c} long' for c in names)}")
-    order = [*names, F.xxhash64("doc_id", "ids")]
-    return keyed.repartitionByRange(*order).sortWithinPartitions(*order, "doc_id", "ids").select("doc_id", "ids")
+    keyed = tokens.select("doc_id", "ids").mapInArrow(run, f"doc_id long, ids binary, number long, tasks long, {', '.join(f'{c} long' for c in names)}")
+    keyed = keyed.withColumn("h", F.xxhash64("doc_id", "ids"))
+    keyed = keyed.withColumn("deal", F.xxhash64("number", F.pmod("h", "tasks")))
+    return keyed.repartition("deal").sortWithinPartitions(*names, "h", "doc_id", "ids").select("doc_id", "ids")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = 2048) -> DataFrame:
