@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.llm import chat, exact_dedup, language_id, mixing, packing, quality, simhash, substring_dedup, token_counts, token_files
+from folioforge.llm import chat, clustering, decontamination, exact_dedup, fill_in_middle, language_id, mixing, packing, quality, simhash, substring_dedup, token_counts, token_files
 from folioforge.llm.common import shared_dir, table
 
 
@@ -59,6 +59,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digest(decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.digest(clustering.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digest(fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash": op2_simhash,
@@ -70,5 +82,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_language_id": op9_language_id,
     "op10_mixing": op10_mixing,
+    "op11_decontamination": op11_decontamination,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_fill_in_middle": op13_fill_in_middle,
+}
+SQL: dict[str, str] = {
+    "op1_exact_dedup": exact_dedup.SQL,
+    "op10_mixing": mixing.sql(),
+    "op11_decontamination": decontamination.SQL,
+    "op12_centroid_clustering": clustering.sql(),
+    "op13_fill_in_middle": fill_in_middle.SQL,
 }
-SQL: dict[str, str] = {"op1_exact_dedup": exact_dedup.SQL, "op10_mixing": mixing.sql()}
