@@ -73,7 +73,7 @@ def list_section_tax_clauses(clauses: DataFrame, section_uuid: str) -> DataFrame
 
 def get_section_snippet(sections: DataFrame, section_uuid: str, term: str, size: int = 220) -> DataFrame:
     rows = sections.filter(F.col("section_uuid") == section_uuid)
-    return rows.select("section_uuid", T.snippet(T.stripped_tags(F.col("xml_content")), term, size).alias("snippet"))
+    return rows.select("section_uuid", T.focused_snippet(T.stripped_tags(F.col("xml_content")), [term], size)[0].alias("snippet"))
 
 
 def list_filter_options(agreements: DataFrame, facets: Sequence[str]) -> DataFrame:

@@ -88,10 +88,15 @@ def word_hit(text: Column, words: Sequence[str]) -> Column:
     return text.rlike("(?i)(?<![a-z0-9])(?:" + "|".join(words) + ")(?![a-z0-9])")
 
 
-def eligible_title(title: Column) -> Column:
-    """Three characters or more, and not a reserved or left-out heading."""
-    plain = F.lower(F.trim(title))
-    return title.isNotNull() & (F.length(plain) >= 3) & ~plain.isin("[reserved]", "reserved", "[intentionally omitted]", "intentionally omitted")
+#: What a heading says instead of a section.
+EMPTY_HEADINGS = ("[reserved]", "[omitted]", "[intentionally deleted]", "[deleted]")
+
+
+def eligible_title(article: Column, section: Column) -> Column:
+    """Both headings have three characters or more, and the section's does not say that there is none."""
+    long = lambda c: F.char_length(F.trim(F.coalesce(c, F.lit("")))) >= 3
+    low = F.lower(F.coalesce(section, F.lit("")))
+    return long(article) & long(section) & ~F.greatest(*[F.contains(low, F.lit(x)) for x in EMPTY_HEADINGS])
 
 
 def summary_eligible(status: Column, gated: Column, verified: Column) -> Column:
@@ -106,10 +111,14 @@ def latest_ok(latest: Column, status: Column) -> Column:
     return (latest == 1) & (status.isNull() | (status == "verified"))
 
 
-def missing_core(consideration: Column, total: Column, cash: Column, stock: Column) -> Column:
-    """What a price must have follows from how it is paid: cash needs cash, stock needs stock, a mix needs both, any needs a total."""
-    kind = F.lower(F.trim(consideration))
-    return ~has_text(consideration) | total.isNull() | ((kind == "cash") & cash.isNull()) | ((kind == "stock") & stock.isNull()) | ((kind == "mixed") & (cash.isNull() | stock.isNull()))
+def missing_core(consideration: Column, total: Column, cash: Column, stock: Column, assets: Column, target: Column, acquirer: Column) -> Column:
+    """Consideration and both parties' types have to be there. A price has to have a total and, paid in cash, its cash; in stock, its
+    stock; mixed, two of its three parts. Blank text is missing; another kind of consideration asks for no price."""
+    here = lambda c: F.coalesce(has_text(c.cast("string")), F.lit(False))
+    kind = F.coalesce(consideration, F.lit(""))
+    parts = here(cash).cast("int") + here(stock).cast("int") + here(assets).cast("int")
+    enough = F.when(kind == "cash", here(cash)).when(kind == "stock", here(stock)).when(kind == "mixed", parts >= 2)
+    return ~here(consideration) | ~here(target) | ~here(acquirer) | (kind.isin("cash", "stock", "mixed") & ~(enough & here(total)))
 
 
 def clamp_page_size(asked: int | None, most: int, default: int = 25) -> int:

@@ -6,16 +6,42 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import IDF, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, StopWordsRemover, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Phrases of the subject, of its titles, and of titles that rule it out.
-SUBJECT = ("merger", "acquisition", "purchase price", "closing conditions", "representations and warranties", "indemnification", "effective time", "target company")
-TITLES = ("agreement and plan of merger", "merger agreement", "stock purchase agreement", "asset purchase agreement", "share purchase agreement", "purchase and sale agreement")
-AGAINST = ("credit agreement", "employment agreement", "lease agreement", "license agreement", "indenture", "voting agreement", "amendment")
-START = 3000
+from folioforge.functions.text import let
+from folioforge.operators import likeness
+
+#: Phrases of the subject, looked for in the whole text.
+SUBJECT = (
+    "merger", "acquisition", "merger agreement", "stock purchase", "asset purchase", "merger consideration", "surviving corporation", "constituent corporations", "merger sub", "tender offer",
+    "exchange ratio", "merger closing", "effective time", "dissenting shares", "appraisal rights", "cash merger", "stock merger", "reverse merger", "triangular merger", "short form merger",
+    "representations and warranties", "covenants", "closing conditions", "material adverse change", "mac", "material adverse effect", "mae", "termination fee", "break up fee", "collar",
+    "walk away rights", "fairness opinion", "solvency opinion", "proxy statement", "definitive agreement", "due diligence", "antitrust clearance", "hsr act", "regulatory approval",
+    "stockholder approval", "board recommendation", "go shop", "no shop", "matching rights", "superior proposal",
+)
+#: Titles of the wanted documents, looked for at the start.
+TITLES = (
+    "agreement and plan of amalgamation", "agreement and plan of merger", "agreement and plan of reorganization", "agreement of merger", "asset purchase agreement", "business combination agreement",
+    "equity purchase agreement", "interest purchase agreement", "membership interest purchase agreement", "merger agreement", "plan of merger", "purchase and sale agreement", "purchase agreement",
+    "securities purchase agreement", "share purchase agreement", "stock purchase agreement", "stock purchase and sale agreement",
+)
+#: Phrases that speak against a document at its start.
+AGAINST = (
+    "agreement of limited partnership", "amended and restated", "amendment", "co-operation agreement", "commercial lease", "compensation", "confidentiality agreement", "consulting agreement",
+    "contractor agreement", "convertible note", "cooperation agreement", "covenant agreement", "credit agreement", "deferred compensation", "distribution agreement", "employee stock",
+    "employment agreement", "equity plan", "exchange agreement", "exhibit", "general release of claims", "guaranty", "incentive", "indemnification agreement", "indemnity agreement",
+    "investment management trust agreement", "joint venture agreement", "lease agreement", "letter agreement", "letter of intent", "license agreement", "limited partnership agreement", "loan agreement",
+    "loan and security agreement", "loan term", "management agreement", "master lease", "memorandum agreement", "memorandum of understanding", "non-competition", "non-solicitation agreement",
+    "note purchase", "option", "performance", "please see pdf version", "private placement", "promissory note", "real estate", "registration rights", "restricted shares", "restricted stock",
+    "retirement plan", "royalty", "schedule", "securities subscription agreement", "secured note", "senior secured", "separation", "separation and general release agreement", "service agreement",
+    "services agreement", "shareholder rights agreements", "side letter agreement", "sponsor agreement", "sponsorship agreement", "subscription agreement", "supply agreement", "support agreement",
+    "support letter", "term loan", "termination agreement", "transition services", "underwriting agreement", "voting agreement", "warrant",
+)
+#: Characters that are the start; characters below which a document is none of the wanted ones, whatever it says.
+START, SHORT = 2000, 20_000
 FEATURES = ("n_words", "subject_hits", "subject_density", "title_hit", "title_place", "against_hit", "against_count", "against_place", "against_caps", "against_caps_count")
 
 
@@ -25,18 +51,38 @@ def scanned(text: Column, fold: bool = True) -> Column:
     return F.trim(F.regexp_replace(plain, "[^A-Za-z0-9]+", " "))
 
 
+def spread(text: Column) -> Column:
+    """Blanks doubled, and one at either end, so that phrases next to each other do not share one."""
+    return F.concat(F.lit(" "), F.replace(text, F.lit(" "), F.lit("  ")), F.lit(" "))
+
+
+def phrase_of(words: str) -> str:
+    """A phrase as `scanned` leaves it: a hyphen parts words."""
+    return " ".join(words.replace("-", " ").split())
+
+
 def features(text: Column, subject: Sequence[str] = SUBJECT, titles: Sequence[str] = TITLES, against: Sequence[str] = AGAINST, start: int = START) -> dict[str, Column]:
-    """Words; the subject's phrases found, and their density; whether, and where, a title stands in the first `start` characters, and
-    how often, and where, one that rules it out does, in any case and in capitals. Places are shares of the region's length."""
+    """Words; how many of the subject's phrases stand in the text, and their density; whether, and where, a title stands in the first
+    `start` characters, and how often, and where, a phrase against it does, in any case and in capitals. Phrases are whole words, titles
+    may begin or end inside one. Places are shares of the region's length."""
     text = F.coalesce(text, F.lit(""))
-    whole, region, cased = scanned(text), scanned(F.substring(text, 1, start)), scanned(F.substring(text, 1, start), False)
     words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
-    hits = sum((F.contains(whole, F.lit(p)).cast("int") for p in subject), F.lit(0))
-    size = F.greatest(F.length(region), F.lit(1))
-    count = lambda where, p: ((F.length(where) - F.length(F.replace(where, F.lit(p), F.lit("")))) / len(p)).cast("int")
-    first = lambda phrases: F.array_min(F.filter(F.array(*[F.locate(p, region) - 1 for p in phrases]), lambda k: k >= 0))
-    title, other = first(titles), first(against)
-    n, caps = sum((count(region, p) for p in against), F.lit(0)), sum((count(cased, p.upper()) for p in against), F.lit(0))
+
+    def looked_at(t: Column) -> Column:
+        whole, region, cased = spread(scanned(t)), scanned(F.substring(F.lower(t), 1, start)), spread(scanned(F.substring(t, 1, start), False))
+        wide = spread(region)
+        inside = lambda p: F.lit(f" {phrase_of(p).replace(' ', '  ')} ")
+        count = lambda where, p: ((F.length(where) - F.length(F.replace(where, p, F.lit("")))) / F.length(p)).cast("int")
+        upper = lambda p: F.lit(f" {phrase_of(p).upper().replace(' ', '  ')} ")
+        edged = F.concat(F.lit(" "), region, F.lit(" "))
+        first = lambda places: F.array_min(F.filter(F.array(*places), lambda k: k > 0)) - 1
+        return F.struct(
+            sum((F.contains(whole, inside(p)).cast("int") for p in subject), F.lit(0)).alias("hits"), first([F.instr(region, p) for p in titles]).alias("title"), first([F.instr(edged, f" {phrase_of(p)} ") for p in against]).alias("other"),
+            sum((count(wide, inside(p)) for p in against), F.lit(0)).alias("n"), sum((count(cased, upper(p)) for p in against), F.lit(0)).alias("caps"), F.greatest(F.length(region), F.lit(1)).alias("size"),
+        )
+
+    found = let(text, looked_at)
+    hits, title, other, n, caps, size = (found[c] for c in ("hits", "title", "other", "n", "caps", "size"))
     return {
         "n_words": words, "subject_hits": hits, "subject_density": F.when(words > 0, hits / words).otherwise(0.0), "title_hit": title.isNotNull().cast("int"), "title_place": F.coalesce(title / size, F.lit(0.0)),
         "against_hit": (n > 0).cast("int"), "against_count": n, "against_place": F.coalesce(other / size, F.lit(0.0)), "against_caps": (caps > 0).cast("int"), "against_caps_count": caps,
@@ -47,24 +93,48 @@ def featured(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumns({c: v.cast("double") for c, v in features(F.col(text)).items()})
 
 
-def classifier(terms: int = 1 << 14, strength: float = 0.01) -> Pipeline:
-    """Logistic regression on the features, on words and pairs of words, and on runs of three characters, hashed and weighted by IDF."""
-    stages = [
-        RegexTokenizer(inputCol="text", outputCol="_words", pattern="[^A-Za-z0-9]+"), NGram(n=2, inputCol="_words", outputCol="_pairs"), RegexTokenizer(inputCol="text", outputCol="_chars", pattern=".", gaps=False), NGram(n=3, inputCol="_chars", outputCol="_runs"),
-    ]
-    for c in ("words", "pairs", "runs"):
-        stages += [HashingTF(inputCol=f"_{c}", outputCol=f"_{c}_tf", numFeatures=terms), IDF(inputCol=f"_{c}_tf", outputCol=f"_{c}_idf", minDocFreq=2)]
-    stages += [VectorAssembler(inputCols=list(FEATURES), outputCol="_plain"), StandardScaler(inputCol="_plain", outputCol="_scaled"), VectorAssembler(inputCols=["_scaled", "_words_idf", "_pairs_idf", "_runs_idf"], outputCol="_all")]
-    return Pipeline(stages=[*stages, LogisticRegression(featuresCol="_all", labelCol="label", probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_guess", regParam=strength)])
-
-
-def fit(labelled: DataFrame) -> PipelineModel:
-    """A classifier of labelled documents (text, label 0/1); rows without a label are not used."""
-    rows = featured(labelled.select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("double"))).filter("label IS NOT NULL")
-    return classifier().fit(rows)
-
-
-def predict(model: PipelineModel, docs: DataFrame, key: str, threshold: float = 0.5) -> DataFrame:
-    """key, probability, positive."""
-    scored = model.transform(featured(docs.select(key, F.coalesce("text", F.lit("")).alias("text"))))
-    return scored.select(key, vector_to_array("_p")[1].alias("probability")).withColumn("positive", F.col("probability") >= threshold)
+def classifier(terms: int = 5000, characters: int = 3000, strength: float = 0.01) -> Pipeline:
+    """Logistic regression on the features, on the likeness to the training texts, on runs of 1 to 3 words without stop words, and on runs
+    of 3 to 5 characters inside a word and the blanks beside it; runs are hashed and weighted by IDF, rows by how rare their label is."""
+    stages = [RegexTokenizer(inputCol="text", outputCol="_tokens", pattern=r"\w\w+", gaps=False), StopWordsRemover(inputCol="_tokens", outputCol="_words")]
+    for n in (1, 2, 3):
+        stages.append(NGram(n=n, inputCol="_words", outputCol=f"_words_{n}"))
+    stages.append(SQLTransformer(statement="SELECT *, concat(_words_1, _words_2, _words_3) AS _terms FROM __THIS__"))
+    for c, size in (("terms", terms), ("runs", characters)):
+        stages += [HashingTF(inputCol=f"_{c}", outputCol=f"_{c}_tf", numFeatures=size), IDF(inputCol=f"_{c}_tf", outputCol=f"_{c}_idf", minDocFreq=2), Normalizer(inputCol=f"_{c}_idf", outputCol=f"_{c}_unit")]
+    stages += [VectorAssembler(inputCols=[*FEATURES, *likeness.STATISTICS], outputCol="_plain"), StandardScaler(inputCol="_plain", outputCol="_scaled"), VectorAssembler(inputCols=["_scaled", "_terms_unit", "_runs_unit"], outputCol="_all")]
+    return Pipeline(stages=[*stages, LogisticRegression(featuresCol="_all", labelCol="label", weightCol="weight", probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_guess", regParam=strength)])
+
+
+def word_runs(text: Column) -> Column:
+    """Runs of 3 to 5 characters of each word with a blank at either end."""
+    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    cut = lambda w, n: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - (n - 1)), lambda i: F.substring(w, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    runs = lambda w: F.flatten(F.array(*[cut(w, n) for n in (3, 4, 5)]))
+    return F.flatten(F.transform(words, lambda w: runs(F.concat(F.lit(" "), w, F.lit(" ")))))
+
+
+def prepared(docs: DataFrame, key: str, like: likeness.Likeness) -> DataFrame:
+    """docs (key, text and more) with the features, the likeness and the runs of characters. key tells rows apart."""
+    plain = docs.withColumn("text", F.coalesce("text", F.lit("")))
+    return featured(plain.join(likeness.with_likeness(plain.select(key, "text"), key, like), key)).withColumn("_runs", word_runs(F.col("text")))
+
+
+def fit(labelled: DataFrame, key: str, most: int = likeness.MOST) -> tuple[PipelineModel, likeness.Likeness]:
+    """A classifier of labelled documents (key, text, label 0/1), and the likeness it needs, to at most `most` of them; rows without a
+    label are not used. Both labels weigh the same."""
+    rows = labelled.select(key, F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("double").alias("label")).filter("label IS NOT NULL")
+    counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+    if len(counts) < 2:
+        raise ValueError("both labels are needed")
+    like = likeness.fit(rows, key, most=most)
+    weight = F.create_map(*[F.lit(x) for label, n in counts.items() for x in (label, sum(counts.values()) / (len(counts) * n))])
+    return classifier().fit(prepared(rows.withColumn("weight", weight[F.col("label")]), key, like)), like
+
+
+def predict(fitted: tuple[PipelineModel, likeness.Likeness], docs: DataFrame, key: str, threshold: float = 0.5, short: int = SHORT) -> DataFrame:
+    """key, probability, positive; a text of fewer than `short` characters has probability 0."""
+    model, like = fitted
+    scored = model.transform(prepared(docs.select(key, "text"), key, like))
+    probability = F.when(F.length("text") < short, 0.0).otherwise(vector_to_array("_p")[1])
+    return scored.select(key, probability.alias("probability")).withColumn("positive", F.col("probability") >= threshold)

@@ -227,3 +227,13 @@ def worst_mean(values: Column, k: int) -> Column:
     return F.aggregate(few, F.lit(0.0), lambda a, x: a + x) / F.size(few)
 
 
+
+
+def mean_complexity(rows: DataFrame) -> DataFrame:
+    """rows with `complexity`: the mean of the logarithm of the words and of the grade, each scaled to 0..1 over all rows, and of
+    `several`; a grade that is null does not count. rows: see functions.text.complexity."""
+    ends = [f(c).alias(f"_{n}_{c}") for c in ("log_words", "grade") for n, f in (("low", F.min), ("high", F.max))]
+    wide = rows.crossJoin(F.broadcast(rows.agg(*ends)))  # one row
+    scaled = lambda c: F.when(F.col(c).isNull(), None).when(F.col(f"_high_{c}") > F.col(f"_low_{c}"), (F.col(c) - F.col(f"_low_{c}")) / (F.col(f"_high_{c}") - F.col(f"_low_{c}"))).otherwise(0.0)
+    parts = F.array_compact(F.array(scaled("log_words"), scaled("grade"), F.col("several")))
+    return wide.withColumn("complexity", F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / F.size(parts)).drop(*[f"_{n}_{c}" for c in ("log_words", "grade") for n in ("low", "high")])

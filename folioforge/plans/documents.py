@@ -130,26 +130,47 @@ def _(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", D.text_udf(D.screen_signature, "string")(block).alias("screen"))
 
 
+_COUNT = "len(regexp_extract_all({where}, '\\b{p}\\b'))"
+
+
+def _counts(where: str, phrases, upper: bool = False) -> str:
+    return " + ".join(_COUNT.format(where=where, p=X.phrase_of(p).upper() if upper else X.phrase_of(p)) for p in phrases)
+
+
+_HEADS = ("AGREEMENT AND PLAN OF MERGER of the MERGER SUB (mac). ", "EMPLOYMENT AGREEMENT and credit agreement; co-operation agreement amendment amendment ", "First: Stock-Purchase Agreement, go-shop, Amendments ", "", "Please See PDF Version: option warrant OPTIONS ")
+
+
 @query(
     "T26_exhibit_features",
-    r"""WITH m AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'AGREEMENT AND PLAN OF MERGER of the target company. ' WHEN 1 THEN 'EMPLOYMENT AGREEMENT and credit agreement; ' WHEN 2 THEN 'First: Stock-Purchase Agreement, purchase price, Amendment ' ELSE '' END || text AS text FROM documents),
-    n AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^A-Za-z0-9]+', ' ', 'g')) AS w, trim(regexp_replace(lower(substring(text, 1, 3000)), '[^A-Za-z0-9]+', ' ', 'g')) AS r, trim(regexp_replace(substring(text, 1, 3000), '[^A-Za-z0-9]+', ' ', 'g')) AS c, len(regexp_extract_all(text, '\S+')) AS k FROM m)
-    SELECT doc_id, k::INT AS n_words, h::INT AS subject_hits, round(CASE WHEN k > 0 THEN h / k ELSE 0 END, 8) AS subject_density, (t IS NOT NULL)::INT AS title_hit, round(coalesce(t / greatest(1, length(r)), 0), 8) AS title_place, (g > 0)::INT AS against_hit, g::INT AS against_count, round(coalesce(o / greatest(1, length(r)), 0), 8) AS against_place, (u > 0)::INT AS against_caps, u::INT AS against_caps_count FROM (SELECT *, """
-    + " + ".join(f"contains(w, '{p}')::INT" for p in X.SUBJECT) + " AS h, list_min(list_filter([" + ", ".join(f"instr(r, '{p}') - 1" for p in X.TITLES) + "], lambda x: x >= 0)) AS t, list_min(list_filter([" + ", ".join(f"instr(r, '{p}') - 1" for p in X.AGAINST) + "], lambda x: x >= 0)) AS o, "
-    + " + ".join(f"(length(r) - length(replace(r, '{p}', ''))) // {len(p)}" for p in X.AGAINST) + " AS g, " + " + ".join(f"(length(c) - length(replace(c, '{p.upper()}', ''))) // {len(p)}" for p in X.AGAINST) + " AS u FROM n)",
+    "WITH m AS (SELECT doc_id, [" + ", ".join(f"'{h}'" for h in _HEADS) + r"""][doc_id % 5 + 1] || text AS text FROM documents),
+    n AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS w, trim(regexp_replace(substring(lower(text), 1, 2000), '[^a-z0-9]+', ' ', 'g')) AS r, trim(regexp_replace(substring(text, 1, 2000), '[^A-Za-z0-9]+', ' ', 'g')) AS c, len(regexp_extract_all(text, '\S+')) AS k FROM m),
+    f AS (SELECT *, """
+    + " + ".join(f"({_COUNT.format(where='w', p=X.phrase_of(p))} > 0)::INT" for p in X.SUBJECT) + " AS h, list_min(list_filter([" + ", ".join(f"instr(r, '{p}') - 1" for p in X.TITLES) + "], lambda x: x >= 0)) AS t, list_min(list_filter([" + ", ".join(f"instr(' ' || r || ' ', ' {X.phrase_of(p)} ') - 1" for p in X.AGAINST) + "], lambda x: x >= 0)) AS o, "
+    + _counts("r", X.AGAINST) + " AS g, " + _counts("c", X.AGAINST, True) + """ AS u FROM n)
+    SELECT doc_id, k::INT AS n_words, h::INT AS subject_hits, round(CASE WHEN k > 0 THEN h / k ELSE 0 END, 8) AS subject_density, (t IS NOT NULL)::INT AS title_hit, round(coalesce(t / greatest(1, length(r)), 0), 8) AS title_place, (g > 0)::INT AS against_hit, g::INT AS against_count,
+    round(coalesce(o / greatest(1, length(r)), 0), 8) AS against_place, (u > 0)::INT AS against_caps, u::INT AS against_caps_count FROM f""",
 )
 def _(t: Tables) -> DataFrame:
-    k = F.col("doc_id") % 4
-    head = F.when(k == 0, "AGREEMENT AND PLAN OF MERGER of the target company. ").when(k == 1, "EMPLOYMENT AGREEMENT and credit agreement; ").when(k == 2, "First: Stock-Purchase Agreement, purchase price, Amendment ").otherwise("")
+    head = F.element_at(F.array(*[F.lit(h) for h in _HEADS]), (F.col("doc_id") % 5 + 1).cast("int"))
     made = X.features(F.col("made"))
     part = ("subject_density", "title_place", "against_place")
     return t.documents.select("doc_id", F.concat(head, "text").alias("made")).select("doc_id", *[(F.round(v, 8) if c in part else v).alias(c) for c, v in made.items()])
 
 
+@query("X19_likeness")
+def _(t: Tables) -> DataFrame:
+    """The largest, mean and median likeness of every document to the labelled ones."""
+    from folioforge.operators import likeness
+
+    like = likeness.fit(t.documents.join(t.labels.filter("quality IS NOT NULL").select("doc_id"), "doc_id"), "doc_id")
+    found = likeness.with_likeness(t.documents, "doc_id", like)
+    return found.select("doc_id", *[F.round(c, 6).alias(c) for c in likeness.STATISTICS])
+
+
 @query("X19_exhibit_classifier")
 def _(t: Tables) -> DataFrame:
-    labelled = t.documents.join(t.labels, "doc_id").select("text", F.col("quality").alias("label"))
-    return X.predict(X.fit(labelled), t.documents, "doc_id")
+    labelled = t.documents.join(t.labels, "doc_id").select("doc_id", "text", F.col("quality").alias("label"))
+    return X.predict(X.fit(labelled, "doc_id"), t.documents, "doc_id", short=200)
 
 
 @query("X20_model_slots", "SELECT doc_id, CASE WHEN n_chars > 2000 THEN 'body' ELSE 'front_matter' END AS label, round(n_chars / (n_chars + 1000), 8) AS probability FROM documents")

@@ -97,9 +97,15 @@ def _(t: Tables) -> DataFrame:
     return t.part.filter(F.col("p_name").rlike("[0-9]*7$")).select("p_partkey")
 
 
-@query("F13_eligible_title", "SELECT p_partkey FROM part WHERE p_brand IS NOT NULL AND length(trim(p_brand)) >= 3 AND lower(trim(p_brand)) NOT IN ('[reserved]', 'reserved', '[intentionally omitted]', 'intentionally omitted')")
+_HEADINGS = "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN ' x ' WHEN 1 THEN NULL ELSE p_brand END AS article, CASE p_partkey % 7 WHEN 0 THEN p_name || ' [Reserved]' WHEN 1 THEN '[INTENTIONALLY DELETED] 2' WHEN 2 THEN NULL WHEN 3 THEN 'the [omitted] part' WHEN 4 THEN '[deleted]' WHEN 5 THEN 'intentionally omitted' ELSE p_name END AS section FROM part"
+
+
+@query("F13_eligible_title", f"SELECT p_partkey FROM ({_HEADINGS}) WHERE length(trim(coalesce(article, ''))) >= 3 AND length(trim(coalesce(section, ''))) >= 3 AND NOT (lower(section) LIKE '%[reserved]%' OR lower(section) LIKE '%[omitted]%' OR lower(section) LIKE '%[intentionally deleted]%' OR lower(section) LIKE '%[deleted]%')")
 def _(t: Tables) -> DataFrame:
-    return t.part.filter(P.eligible_title(F.col("p_brand"))).select("p_partkey")
+    k, j = F.col("p_partkey") % 4, F.col("p_partkey") % 7
+    article = F.when(k == 0, " x ").when(k == 1, None).otherwise(F.col("p_brand"))
+    section = F.when(j == 0, F.concat("p_name", F.lit(" [Reserved]"))).when(j == 1, "[INTENTIONALLY DELETED] 2").when(j == 2, None).when(j == 3, "the [omitted] part").when(j == 4, "[deleted]").when(j == 5, "intentionally omitted").otherwise(F.col("p_name"))
+    return t.part.filter(P.eligible_title(article, section)).select("p_partkey")
 
 
 @query("F14_term_disjunction", "SELECT doc_id FROM documents WHERE lower(text) LIKE '%licen%' OR source LIKE '%3%' OR lang IN ('de')")
@@ -113,10 +119,25 @@ def _(t: Tables) -> DataFrame:
     return t.documents.filter(P.word_hit(F.col("text"), ["the", "und"])).select("doc_id")
 
 
-@query("F16_missing_core", "SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE lang IS NULL OR trim(lang) = '' OR n_chars IS NULL OR (lower(trim(lang)) = 'en' AND quality IS NULL)")
+_CORE = """SELECT o_orderkey, ['cash', 'stock', 'mixed', 'other', '  ', NULL][o_orderkey % 6 + 1] AS kind, CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice::VARCHAR END AS total, CASE o_orderkey % 4 WHEN 0 THEN ' ' WHEN 1 THEN '1' WHEN 2 THEN '2' END AS cash,
+    CASE WHEN o_orderkey % 3 > 0 THEN '7' END AS stock, CASE WHEN o_orderstatus = 'F' THEN '9' END AS assets, CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE 'public' END AS target, CASE WHEN o_orderkey % 13 > 0 THEN o_clerk END AS acquirer
+    FROM (SELECT *, o_orderpriority AS o_clerk FROM orders)"""
+
+
+@query(
+    "F16_missing_core",
+    f"""SELECT o_orderkey FROM ({_CORE}) WHERE NOT (kind IS NOT NULL AND trim(kind) <> '') OR NOT (target IS NOT NULL AND trim(target) <> '') OR NOT (acquirer IS NOT NULL AND trim(acquirer) <> '')
+    OR (coalesce(kind, '') = 'cash' AND (NOT (cash IS NOT NULL AND trim(cash) <> '') OR NOT (total IS NOT NULL AND trim(total) <> '')))
+    OR (coalesce(kind, '') = 'stock' AND (NOT (stock IS NOT NULL AND trim(stock) <> '') OR NOT (total IS NOT NULL AND trim(total) <> '')))
+    OR (coalesce(kind, '') = 'mixed' AND ((CASE WHEN cash IS NOT NULL AND trim(cash) <> '' THEN 1 ELSE 0 END + CASE WHEN stock IS NOT NULL AND trim(stock) <> '' THEN 1 ELSE 0 END + CASE WHEN assets IS NOT NULL AND trim(assets) <> '' THEN 1 ELSE 0 END) < 2 OR NOT (total IS NOT NULL AND trim(total) <> '')))""",
+)
 def _(t: Tables) -> DataFrame:
-    d = t.documents.join(t.labels, "doc_id", "left").withColumn("kind", F.when(F.lower(F.trim("lang")) == "en", "cash").otherwise(F.col("lang")))
-    return d.filter(P.missing_core(F.col("kind"), F.col("n_chars"), F.col("quality"), F.col("n_chars"))).select("doc_id")
+    k = F.col("o_orderkey")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("cash", "stock", "mixed", "other", "  ")], F.lit(None).cast("string")), (k % 6 + 1).cast("int"))
+    total, cash = F.when(k % 5 > 0, F.col("o_totalprice").cast("string")), F.when(k % 4 == 0, " ").when(k % 4 == 1, "1").when(k % 4 == 2, "2")
+    stock, assets = F.when(k % 3 > 0, "7"), F.when(F.col("o_orderstatus") == "F", "9")
+    target, acquirer = F.when(k % 11 == 0, "").otherwise("public"), F.when(k % 13 > 0, F.col("o_orderpriority"))
+    return t.orders.filter(P.missing_core(kind, total, cash, stock, assets, target, acquirer)).select("o_orderkey")
 
 
 @query("F17_occurrences", "SELECT doc_id, ((length(text) - length(replace(text, 'the', ''))) // 3)::BIGINT AS n FROM documents WHERE (length(text) - length(replace(text, 'the', ''))) // 3 > 5")
@@ -136,11 +157,20 @@ def _(t: Tables) -> DataFrame:
     return project(t.orders, "o_orderkey", ["o_totalprice", "no_such_field"])
 
 
-@query("F20_auto_verify", "SELECT doc_id FROM documents WHERE n_chars >= 500 AND contains(lower(substring(text, 1, 300)), 'the') AND NOT contains(lower(substring(text, 1, 300)), 'amend') AND NOT contains(lower(substring(text, 1, 300)), 'restate')")
+_OPENINGS = ("AGREEMENT and Plan of Merger ", "a business combination ", "amended membership interest purchase ", "Restated Agreement and Plan of Merger ", "other ")
+
+
+@query(
+    "F20_auto_verify",
+    "SELECT doc_id FROM (SELECT doc_id, n_chars, lower(substring([" + ", ".join(f"'{x}'" for x in _OPENINGS) + """][doc_id % 5 + 1] || CASE WHEN doc_id % 7 = 0 THEN repeat('x', 480) ELSE '' END || text, 1, 500)) AS head FROM documents)
+    WHERE n_chars // 100 >= 15 AND (contains(head, 'agreement and plan of merger') OR contains(head, 'business combination') OR contains(head, 'membership interest purchase')) AND NOT contains(head, 'amend') AND NOT contains(head, 'restate')""",
+)
 def _(t: Tables) -> DataFrame:
     from folioforge.functions.text import auto_verified
 
-    return t.documents.filter(auto_verified(F.col("text"), F.col("n_chars"), 500, "the", 300)).select("doc_id")
+    opening = F.element_at(F.array(*[F.lit(x) for x in _OPENINGS]), (F.col("doc_id") % 5 + 1).cast("int"))
+    said = F.concat(opening, F.when(F.col("doc_id") % 7 == 0, F.repeat(F.lit("x"), 480)).otherwise(""), "text")
+    return t.documents.filter(auto_verified(said, F.floor(F.col("n_chars") / 100))).select("doc_id")
 
 
 @query("F21_sample_eligibility", "SELECT l_orderkey, l_linenumber FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem) WHERE n >= 3 AND l_linenumber IS NOT NULL AND l_quantity BETWEEN 10 AND 40")

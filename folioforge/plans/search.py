@@ -117,3 +117,23 @@ def _(t: Tables) -> DataFrame:
     return sets.drift(t.documents.select("doc_id"), t.labels.select("doc_id"), "doc_id")
 
 
+
+
+@query("L11_multilabel_split")
+def _(t: Tables) -> DataFrame:
+    """A fifth of the documents, with the shares of language, source and kind of length that all have."""
+    from folioforge.operators.splits import multilabel_split
+
+    labels = F.array_compact(F.array("lang", "source", F.when(F.col("n_chars") > 3000, "long"), F.when(F.col("doc_id") % 97 == 0, "rare")))
+    return multilabel_split(t.documents.select("doc_id", labels.alias("labels")), "doc_id", "labels", 0.2)
+
+
+@query(
+    "L11_backed_off_strata",
+    """WITH f AS (SELECT doc_id, lang, source, count(*) OVER (PARTITION BY lang, source) AS a, count(*) OVER (PARTITION BY lang) AS b FROM documents)
+    SELECT doc_id, CASE WHEN a >= 8 THEN 0 WHEN b >= 8 THEN 1 ELSE 2 END AS level, CASE WHEN a >= 8 THEN coalesce(lang, '') || '|' || coalesce(source, '') WHEN b >= 8 THEN coalesce(lang, '') ELSE '' END AS stratum FROM f""",
+)
+def _(t: Tables) -> DataFrame:
+    from folioforge.operators.splits import backed_off
+
+    return backed_off(t.documents.select("doc_id", "lang", "source"), [["lang", "source"], ["lang"]], 8).select("doc_id", "level", "stratum")

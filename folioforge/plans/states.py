@@ -10,23 +10,54 @@ from folioforge.plans.registry import Tables, query
 from folioforge.sources import sinks
 from folioforge.streaming import usage
 
-_STATES = """SELECT d.doc_id, CASE WHEN n_chars % 5 = 0 THEN 'staged' WHEN l.doc_id IS NULL THEN 'pre_processed' WHEN quality = 0 THEN 'tagged' ELSE 'complete' END AS stage, toxic, n_chars % 11 = 0 AS fail FROM documents d LEFT JOIN labels l USING (doc_id)"""
+_STATES = """
+SELECT o_orderkey, (o_orderkey % 17 = 0)::INT AS is_not_paginated, CASE WHEN o_orderkey % 19 = 0 THEN 0 ELSE n END AS page_count, CASE WHEN o_orderkey % 19 = 0 THEN 0 ELSE body END AS body_page_count, CASE WHEN o_orderkey % 19 = 0 THEN 0 WHEN o_orderkey % 3 = 0 THEN tagged ELSE body END AS tagged_body_page_count,
+  (o_orderpriority = '1-URGENT')::INT AS agreement_is_gated, risky AS page_is_gated, (o_orderkey % 5 > 0)::INT AS has_latest_xml, CASE WHEN o_orderkey % 5 > 0 THEN [NULL, 'invalid', 'invalid', 'verified', 'verified', 'verified', 'other'][o_orderkey % 7 + 1] END AS latest_xml_status,
+  (o_orderkey % 4 = 0)::INT AS latest_xml_ai_repair_attempted, o_custkey % 3 AS latest_section_count, (o_orderkey % 11 = 0)::INT AS has_stale_body_tags, n + o_custkey % 5 AS article_count, o_custkey % 2 = 0 AS repairable
+FROM orders JOIN (SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE l_linenumber > 1) AS body, count(*) FILTER (WHERE l_linenumber > 1 AND l_discount > 0.03) AS tagged, max((l_tax > 0.06)::INT) AS risky FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey"""
+
+
+def components(t: Tables) -> DataFrame:
+    """Orders as documents, their lines as pages, and an XML for some, made of their keys."""
+    c, number = F.col, lambda x: x.cast("int")
+    body = F.col("l_linenumber") > 1
+    pages = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_if(body).alias("body"), F.count_if(body & (c("l_discount") > 0.03)).alias("tagged"), F.max(number(c("l_tax") > 0.06)).alias("risky"))
+    k, none = c("o_orderkey"), c("o_orderkey") % 19 == 0
+    kinds = F.array(F.lit(None).cast("string"), *[F.lit(x) for x in ("invalid", "invalid", "verified", "verified", "verified", "other")])
+    made = {
+        "is_not_paginated": number(k % 17 == 0), "page_count": F.when(none, 0).otherwise(c("n")), "body_page_count": F.when(none, 0).otherwise(c("body")), "tagged_body_page_count": F.when(none, 0).when(k % 3 == 0, c("tagged")).otherwise(c("body")),
+        "agreement_is_gated": number(c("o_orderpriority") == "1-URGENT"), "page_is_gated": c("risky"), "has_latest_xml": number(k % 5 > 0), "latest_xml_status": F.when(k % 5 > 0, F.element_at(kinds, (k % 7 + 1).cast("int"))),
+        "latest_xml_ai_repair_attempted": number(k % 4 == 0), "latest_section_count": c("o_custkey") % 3, "has_stale_body_tags": number(k % 11 == 0), "article_count": c("n") + c("o_custkey") % 5, "repairable": c("o_custkey") % 2 == 0,
+    }
+    return t.orders.join(pages, c("l_orderkey") == k).select("o_orderkey", *[v.alias(name) for name, v in made.items()])
 
 
-def states(t: Tables) -> DataFrame:
-    rows = t.documents.join(t.labels.withColumn("there", F.lit(1)), "doc_id", "left")
-    named = rows.withColumn("stage", S.stage(F.when(F.col("n_chars") % 5 != 0, F.col("n_chars")), F.col("there"), F.col("quality"), F.lit(1)))
-    return named.select("doc_id", "stage", S.colour((F.col("n_chars") % 11 == 0).cast("int"), F.col("toxic"), F.col("stage")).alias("colour"))
+@query(
+    "G1_stage_and_colour",
+    f"""SELECT o_orderkey, CASE WHEN is_not_paginated = 1 THEN '1_pre_processing' WHEN page_count = 0 THEN '0_staging' WHEN body_page_count = 0 OR tagged_body_page_count < body_page_count THEN '1_pre_processing' WHEN has_latest_xml = 0 THEN '2_tagging'
+    WHEN latest_xml_status IS NULL THEN '3_xml' WHEN latest_xml_status = 'invalid' THEN '3_xml' WHEN latest_xml_status = 'verified' AND (latest_section_count = 0 OR has_stale_body_tags = 1) THEN '3_xml' WHEN latest_xml_status = 'verified' THEN 'processed' ELSE '3_xml' END AS stage,
+    CASE WHEN is_not_paginated = 1 THEN 'gray' WHEN page_count = 0 THEN CASE WHEN agreement_is_gated = 1 THEN 'red' ELSE 'yellow' END WHEN body_page_count = 0 THEN 'red' WHEN tagged_body_page_count < body_page_count THEN CASE WHEN page_is_gated = 1 THEN 'red' ELSE 'yellow' END
+    WHEN has_latest_xml = 0 THEN 'yellow' WHEN latest_xml_status IS NULL OR latest_xml_status = 'invalid' THEN 'red' WHEN latest_xml_status = 'verified' AND (latest_section_count = 0 OR has_stale_body_tags = 1) THEN 'yellow' WHEN latest_xml_status = 'verified' THEN 'green' ELSE 'red' END AS colour FROM ({_STATES})""",
+)
+def _(t: Tables) -> DataFrame:
+    return components(t).select("o_orderkey", S.stage().alias("stage"), S.colour().alias("colour"))
 
 
-@query("G1_stage_and_colour", f"SELECT doc_id, stage, CASE WHEN fail THEN 'red' WHEN toxic > 0 THEN 'yellow' WHEN stage = 'complete' THEN 'green' ELSE 'gray' END AS colour FROM ({_STATES})")
-def _(t: Tables) -> DataFrame:
-    return states(t)
+_QUEUES = {
+    "pre_processing": "is_not_paginated = 0 AND page_count = 0 AND agreement_is_gated = 0",
+    "tagging": "is_not_paginated = 0 AND page_count > 0 AND body_page_count > 0 AND body_page_count - tagged_body_page_count > 0 AND page_is_gated = 0",
+    "xml_build": "body_page_count > 0 AND tagged_body_page_count = body_page_count AND (has_latest_xml = 0 OR has_stale_body_tags = 1 OR (latest_xml_status = 'verified' AND latest_section_count = 0) OR (latest_xml_status IS NULL AND latest_xml_ai_repair_attempted = 0))",
+    "xml_verify": "has_latest_xml = 1 AND latest_xml_status IS NULL AND latest_xml_ai_repair_attempted = 0",
+    "sections": "has_latest_xml = 1 AND latest_xml_status = 'verified' AND latest_section_count = 0 AND has_stale_body_tags = 0",
+    "post_repair_build": "has_latest_xml = 1 AND latest_xml_status = 'invalid' AND latest_xml_ai_repair_attempted = 1 AND body_page_count > 0 AND tagged_body_page_count = body_page_count AND has_stale_body_tags = 1",
+    "post_repair_verify": "has_latest_xml = 1 AND latest_xml_status IS NULL AND latest_xml_ai_repair_attempted = 1",
+    "repair": "latest_xml_status = 'invalid' AND has_stale_body_tags = 0 AND article_count > 5 AND repairable",
+}
 
 
-@query("G2_work_queue", f"SELECT doc_id FROM ({_STATES}) WHERE stage = 'pre_processed' AND NOT fail AND coalesce(toxic, 0) = 0 ORDER BY 1")
+@query("G2_work_queue", f"WITH s AS ({_STATES}) " + " UNION ALL ".join(f"SELECT '{name}' AS queue, o_orderkey FROM s WHERE {condition}" for name, condition in _QUEUES.items()))
 def _(t: Tables) -> DataFrame:
-    return S.work_queue(states(t), "doc_id", "pre_processed").select("doc_id")
+    return S.work_queues(components(t), "o_orderkey")
 
 
 @query("G3_gates", "SELECT l_orderkey, max((l_discount > 0.08)::INT) AS gated FROM lineitem GROUP BY 1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,17 +30,33 @@ def _(t: Tables) -> DataFrame:
     return docs(t, n=F.size(T.shingles(F.col("text"))))
 
 
+_ODD = "chr(13) || chr(10) || ' A' || chr(8203) || 'B' || chr(8238) || chr(160) || chr(8195) || 'C ' || chr(10) || chr(9) || chr(10) || ' D' || chr(13) || 'E ' || chr(7) || chr(10)"
+
+
 @query(
     "T3_normalised",
-    r"""SELECT doc_id, trim(regexp_replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]*\n[ \t]*', chr(10), 'g'), '\n{2,}', chr(1), 'g'), chr(10), ' '), chr(1), chr(10) || chr(10)), '[ \t]{2,}', ' ', 'g')) AS plain FROM documents""",
+    rf"""
+WITH a AS (SELECT doc_id, replace(replace(text || {_ODD}, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS x FROM documents),
+b AS (SELECT doc_id, regexp_replace(regexp_replace(x, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), '[\x{{200B}}-\x{{200F}}\x{{202A}}-\x{{202E}}\x{{2060}}\x{{FEFF}}]', '', 'g') AS x FROM a),
+c AS (SELECT doc_id, regexp_replace(x, '[\t \x{{85}}\p{{Z}}]+', ' ', 'g') AS x FROM b),
+d AS (SELECT doc_id, replace(replace(regexp_replace(x, '\n *(?:\n *)+', '__NL__', 'g'), chr(10), ' '), '__NL__', chr(10) || chr(10)) AS x FROM c)
+SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(x, ' {{2,}}', ' ', 'g'), ' +\n', chr(10), 'g'), '\n +', chr(10), 'g'), ' ' || chr(10)) AS plain FROM d
+""",
 )
 def _(t: Tables) -> DataFrame:
-    return docs(t, plain=T.normalised(F.col("text")))
+    odd = "\r\n A\u200bB\u202e\u00a0\u2003C \n\t\n D\rE \u0007\n"
+    return docs(t, plain=T.normalised(F.concat("text", F.lit(odd))))
 
 
-@query("T4_tight_quotes", """SELECT doc_id, regexp_replace('" ' || text || ' " x', '([“"])[ \\t]*([^“”"\\n]+?)[ \\t]*([”"])', '\\1\\2\\3', 'g') AS q FROM documents""")
+@query(
+    "T4_tight_quotes",
+    """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'the "Term ' || doc_id || '" x' WHEN 1 THEN 'x " - " Not " y' WHEN 2 THEN 'a" Beside "and (“ Loan”) z' ELSE 'see " Open' END
+    || ' ' || replace(text, '"', '') AS q FROM documents""",
+)
 def _(t: Tables) -> DataFrame:
-    return docs(t, q=T.tight_quotes(F.concat(F.lit('" '), F.col("text"), F.lit(' " x'))))
+    k = F.col("doc_id") % 4
+    said = F.when(k == 0, F.concat(F.lit('the "\tTerm '), "doc_id", F.lit('  " x'))).when(k == 1, 'x " - " Not " y').when(k == 2, 'a" Beside " and (“ Loan ”) z').otherwise('see " Open')
+    return docs(t, q=T.tight_quotes(F.concat_ws(" ", said, F.replace("text", F.lit('"'), F.lit("")))))
 
 
 _PLAIN = r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'),
@@ -50,21 +68,28 @@ def _(t: Tables) -> DataFrame:
     return t.pages.select("page_id", T.stripped_tags(F.col("html")).alias("plain"))
 
 
-_TITLES = "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Section ' || o_orderkey || '.2a: The Closing!' WHEN 1 THEN 'ARTICLE IV  Tax-Matters' WHEN 2 THEN '6.10) No Shop' ELSE 'Plain  title' END AS title FROM orders"
+#: Headings of articles and of sections, with and without numbers, and what is left of them.
+_ARTICLES = ("ARTICLE IV.  Tax-Matters", "Article ONE The Merger", "article 12 Conditions (a/b) of “Closing”", "ARTICLE Closing", "ARTICLE Indemnity", "Miscellaneous...", "")
+_ARTICLES_PLAIN = ("tax-matters", "the merger", "conditions (a/b) of closing", "osing", "ndemnity", "miscellaneous", "")
+_SECTIONS = ("Section 6.10.2. No Shop; Exceptions. .", "Section Indemnity", " section 3 2 Liability caps", "6.10 Plain  Title", "Section 7Tax / Return-Filing (Été)", "", "Section Closing")
+_SECTIONS_PLAIN = ("no shop exceptions", "section indemnity", "liability caps", "plain title", "tax / return-filing (été)", "", "section closing")
+
 
+def chosen(values: Sequence[str], key: str) -> F.Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(key) % len(values) + 1).cast("int"))
 
-def titles(t: Tables) -> DataFrame:
-    k = F.col("o_orderkey") % 4
-    return t.orders.select("o_orderkey", F.when(k == 0, F.concat(F.lit("Section "), "o_orderkey", F.lit(".2a: The Closing!"))).when(k == 1, "ARTICLE IV  Tax-Matters").when(k == 2, "6.10) No Shop").otherwise("Plain  title").alias("title"))
 
+def _pick(values: Sequence[str], key: str) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + f"][{key} % {len(values)} + 1]"
 
-@query("T9_titles", rf"SELECT o_orderkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(title)), '^(article|section)\s+[0-9ivxlc]+(\.[0-9]+)*[a-z]?[.:\s-]*', ''), '^[0-9]+(\.[0-9]+)*[.)\s]+', ''), '[^a-z0-9 ]', ' ', 'g'), '\s+', ' ', 'g')) AS plain FROM ({_TITLES})")
+
+@query("T9_titles", f"SELECT o_orderkey, {_pick(_ARTICLES_PLAIN, 'o_orderkey')} AS article, {_pick(_SECTIONS_PLAIN, 'o_custkey')} AS section FROM orders")
 def _(t: Tables) -> DataFrame:
-    return titles(t).select("o_orderkey", T.normalised_title(F.col("title")).alias("plain"))
+    return t.orders.select("o_orderkey", T.article_title(chosen(_ARTICLES, "o_orderkey")).alias("article"), T.section_title(chosen(_SECTIONS, "o_custkey")).alias("section"))
 
 
 #: SQL of party_name, of the column in place of {x}.
-_PARTY = """array_to_string(list_filter(string_split(regexp_replace(trim(regexp_replace(regexp_replace(upper({x}), '[^A-Z0-9&\\s]', ' ', 'g'), '\\s+', ' ', 'g')), '(?:(?:^| )(?:INC|INCORPORATED|CORP|CORPORATION|CO|COMPANY|LLC|LP|LLP|LTD|LIMITED|PLC|NV|SA|AG|GMBH|HOLDINGS))+$', ''), ' '), lambda w: w <> '' AND w NOT IN ('THE', 'AND', 'OF', 'A', 'AN')), ' ')"""
+_PARTY = """array_to_string(list_filter(string_split(regexp_replace(trim(regexp_replace(regexp_replace(upper({x}), '[^A-Z0-9&\\s]', ' ', 'g'), '\\s+', ' ', 'g')), '(?:(?:^| )(?:INC|INCORPORATED|CORP|CORPORATION|CO|COMPANY|LLC|LP|LLP|LTD|LIMITED|PLC|NV|BV|SA|AG|GMBH))+$', ''), ' '), lambda w: w <> '' AND w NOT IN ('THE', 'AND', 'OF', 'A', 'AN')), ' ')"""
 _NAMES = "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'The ' || p_name || ', Inc.' WHEN 1 THEN p_name || ' Holdings Corp' WHEN 2 THEN p_brand || ' & ' || p_name || ' Co., LLC' WHEN 3 THEN 'Inc. of ' || p_type WHEN 4 THEN p_type || ' plc' ELSE 'A.' || p_name END AS name FROM part"
 
 
@@ -84,15 +109,16 @@ _COVERS = "SELECT d.doc_id, CASE WHEN d.doc_id % 5 = 0 THEN d.text ELSE 'by and
 
 @query(
     "T11_companies_on_cover",
-    f"""SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(regexp_replace(substring(cover, 1, 2500), '\\s+', ' ', 'g'), '\\b((?:[A-Z][A-Za-z0-9&''-]* ){{1,6}}?)(?:Inc|INC|Corp|CORP|Corporation|LLC|LP|LLP|Ltd|LTD|plc|PLC|GmbH|Company)\\b', 1),
-    lambda x: {_PARTY.format(x='x')}), lambda n: length(n) >= 3))) AS names FROM ({_COVERS})""",
+    f"""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN [] ELSE list_sort(list_distinct([{_PARTY.format(x="upper(substring(p_name, 1, 1)) || substring(p_name, 2, instr(p_name, ' ') - 2) || ' North'")}, 'BETA GAMMA', 'HOUSE CARDS', 'FOO & BAR DELTA'])) END AS names
+    FROM documents JOIN part ON p_partkey = 1 + doc_id % 97""",
 )
 def _(t: Tables) -> DataFrame:
-    parts = t.part.select("p_partkey", "p_name", "p_brand")
-    made = t.documents.join(parts, F.col("p_partkey") == 1 + F.col("doc_id") % 97)
-    first = F.concat(F.upper(F.substring("p_name", 1, 1)), F.expr("substring(p_name, 2)"))
-    cover = F.concat(F.lit("by and among "), first, F.lit(" North Corp. and  Beta "), "p_brand", F.lit(" LLC, the Gamma Company; "), "text")
-    return made.select("doc_id", T.party_names(F.when(F.col("doc_id") % 5 == 0, F.col("text")).otherwise(cover)).alias("names"))
+    """Names with small words, `&`, commas and several forms; words in lower case before a form are no name."""
+    parts = t.part.select("p_partkey", "p_name")
+    made = t.documents.select("doc_id").join(parts, F.col("p_partkey") == 1 + F.col("doc_id") % 97)
+    first = F.concat(F.upper(F.substring("p_name", 1, 1)), F.expr("substring(p_name, 2, instr(p_name, ' ') - 2)"))
+    cover = F.concat(F.lit("by and among "), first, F.lit(" North Corp., a delaware corporation, Beta  of the Gamma, L.L.C., House of Cards CORPORATION; Foo & Bar and Delta, INC (x)"))
+    return made.select("doc_id", T.party_names(F.when(F.col("doc_id") % 5 == 0, "no names, a delaware corporation").otherwise(cover)).alias("names"))
 
 
 _COUNSEL = "SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN s_name || ' & Jones LLP; Firm ' || s_nationkey || ', P.C. ;' WHEN 1 THEN s_name || ' and Partners LLP' WHEN 2 THEN 'Alpha Beta L.L.P. and ' || s_name || ' P.C.' WHEN 3 THEN s_name || chr(10) || 'Other / Third LLC' ELSE ' ; ' END AS field FROM supplier"
@@ -112,36 +138,61 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "T13_snippet",
-    "SELECT doc_id, CASE WHEN a > 1 THEN '…' ELSE '' END || substring(text, a, 60) || CASE WHEN a + 59 < length(text) THEN '…' ELSE '' END AS snip FROM (SELECT doc_id, text, greatest(1, instr(lower(text), 'the') - 20) AS a FROM documents)",
+    r"""
+WITH a AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS x FROM documents),
+b AS (SELECT doc_id, x, lower(x) AS low, length(x) AS n FROM a),
+c AS (SELECT *, list_filter(['Que ', 'the', 'no such'], lambda w: contains(low, trim(lower(w)))) AS matched FROM b),
+d AS (SELECT *, list_min(list_transform(matched, lambda w: instr(low, trim(lower(w))) - 1)) AS first FROM c),
+e AS (SELECT *, greatest(first - 20, 0) AS s FROM d),
+f AS (SELECT *, CASE WHEN least(s + 60, n) - s < 60 AND s > 0 THEN greatest(least(s + 60, n) - 60, 0) ELSE s END AS start, least(s + 60, n) AS stop FROM e)
+SELECT doc_id, matched, CASE WHEN x = '' THEN '' WHEN first IS NULL THEN CASE WHEN n > length(rtrim(substring(x, 1, 60))) THEN rtrim(rtrim(substring(x, 1, 60)), ' .,;:') || '...' ELSE rtrim(substring(x, 1, 60)) END
+  ELSE CASE WHEN stop < n THEN rtrim(CASE WHEN start > 0 THEN '...' ELSE '' END || trim(substring(x, start + 1, stop - start)), ' .,;:') || '...' ELSE CASE WHEN start > 0 THEN '...' ELSE '' END || trim(substring(x, start + 1, stop - start)) END END AS snip
+FROM f
+""",
 )
 def _(t: Tables) -> DataFrame:
-    return docs(t, snip=T.snippet(F.col("text"), "the", 60))
+    snippet, matched = T.focused_snippet(F.col("text"), ["Que ", "the", " ", "no such"], 60)
+    return docs(t, snip=snippet, matched=matched)
 
 
-@query("T14_plain_snippet", "SELECT doc_id, substring(text, 1, 220) AS snip FROM documents")
+@query(
+    "T14_plain_snippet",
+    r"""SELECT page_id, CASE WHEN x = '' THEN NULL WHEN length(x) <= 220 THEN x ELSE rtrim(substring(x, 1, 219)) || '…' END AS snip FROM (SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS x FROM pages)""",
+)
 def _(t: Tables) -> DataFrame:
-    return docs(t, snip=F.substring(F.col("text"), 1, 220))
+    return t.pages.select("page_id", T.tag_snippet(F.col("html")).alias("snip"))
 
 
 @query(
     "T15_amounts",
-    r"""SELECT doc_id, list_sort(found) AS found, len(found) > 20 AS more FROM (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text || ' $' || n_chars || ' Million or $ ' || doc_id || ',000.50 and $5, $' || n_chars || ' MILLION', '(?i)\$\s?[0-9][0-9,]*(?:\.[0-9]+)?(?:\s?(?:million|billion|thousand))?'), lambda x: lower(x))) AS found FROM documents) WHERE len(found) <= 20""",
+    r"""
+WITH said AS (
+  SELECT doc_id, text || ' $1,000,000, but $5mm, $ 2 bn and $5 TRILLION or ' || doc_id || ',5 Million dollars; $3,000,000 to $' || n_chars || '.50, $' || n_chars || '.50 by $1,000,000 t ' || CASE WHEN doc_id % 5 = 0
+    THEN array_to_string(list_transform(range(20), lambda i: '$' || i || 'K'), ' ') ELSE '7 thousand, $x' END AS x FROM documents
+), found AS (
+  SELECT doc_id, unnest(v) AS v, unnest(range(len(v))) AS i
+  FROM (SELECT doc_id, regexp_extract_all(x, '(?i)\$\s*\d(?:[\d,]*\d)?(?:\.\d+)?(?:\s*(?:billion|million|trillion|thousand|bn|mm|[BMTK])\b)?|\d(?:[\d,]*\d)?(?:\.\d+)?\s+(?:billion|million|trillion|thousand)\s+dollars?') AS v FROM said)
+), once AS (SELECT doc_id, arg_min(v, i) AS v, min(i) AS i, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) AS r FROM found GROUP BY doc_id, lower(v))
+SELECT doc_id, list(v ORDER BY i) FILTER (WHERE r <= 20) AS found, count(*) > 20 AS more FROM once GROUP BY doc_id
+""",
 )
 def _(t: Tables) -> DataFrame:
-    said = F.concat("text", F.lit(" $"), "n_chars", F.lit(" Million or $ "), "doc_id", F.lit(",000.50 and $5, $"), "n_chars", F.lit(" MILLION"))
+    """Every fifth text has more sums than are kept."""
+    many = F.when(F.col("doc_id") % 5 == 0, F.array_join(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.concat(F.lit("$"), i, F.lit("K"))), " ")).otherwise("7 thousand, $x")
+    parts = (" $1,000,000, but $5mm, $ 2 bn and $5 TRILLION or ", "doc_id", ",5 Million dollars; $3,000,000 to $", "n_chars", ".50, $", "n_chars", ".50 by $1,000,000 t ")
+    said = F.concat("text", *[F.col(p) if p in ("doc_id", "n_chars") else F.lit(p) for p in parts], many)
     found, more = T.amounts(said)
-    return docs(t, found=F.array_sort(found), more=more).filter("NOT more")
-
+    return docs(t, found=found, more=more)
 
-_SAID = {"que": "QU", "with": "EN", "und": "DE", "para": "ES", "the ": "EN"}
 
+_STATES = ("New York", "York", "West Virginia", "Virginia", "England and Wales", "Delaware")
+_WHERE = ("laws of new york and VIRGINIA", "of West Virginia, Delaware; delaware", "Yorkshire, Delawares, Virginian", "York and England and Wales.", "none")
+_WHERE_FOUND = (["New York", "Virginia"], ["Delaware", "West Virginia"], ["N/A"], ["England and Wales", "York"], ["N/A"])
 
-_FOUND = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS name, instr(lower(text), '{w}') AS p FROM documents" for w, n in _SAID.items())
 
-
-@query("T16_mentions", f"SELECT doc_id, coalesce(states, []) AS states FROM documents LEFT JOIN (SELECT doc_id, list(name ORDER BY p, name) AS states FROM (SELECT doc_id, name, min(p) AS p FROM ({_FOUND}) WHERE p > 0 GROUP BY 1, 2) GROUP BY 1) USING (doc_id)")
+@query("T16_mentions", "SELECT doc_id, [" + ", ".join(str(x) for x in _WHERE_FOUND) + "][doc_id % 5 + 1] AS states FROM documents")
 def _(t: Tables) -> DataFrame:
-    return docs(t, states=T.mentions(F.col("text"), _SAID))
+    return docs(t, states=T.mentions(F.concat_ws(" ", chosen(_WHERE, "doc_id"), "text"), _STATES))
 
 
 _FITS = "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN split_part(p_type, ' ', 1) WHEN 1 THEN p_brand ELSE '' END AS concept, p_type AS label, p_size / 50 AS score, p_partkey % 2 = 0 AS matched FROM part"
@@ -286,12 +337,22 @@ def _(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"), F.col("event_type").try_cast("long").alias("none"))
 
 
-@query("M8_price_total", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_totalprice WHEN 1 THEN 5.0 WHEN 2 THEN CASE WHEN o_orderstatus = 'F' THEN o_totalprice + 5.0 END END AS total FROM orders")
+_PRICES = """SELECT o_orderkey, ['cash', 'stock', 'mixed', 'other', NULL][o_orderkey % 5 + 1] AS kind, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS cash, CASE WHEN o_orderkey % 3 = 0 THEN 5.5 WHEN o_orderkey % 3 = 1 THEN 0.0 END::DOUBLE AS stock,
+    CASE WHEN o_orderstatus = 'F' THEN 0.25 END::DOUBLE AS assets FROM orders"""
+
+
+@query(
+    "M8_price_total",
+    f"""SELECT o_orderkey, CASE WHEN kind = 'cash' THEN cash WHEN kind = 'stock' THEN stock WHEN (cash IS NOT NULL)::INT + (stock IS NOT NULL)::INT + (assets IS NOT NULL)::INT >= 2 THEN coalesce(cash, 0) + coalesce(stock, 0) + coalesce(assets, 0) END AS total,
+    coalesce((kind = 'cash' AND (coalesce(stock, 0) > 0 OR coalesce(assets, 0) > 0)) OR (kind = 'stock' AND (coalesce(cash, 0) > 0 OR coalesce(assets, 0) > 0)), FALSE) AS conflict FROM ({_PRICES})""",
+)
 def _(t: Tables) -> DataFrame:
-    from folioforge.operators.states import price_total
+    from folioforge.operators.states import price_conflict, price_total
 
-    kind = F.element_at(F.array(F.lit("cash"), F.lit("stock"), F.lit("mixed")), (F.col("o_orderkey") % 3 + 1).cast("int"))
-    return t.orders.select("o_orderkey", price_total(kind, F.col("o_totalprice"), F.when((F.col("o_orderstatus") == "F") | (F.col("o_orderkey") % 3 == 1), 5.0), F.lit(None).cast("double")).alias("total"))
+    k = F.col("o_orderkey")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("cash", "stock", "mixed", "other")], F.lit(None).cast("string")), (k % 5 + 1).cast("int"))
+    parts = (F.when(k % 2 == 0, F.col("o_totalprice")), F.when(k % 3 == 0, 5.5).when(k % 3 == 1, 0.0), F.when(F.col("o_orderstatus") == "F", 0.25))
+    return t.orders.select("o_orderkey", price_total(kind, *parts).alias("total"), price_conflict(kind, *parts).alias("conflict"))
 
 
 @query("M9_latency_slots", "SELECT event_id, CASE WHEN value <= 25 THEN 0 WHEN value <= 50 THEN 1 WHEN value <= 100 THEN 2 WHEN value <= 250 THEN 3 WHEN value <= 500 THEN 4 WHEN value <= 1000 THEN 5 WHEN value <= 2000 THEN 6 WHEN value <= 5000 THEN 7 WHEN value <= 10000 THEN 8 ELSE 9 END AS slot FROM events")
@@ -433,11 +494,19 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "T23_complexity",
-    r"""SELECT doc_id, w::INT AS words, round(g, 6) AS grade, round(w / s, 6) AS words_per_sentence, round((g + w / s / 2) / 2, 6) AS composite FROM (SELECT *, CASE WHEN w > 0 THEN 0.39::DOUBLE * w / s + 11.8::DOUBLE * greatest(w, v) / w - 15.59 END AS g FROM (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]+')) AS w, greatest(1, len(regexp_extract_all(text, '[.!?]+'))) AS s, len(regexp_extract_all(lower(text), '[aeiouy]+')) AS v FROM documents)) WHERE w > 0""",
+    r"""
+WITH a AS (
+  SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS words, len(regexp_extract_all(text, '[A-Za-z]+')) AS w, greatest(1, len(regexp_extract_all(text, '[.!?]+'))) AS s, len(regexp_extract_all(lower(text), '[aeiouy]+')) AS v, lang = 'en' AS several FROM documents
+), b AS (SELECT doc_id, words, ln(1 + words) AS lw, CASE WHEN w > 0 THEN 0.39::DOUBLE * w / s + 11.8::DOUBLE * greatest(w, v) / w - 15.59 END AS g, several::INT AS several FROM a),
+c AS (SELECT *, CASE WHEN max(lw) OVER () > min(lw) OVER () THEN (lw - min(lw) OVER ()) / (max(lw) OVER () - min(lw) OVER ()) ELSE 0 END AS x, CASE WHEN g IS NULL THEN NULL WHEN max(g) OVER () > min(g) OVER () THEN (g - min(g) OVER ()) / (max(g) OVER () - min(g) OVER ()) ELSE 0 END AS y FROM b)
+SELECT doc_id, words::INT AS words, round(g, 6) AS grade, round((x + coalesce(y, 0) + several) / (CASE WHEN y IS NULL THEN 2 ELSE 3 END), 6) AS complexity FROM c
+""",
 )
 def _(t: Tables) -> DataFrame:
-    made = T.complexity(F.col("text"))
-    return docs(t, **{c: v if c == "words" else F.round(v, 6) for c, v in made.items()}).filter("words > 0")
+    from folioforge.operators.rollups import mean_complexity
+
+    rows = docs(t, **T.complexity(F.col("text"), F.col("lang") == "en"))
+    return mean_complexity(rows).select("doc_id", "words", F.round("grade", 6).alias("grade"), F.round("complexity", 6).alias("complexity"))
 
 
 @query("T17_concepts")

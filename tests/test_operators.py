@@ -352,7 +352,7 @@ def test_exhibit_classifier_learns(spark):
     said = lambda good: ("AGREEMENT AND PLAN OF MERGER " if good else "CREDIT AGREEMENT ") + " ".join(r.choice(["merger", "closing", "target"] if good else ["loan", "lender", "interest"]) for _ in range(30))
     rows = [(i, said(i % 2), i % 2) for i in range(80)]
     docs = spark.createDataFrame(rows + [(900, None, None), (901, "", None)], "doc_id long, text string, label int")
-    out = {x.doc_id: x for x in exhibits.predict(exhibits.fit(docs.filter("doc_id < 60")), docs, "doc_id").collect()}
+    out = {x.doc_id: x for x in exhibits.predict(exhibits.fit(docs.filter("doc_id < 60"), "doc_id"), docs, "doc_id", short=1).collect()}
     assert len(out) == 82 and all(out[i].positive == bool(i % 2) for i in range(60, 80)) and all(0 <= x.probability <= 1 for x in out.values())
 
 
