@@ -144,55 +144,69 @@ def build_xml(text: str | None) -> str:
     return ET.tostring(root, encoding="unicode")
 
 
-def violation_codes(xml: str | None, least_articles: int = 5) -> list[str]:
-    """The reason codes of a document's structure, one for each place where it breaks a rule, in the order of REASONS;
-    xml_parse_failure alone if it does not parse."""
+def violations_of(xml: str | None, least_articles: int = 5) -> list[dict]:
+    """code, detail and pages of each place where a document's structure breaks a rule, in the order of REASONS; xml_parse_failure alone
+    if it does not parse. detail: the heading, and what was expected; pages: of the heading, where it has one."""
+    whole = lambda code: [{"code": code, "detail": "", "pages": []}]
     try:
         root = ET.fromstring(xml or "")
     except ET.ParseError:
-        return ["xml_parse_failure"]
+        return whole("xml_parse_failure")
     body = root.find("body")
     if body is None:
-        return ["missing_body"]
+        return whole("missing_body")
     children = [c for c in body if c.tag not in INLINE]
     if not children:
-        return ["body_has_no_structural_children"]
-    found = []
+        return whole("body_has_no_structural_children")
+    found: list[dict] = []
+
+    def broken(code: str, detail: str = "", *places: ET.Element) -> None:
+        found.append({"code": code, "detail": detail, "pages": sorted({p.get("pageUUID") for p in places} - {None})})
+
+    title = lambda e: e.get("title") or f"<{e.tag}>"
     if children[0].tag != "article":
-        found.append("body_starts_non_article")
-    found += ["body_contains_non_article_children" for c in children if c.tag != "article"]
+        broken("body_starts_non_article", title(children[0]), children[0])
+    for c in children:
+        if c.tag != "article":
+            broken("body_contains_non_article_children", title(c), c)
     articles = [c for c in children if c.tag == "article"]
     if not articles:
-        return [r for r in REASONS for x in [*found, "body_has_no_articles"] if x == r]
+        broken("body_has_no_articles")
+        return [f for r in REASONS for f in found if f["code"] == r]
     if len(articles) < least_articles:
-        found.append("too_few_articles")
+        broken("too_few_articles", f"{len(articles)} of {least_articles}", *articles)
     numbers = [number(m[1]) if (m := ARTICLE.match(a.get("title", ""))) else None for a in articles]
     if numbers[0] != 1:
-        found.append("first_article_not_one")
-    most, empty = None, 0
+        broken("first_article_not_one", title(articles[0]), articles[0])
+    most, empty = None, []
     for article, n in zip(articles, numbers):
         if n is not None:
             if most is not None and n <= most:
-                found.append("articles_out_of_order")
+                broken("articles_out_of_order", f"{title(article)}: after {most}", article)
             else:
                 most = n
         sections = article.findall("section")
         if not sections and not any((t.text or "").strip() for t in article.iter("text")):
-            empty += 1
+            empty.append(article)
         expected = 1
         for s in sections:
             m = SECTION.match(s.get("title", ""))
             if not m:
-                found.append("section_title_invalid_numbering")
+                broken("section_title_invalid_numbering", title(s), s)
                 continue
             if n is not None and int(m[1]) != n:
-                found.append("section_article_mismatch")
+                broken("section_article_mismatch", f"{title(s)}: in article {n}", s)
             if int(m[2]) != expected:
-                found.append("section_non_sequential")
+                broken("section_non_sequential", f"{title(s)}: expected {m[1]}.{expected}", s)
             expected = int(m[2]) + 1
-    if empty > 1:
-        found.append("too_many_empty_articles")
-    return [r for r in REASONS for x in found if x == r]
+    if len(empty) > 1:
+        broken("too_many_empty_articles", "; ".join(title(a) for a in empty), *empty)
+    return [f for r in REASONS for f in found if f["code"] == r]
+
+
+def violation_codes(xml: str | None, least_articles: int = 5) -> list[str]:
+    """The codes of violations_of, one for each place."""
+    return [f["code"] for f in violations_of(xml, least_articles)]
 
 
 def structure_violations(xml: str | None, least_articles: int = 5) -> list[str]:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("filters", "joins", "rollups", "sequences", "search", "texts", "documents", "retrieval", "phrases", "pages", "duplicates", "states", "sources")
+MODULES = ("filters", "joins", "rollups", "sequences", "search", "texts", "documents", "retrieval", "phrases", "pages", "outline", "duplicates", "states", "sources")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 

@@ -120,7 +120,12 @@ def _(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(rows, "status string, n long, counted int")
 
 
-@query("T29_pseudonyms")
+def _padded(secret: str, pad: int) -> str:
+    """A blob of SQL: the key of 64 bytes with each byte turned."""
+    return "'" + "".join(f"\\x{x ^ pad:02X}" for x in secret.encode().ljust(64, b"\0")) + "'::BLOB"
+
+
+@query("T29_pseudonyms", f"SELECT event_id, sha256({_padded('secret', 0x5C)} || unhex(sha256({_padded('secret', 0x36)} || encode('10.0.' || user_id % 256 || '.' || event_id % 7)))) AS pseudonym FROM events")
 def _(t: Tables) -> DataFrame:
     said = t.events.select("event_id", F.concat(F.lit(" 10.0."), F.col("user_id") % 256, F.lit("."), F.col("event_id") % 7, F.lit(" ")).alias("ip"))
     return said.select("event_id", usage.pseudonym("ip", "secret").alias("pseudonym"))

@@ -85,6 +85,21 @@ def _(t: Tables) -> DataFrame:
     return usage.daily_unique(t.events)
 
 
+@query("ST1_hourly_stream", "SELECT event_type, date_trunc('hour', ts) AS slot, count(*) AS n, sum(value::DECIMAL(18,2))::DOUBLE AS total, max(value) AS most FROM events GROUP BY 1, 2")
+def _(t: Tables) -> DataFrame:
+    """The same roll-up by a stream of the table's files."""
+    folder = sinks.scratch_dir(t.spark, "hourly")
+    usage.stream_hourly(usage.table_stream(t.spark, t.folder, "events"), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return usage.latest(t.spark, f"{folder}/out").select("event_type", "slot", "n", "total", "most")
+
+
+@query("ST2_daily_stream", "SELECT date_trunc('day', ts)::TIMESTAMP AS slot, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2")
+def _(t: Tables) -> DataFrame:
+    folder = sinks.scratch_dir(t.spark, "daily")
+    usage.stream_daily(usage.table_stream(t.spark, t.folder, "events"), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return usage.daily_latest(t.spark, f"{folder}/out")
+
+
 @query("ST3_sampling", "SELECT event_id FROM events WHERE event_type = 'error' OR ('0x' || substr(md5(event_id::VARCHAR), 1, 8))::BIGINT < CASE WHEN event_type = 'purchase' THEN 0.5::DOUBLE ELSE 0.1::DOUBLE END * 4294967296")
 def _(t: Tables) -> DataFrame:
     return usage.sampled(t.events, "event_id", "event_type", {"error": 1.0, "purchase": 0.5}, 0.1).select("event_id")

@@ -443,7 +443,11 @@ def _(t: Tables) -> DataFrame:
     return t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.array_sort(F.collect_list("n_name")).alias("nations"))
 
 
-@query("U6_uuid5")
+@query(
+    "U6_uuid5",
+    """SELECT page_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', ('0x' || substr(h, 17, 1))::INT % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uuid
+    FROM (SELECT page_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(url)) AS h FROM pages)""",
+)
 def _(t: Tables) -> DataFrame:
     return t.pages.select("page_id", T.uuid5("6ba7b8119dad11d180b400c04fd430c8", F.col("url")).alias("uuid"))
 

@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
-from collections.abc import Iterator
 from functools import partial
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -91,12 +88,41 @@ def first_seen(events: DataFrame, delay: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["user_id", "event_type"])
 
 
-def pseudonym(column: str, secret: str) -> Column:
-    """HMAC-SHA256 of the trimmed value as hex; null for a blank value or secret. Spark has no keyed hash, so in Arrow batches."""
+def _store_daily(batch: DataFrame, number: int, folder: str) -> None:
+    """Adds a batch's events of each day, kind and user to the latest version; see _store."""
+    spark = batch.sparkSession
+    keys = ("slot", "event_type", "user_id")
+    new = batch.groupBy(F.date_trunc("day", "ts").alias("slot"), "event_type", "user_id").agg(F.count("*").alias("n"))
+    if number:
+        new = spark.read.parquet(f"{folder}/version={number - 1}").unionByName(new).groupBy(*keys).agg(F.sum("n").alias("n"))
+    new.write.mode("overwrite").parquet(f"{folder}/version={number}")
+    for old in versions(spark, folder):
+        if old < number - 1:
+            store, path = _folder(spark, f"{folder}/version={old}")
+            store.delete(path, True)
 
-    @F.pandas_udf("string")
-    def keyed(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in values:
-            yield part.map(lambda v: hmac.new(secret.encode(), v.strip().encode(), hashlib.sha256).hexdigest() if secret and isinstance(v, str) and v.strip() else None)
 
-    return keyed(F.col(column))
+def stream_daily(events: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Rolls a stream up by day, kind and user, so that a user who comes back on any later batch counts once a day."""
+    return events.writeStream.foreachBatch(partial(_store_daily, folder=folder)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def daily_latest(spark: SparkSession, folder: str) -> DataFrame:
+    """slot, event_type, n, users as they stand."""
+    return latest(spark, folder).groupBy("slot", "event_type").agg(F.sum("n").alias("n"), F.count("user_id").alias("users"))
+
+
+def table_stream(spark: SparkSession, folder: str, name: str, files: int = 1) -> DataFrame:
+    """A table of a folder, a file or a folder of files, as a stream of at most so many files a batch."""
+    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/{name}.parque[t]")
+
+
+def pseudonym(column: str, secret: str) -> Column:
+    """HMAC-SHA256 of the trimmed value as hex; null for a blank value or secret. The keyed hash is made of two plain ones."""
+    key = secret.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(x ^ pad for x in key)) for pad in (0x36, 0x5C))
+    plain = F.regexp_replace(F.col(column), r"(?U)^\s+|\s+$", "")
+    keyed = F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, plain.cast("binary")), 256))), 256)
+    return F.when((plain != "") & F.lit(bool(secret)), keyed)
