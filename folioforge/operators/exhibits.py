@@ -61,36 +61,47 @@ def phrase_of(words: str) -> str:
     return " ".join(words.replace("-", " ").split())
 
 
-def features(text: Column, subject: Sequence[str] = SUBJECT, titles: Sequence[str] = TITLES, against: Sequence[str] = AGAINST, start: int = START) -> dict[str, Column]:
-    """Words; how many of the subject's phrases stand in the text, and their density; whether, and where, a title stands in the first
+def looks(text: Column, subject: Sequence[str] = SUBJECT, titles: Sequence[str] = TITLES, against: Sequence[str] = AGAINST, start: int = START) -> Column:
+    """What `features` are made of, as one column. Words; how many of the subject's phrases stand in the text, and their density; whether, and where, a title stands in the first
     `start` characters, and how often, and where, a phrase against it does, in any case and in capitals. Phrases are whole words, titles
     may begin or end inside one. Places are shares of the region's length."""
     text = F.coalesce(text, F.lit(""))
     words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
 
-    def looked_at(t: Column) -> Column:
-        whole, region, cased = spread(scanned(t)), scanned(F.substring(F.lower(t), 1, start)), spread(scanned(F.substring(t, 1, start), False))
-        wide = spread(region)
+    def scans(t: Column) -> Column:
+        region = scanned(F.substring(F.lower(t), 1, start))
+        return F.struct(spread(scanned(t)).alias("whole"), region.alias("region"), spread(region).alias("wide"), spread(scanned(F.substring(t, 1, start), False)).alias("cased"), F.concat(F.lit(" "), region, F.lit(" ")).alias("edged"))
+
+    def looked_at(v: Column) -> Column:
+        region = v["region"]
         inside = lambda p: F.lit(f" {phrase_of(p).replace(' ', '  ')} ")
         count = lambda where, p: ((F.length(where) - F.length(F.replace(where, p, F.lit("")))) / F.length(p)).cast("int")
         upper = lambda p: F.lit(f" {phrase_of(p).upper().replace(' ', '  ')} ")
-        edged = F.concat(F.lit(" "), region, F.lit(" "))
         first = lambda places: F.array_min(F.filter(F.array(*places), lambda k: k > 0)) - 1
         return F.struct(
-            sum((F.contains(whole, inside(p)).cast("int") for p in subject), F.lit(0)).alias("hits"), first([F.instr(region, p) for p in titles]).alias("title"), first([F.instr(edged, f" {phrase_of(p)} ") for p in against]).alias("other"),
-            sum((count(wide, inside(p)) for p in against), F.lit(0)).alias("n"), sum((count(cased, upper(p)) for p in against), F.lit(0)).alias("caps"), F.greatest(F.length(region), F.lit(1)).alias("size"),
+            sum((F.contains(v["whole"], inside(p)).cast("int") for p in subject), F.lit(0)).alias("hits"), first([F.instr(region, p) for p in titles]).alias("title"),
+            first([F.instr(v["edged"], f" {phrase_of(p)} ") for p in against]).alias("other"), sum((count(v["wide"], inside(p)) for p in against), F.lit(0)).alias("n"),
+            sum((count(v["cased"], upper(p)) for p in against), F.lit(0)).alias("caps"), F.greatest(F.length(region), F.lit(1)).alias("size"),
         )
 
-    found = let(text, looked_at)
-    hits, title, other, n, caps, size = (found[c] for c in ("hits", "title", "other", "n", "caps", "size"))
+    # a scan is made once, not for every phrase
+    found = let(let(text, scans), looked_at)
+    return F.struct(words.alias("words"), found.alias("found"))
+
+
+def features(seen: str) -> dict[str, Column]:
+    """FEATURES, from a column of `looks`."""
+    words = F.col(f"{seen}.words")
+    hits, title, other, n, caps, size = (F.col(f"{seen}.found.{c}") for c in ("hits", "title", "other", "n", "caps", "size"))
     return {
         "n_words": words, "subject_hits": hits, "subject_density": F.when(words > 0, hits / words).otherwise(0.0), "title_hit": title.isNotNull().cast("int"), "title_place": F.coalesce(title / size, F.lit(0.0)),
         "against_hit": (n > 0).cast("int"), "against_count": n, "against_place": F.coalesce(other / size, F.lit(0.0)), "against_caps": (caps > 0).cast("int"), "against_caps_count": caps,
     }
 
 
-def featured(docs: DataFrame, text: str = "text") -> DataFrame:
-    return docs.withColumns({c: v.cast("double") for c, v in features(F.col(text)).items()})
+def featured(docs: DataFrame, text: str = "text", kind: str | None = "double") -> DataFrame:
+    """docs with FEATURES, as numbers of a kind, or each of its own."""
+    return docs.withColumn("_seen", looks(F.col(text))).withColumns({c: v.cast(kind) if kind else v for c, v in features("_seen").items()}).drop("_seen")
 
 
 def classifier(terms: int = 5000, characters: int = 3000, strength: float = 0.01) -> Pipeline:

@@ -152,9 +152,9 @@ _HEADS = ("AGREEMENT AND PLAN OF MERGER of the MERGER SUB (mac). ", "EMPLOYMENT
 )
 def _(t: Tables) -> DataFrame:
     head = F.element_at(F.array(*[F.lit(h) for h in _HEADS]), (F.col("doc_id") % 5 + 1).cast("int"))
-    made = X.features(F.col("made"))
     part = ("subject_density", "title_place", "against_place")
-    return t.documents.select("doc_id", F.concat(head, "text").alias("made")).select("doc_id", *[(F.round(v, 8) if c in part else v).alias(c) for c, v in made.items()])
+    made = X.featured(t.documents.select("doc_id", F.concat(head, "text").alias("made")), "made", None)
+    return made.select("doc_id", *[F.round(c, 8).alias(c) if c in part else c for c in X.FEATURES])
 
 
 @query("X19_likeness")
