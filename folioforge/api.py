@@ -93,7 +93,7 @@ def list_naics(codes: DataFrame, sectors: DataFrame, sub_sectors: DataFrame) ->
 
 def list_counsel(names: DataFrame) -> DataFrame:
     """key, name, n of counsel (raw_name): the name most often used of each firm."""
-    counted = names.select(T.counsel_key(F.col("raw_name")).alias("key"), F.col("raw_name").alias("name")).filter("key <> ''").groupBy("key", "name").agg(F.count("*").alias("n"))
+    counted = names.select(T.counsel_key(T.firm_display(F.col("raw_name"))).alias("key"), F.col("raw_name").alias("name")).filter("key <> ''").groupBy("key", "name").agg(F.count("*").alias("n"))
     return counted.groupBy("key").agg(F.max_by("name", F.struct("n", "name")).alias("name"), F.sum("n").alias("n"))
 
 

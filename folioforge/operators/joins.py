@@ -65,12 +65,11 @@ def crosswalked(rows: DataFrame, code: str, walk: DataFrame, classes: DataFrame)
     prefixes of that (prefix, class) the longest gives the class; null where none fits. Both tables are small code lists."""
 
     def longest(left: DataFrame, key: str, table: DataFrame, value: str) -> DataFrame:
-        sizes = [r[0] for r in table.select(F.length("prefix")).distinct().orderBy(F.desc(F.length("prefix"))).limit(16).collect()]
-        names = []
-        for n in sizes:
-            names.append(f"_{value}{n}")
-            part = table.filter(F.length("prefix") == n).select(F.col("prefix").alias(f"_p{n}"), F.col(value).alias(names[-1]))
-            left = left.join(part, F.substring(F.col(key).cast("string"), 1, n) == F.col(f"_p{n}"), "left").drop(f"_p{n}")
-        return left.withColumn(value, F.coalesce(*names) if names else F.lit(None)).drop(*names)
+        codes = left.select(F.col(key).cast("string").alias("_code")).filter("_code IS NOT NULL").distinct()
+        starts = codes.select("_code", F.explode(F.transform(F.sequence(F.lit(0), F.length("_code")), lambda n: F.substring(F.col("_code"), F.lit(1), n))).alias("_start"))
+        named = table.select(F.col("prefix").cast("string").alias("_start"), F.col(value).alias("_value"))
+        # of several values of one prefix the greatest
+        best = starts.join(named, "_start").groupBy("_code").agg(F.max(F.struct(F.length("_start").alias("n"), F.col("_value").alias("v"))).alias("_best"))
+        return left.join(best, F.col(key).cast("string") == F.col("_code"), "left").withColumn(value, F.col("_best.v")).drop("_code", "_best")
 
     return longest(longest(rows, code, walk, "sic"), "sic", classes, "class")

@@ -121,19 +121,56 @@ def _(t: Tables) -> DataFrame:
     return made.select("doc_id", T.party_names(F.when(F.col("doc_id") % 5 == 0, "no names, a delaware corporation").otherwise(cover)).alias("names"))
 
 
-_COUNSEL = "SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN s_name || ' & Jones LLP; Firm ' || s_nationkey || ', P.C. ;' WHEN 1 THEN s_name || ' and Partners LLP' WHEN 2 THEN 'Alpha Beta L.L.P. and ' || s_name || ' P.C.' WHEN 3 THEN s_name || chr(10) || 'Other / Third LLC' ELSE ' ; ' END AS field FROM supplier"
+_FIELDS = "[s_name || ' & Jones LLP; Firm ' || s_nationkey || ', P.C. ;', s_name || ' and Partners LLP', 'Alpha Beta LLP and ' || s_name || ' P.C.', s_name || chr(10) || chr(10) || 'Other / Third LLC', ' ; ', 'Gamma L.L.P. and Delta, Inc. (US)', ', LLP', 'One And Two, Ltd. (NY)'][s_suppkey % 8 + 1]"
+_FORMS = "llp|l\\.l\\.p\\.|limited liability partnership|pc|p\\.c\\.|professional corporation|pllc|plc|llc|ltd|lp|l\\.p\\.|corp\\.?|corporation|inc\\.?|n\\.v\\.|a\\.p\\.c\\.|s\\.c\\."
+#: SQL of a name as it is shown, and of its key, of the text in place of {x}; the loop of the rule three times, which is enough here.
+_ONCE = rf"trim(regexp_replace(trim(regexp_replace({{x}}, '(?i)\s*\((?:us|u\.s\.|usa|ny|delaware|uk)\)\s*$', '')), '(?i)(?:(?:,|\s)+(?:{_FORMS}))+\.?\s*$', ''), ' ,;')"
+_DISPLAY = "trim(regexp_replace(regexp_replace({y}, '(?i)\\s+and\\s+', ' & ', 'g'), '\\s+', ' ', 'g'))"
+_KEY = "array_to_string(list_filter(string_split_regex(trim(replace(regexp_replace(replace(lower({x}), '&', ' and '), '[^a-z0-9 ]+', ' ', 'g'), ' and ', ' ')), ' +'), lambda w: w NOT IN ('llp', 'pc', 'professional', 'corporation', 'pllc', 'plc', 'llc', 'lp', 'corp', 'inc', 'ltd', 'nv', 'apc', 'sc', '')), ' ')"
+
+
+def _shown(x: str) -> str:
+    for _ in range(3):
+        x = _ONCE.replace("{x}", x)
+    return _DISPLAY.replace("{y}", x)
 
 
 @query(
     "T12_counsel",
-    f"""SELECT s_suppkey, firms, list_transform(firms, lambda n: array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(n), '\\bp\\.?\\s?c\\.?(\\W|$)|\\bprofessional corporation\\b|\\bl\\.?l\\.?p\\.?(\\W|$)|\\bllc\\b', ' \\1\\2', 'g'), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w NOT IN ('and', 'the', 'of', '')), ' ')) AS keys
-    FROM (SELECT s_suppkey, list_filter(list_transform(string_split_regex(regexp_replace(field, '(?i)(\\b(?:l\\.?l\\.?p\\.?|p\\.?\\s?c\\.?|l\\.?l\\.?c\\.?|p\\.?\\s?a\\.?|plc|professional corporation)),?\\s+and\\s+([A-Z])', '\\1;\\2', 'g'), '\\s*(?:;|\\n|\\s/\\s)\\s*'), lambda n: trim(regexp_replace(n, '[\\s,.]+$', ''))), lambda n: n <> '') AS firms FROM ({_COUNSEL}))""",
+    rf"""SELECT s_suppkey, firms, list_transform(firms, lambda n: {_KEY.replace("{x}", _shown("n"))}) AS keys FROM (SELECT s_suppkey, list_filter(list_transform(string_split_regex(regexp_replace({_FIELDS},
+    '(?i)(\b(?:llp|l\.l\.p\.|pc|p\.c\.|professional corporation|pllc|plc|llc|ltd|lp|l\.p\.|n\.v\.|a\.p\.c\.|corp\.|corporation)\b)\s+and\s+', '\1;', 'g'), '\s*;\s*|\s*\n+\s*|\s+/\s+'), lambda n: trim(n, ' ;,')), lambda n: n <> '') AS firms FROM supplier)""",
+)
+def _(t: Tables) -> DataFrame:
+    firms = T.split_firms(fields())
+    return t.supplier.select("s_suppkey", firms.alias("firms"), F.transform(firms, lambda n: T.counsel_key(T.firm_display(n))).alias("keys"))
+
+
+def fields() -> F.Column:
+    """Fields of one and of several firms."""
+    f = F.concat
+    said = (
+        f("s_name", F.lit(" & Jones LLP; Firm "), "s_nationkey", F.lit(", P.C. ;")), f("s_name", F.lit(" and Partners LLP")), f(F.lit("Alpha Beta LLP and "), "s_name", F.lit(" P.C.")), f("s_name", F.lit("\n\nOther / Third LLC")),
+        F.lit(" ; "), F.lit("Gamma L.L.P. and Delta, Inc. (US)"), F.lit(", LLP"), F.lit("One And Two, Ltd. (NY)"),
+    )
+    return F.element_at(F.array(*said), (F.col("s_suppkey") % 8 + 1).cast("int"))
+
+
+@query(
+    "T12_canonical",
+    f"""WITH n AS (SELECT s_suppkey, {_shown("s_name || [' & Co LLP', ', P.C. (US)', ' AND Partners'][s_suppkey % 3 + 1]")} AS shown FROM supplier), k AS (SELECT s_suppkey, shown, {_KEY.replace("{x}", "shown")} AS key FROM n),
+    a AS (SELECT s_name || ' & Partners' AS name, 'House ' || s_nationkey AS instead FROM supplier WHERE s_suppkey % 4 = 0 UNION ALL SELECT lower(s_name), 'Firm of ' || s_nationkey || ', LLC' FROM supplier WHERE s_suppkey % 2 = 0),
+    e AS (SELECT name, min(instead) AS instead FROM a GROUP BY 1), f AS (SELECT {_KEY.replace("{x}", "name")} AS key, min(instead) AS instead FROM a GROUP BY 1)
+    SELECT s_suppkey, {_KEY.replace("{x}", "coalesce(e.instead, f.instead, k.shown)")} AS firm_key FROM k LEFT JOIN e ON e.name = k.shown LEFT JOIN f ON f.key = k.key""",
 )
 def _(t: Tables) -> DataFrame:
-    k, f = F.col("s_suppkey") % 5, F.concat
-    field = F.when(k == 0, f("s_name", F.lit(" & Jones LLP; Firm "), "s_nationkey", F.lit(", P.C. ;"))).when(k == 1, f("s_name", F.lit(" and Partners LLP"))).when(k == 2, f(F.lit("Alpha Beta L.L.P. and "), "s_name", F.lit(" P.C."))).when(k == 3, f("s_name", F.lit("\nOther / Third LLC"))).otherwise(" ; ")
-    firms = T.split_firms(field)
-    return t.supplier.select("s_suppkey", firms.alias("firms"), F.transform(firms, T.counsel_key).alias("keys"))
+    """Aliases by name and by key, taken from the suppliers themselves."""
+    from folioforge.operators.counsel import canonical_names
+
+    k = F.col("s_suppkey")
+    names = t.supplier.select("s_suppkey", F.concat("s_name", F.element_at(F.array(F.lit(" & Co LLP"), F.lit(", P.C. (US)"), F.lit(" AND Partners")), (k % 3 + 1).cast("int"))).alias("name"))
+    aliases = t.supplier.filter(k % 4 == 0).select(F.concat("s_name", F.lit(" & Partners")).alias("name"), F.concat(F.lit("House "), "s_nationkey").alias("instead"))
+    aliases = aliases.unionByName(t.supplier.filter(k % 2 == 0).select(F.lower("s_name").alias("name"), F.concat(F.lit("Firm of "), "s_nationkey", F.lit(", LLC")).alias("instead")))
+    return canonical_names(names, "name", aliases).select("s_suppkey", "firm_key")
 
 
 @query(
