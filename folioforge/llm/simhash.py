@@ -32,11 +32,15 @@ def fingerprint(text: str | None, words: int) -> int:
         return 0
     shingles = map(b" ".join, zip(*[tokens[k:] for k in range(words)])) if len(tokens) >= words else [b" ".join(tokens)]
     n = max(1, len(tokens) - words + 1)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), "<u8", n)
+    return majority(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), "<u8", n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits, as a signed long, that are set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
-    for at in range(0, n, TOGETHER):
+    for at in range(0, len(hashes), TOGETHER):
         counts += np.unpackbits(hashes[at : at + TOGETHER].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, words: int = 3, also: Sequence[str] = ()) -> DataFrame:

@@ -1,9 +1,13 @@
 """Near-dedup by Jaccard similarity: links are pairs of texts whose sets of WORDS-word shingles have a similarity of LEAST or more.
 
-Candidates agree in all ROWS values of one of BANDS bands of their MinHash signatures: a pair at 0.8 is missed with probability
-7e-5, a closer one less often. Every candidate is settled by its exact similarity. In a bucket one member, then two, four and so on
-are compared with all others; members that have met in one of them are not compared with each other, so that a large group of near
-copies takes about as many comparisons as it has members, and one of texts that are not alike few rounds.
+Candidates come from the SimHash operator first: fingerprints of the same shingle sets, linked by its anchors (simhash.links). Then
+those that it can't see, being few bits apart at very high similarity alone, come from MinHash: they agree in all ROWS values of one
+of BANDS bands of their signatures, and a pair at 0.8 is missed with probability 7e-5, a closer one less often. Every candidate is
+settled by its exact similarity.
+
+Texts of one component are not compared any more. In a bucket one member is compared with all others; in large ones then two, four
+and so on, as long as that settles half of what is left. The rest is compared where a bucket's members meet, by odd sketches, which
+tell a lower bound of how many shingles two sets differ in: only pairs that may be similar by it leave the task.
 """
 
 from __future__ import annotations
@@ -16,17 +20,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.llm import simhash
 from folioforge.llm.common import cut, lookup, shared_dir, strings, trimmed
 from folioforge.llm.components import components
 from folioforge.llm.exact_dedup import keep_rows, normalised, row_key
 
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 24, 5
-#: Words whose hashes a task remembers; shingles whose values are taken together; pairs for each text that are compared at once.
-MEMO, TOGETHER, ENOUGH = 1 << 17, 1 << 11, 128
-#: Of the BANDS * ROWS least values this share of the least similarity has to agree, by their last bytes, before texts are looked at: a
-#: pair at 0.8 has fewer than 0.6 of them with probability 1e-7.
-LIKELY = 0.75
+#: Words whose hashes a task remembers; shingles whose values are taken together; members of a bucket in each of the two parts that
+#: are compared in one group; bits of the smallest and the largest odd sketch.
+MEMO, TOGETHER, PART, BITS = 1 << 17, 1 << 11, 1 << 10, (1 << 10, 1 << 16)
+#: Members of a bucket for which one round of leaders will do; pairs of a member that leave a task in the first round, and how many
+#: times more in each other one.
+LARGE, FEW, MORE = 1 << 12, 8, 64
 _random = np.random.default_rng(42)
 _PLACES, _FUNCTIONS, _JOINS = (_random.integers(0, 2**64, n, np.uint64) | np.uint64(1) for n in (WORDS * 8, BANDS * ROWS, ROWS))
 
@@ -58,44 +64,146 @@ def shingle_set(text: str | None, memo: Words, words: int = WORDS) -> np.ndarray
     return np.unique(mixed(total))
 
 
-def buckets(shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """For each band one number, equal where all the band's least values are; and a byte of each least value."""
+def buckets(shingles: np.ndarray) -> np.ndarray:
+    """For each band one number, equal where all the band's least values are."""
     least = np.full(BANDS * ROWS, np.uint64(2**64 - 1))
     for at in range(0, len(shingles), TOGETHER):
         np.minimum(least, (shingles[at : at + TOGETHER, None] * _FUNCTIONS).min(axis=0), out=least)
     bands = mixed(least.reshape(BANDS, ROWS)) * _JOINS
-    return mixed(bands.sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64), (mixed(least) & np.uint64(255)).astype(np.uint8).tobytes()
+    return mixed(bands.sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
+def odd_sketch(shingles: np.ndarray) -> bytes:
+    """Bit c tells whether an odd number of shingles fall into cell c. Two sets' sketches differ in no more bits than the sets in
+    shingles. A set of twice the size has twice the cells; a sketch folds to half its cells by XOR of its halves."""
+    cells = BITS[0]
+    while cells < min(BITS[1], 2 * len(shingles)):
+        cells *= 2
+    return np.packbits(np.bincount((shingles & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def apart(one: bytes, other: bytes) -> int:
+    """A number of shingles that two texts differ in at least, by their odd sketches."""
+    short, long = sorted((one, other), key=len)
+    bits, size = int.from_bytes(long, "little"), len(long)
+    while size > len(short):
+        size //= 2
+        bits = (bits >> 8 * size) ^ (bits & ((1 << 8 * size) - 1))
+    return (bits ^ int.from_bytes(short, "little")).bit_count()
+
+
+def may_be(differ, total, least: float):
+    """Whether sets of so many shingles in all, that differ in so many, have a similarity of least or more: (total - differ) / (total + differ)."""
+    return differ * (1 + least) <= total * (1 - least) + 1e-6
 
 
 def texts(docs: DataFrame) -> DataFrame:
-    """node, sha, size, bands, sketch, first: each different text with the row that stays if only it is kept."""
+    """node, sha, size, bands, sketch, fp, first: each different text with the row that stays if only it is kept."""
+    made_of = {"size": pa.int64(), "bands": pa.list_(pa.int64()), "sketch": pa.binary(), "fp": pa.int64()}
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Words()
         for batch in batches:
             sets = (shingle_set(t, memo) for t in strings(batch.column("text")))
-            made = [(len(s), *buckets(s)) for s in sets]
-            columns = [pa.array([m[k] for m in made], kind) for k, kind in enumerate((pa.int64(), pa.list_(pa.int64()), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "key", "sha")), *columns], ["doc_id", "key", "sha", "size", "bands", "sketch"])
+            made = [(len(s), buckets(s), odd_sketch(s), simhash.majority(s)) for s in sets]
+            columns = [pa.array([m[k] for m in made], kind) for k, kind in enumerate(made_of.values())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "key", "sha")), *columns], ["doc_id", "key", "sha", *made_of])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", row_key().alias("key"), F.unhex(F.sha2(normalised(), 256)).alias("sha"))
-    made = rows.mapInArrow(run, "doc_id long, key binary, sha binary, size long, bands array<long>, sketch binary")
+    made = rows.mapInArrow(run, "doc_id long, key binary, sha binary, size long, bands array<long>, sketch binary, fp long")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
-    return cut(made.groupBy("sha").agg(first, F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id()))
+    return cut(made.groupBy("sha").agg(first, *[F.first(c).alias(c) for c in made_of]).withColumn("node", F.monotonically_increasing_id()))
+
+
+def alike(nodes: DataFrame) -> DataFrame:
+    """a, b: candidates by SimHash. Of texts of one fingerprint each with the least; of fingerprints that link (a spanning forest of a
+    dense group's links) their least texts."""
+    of = cut(nodes.groupBy("fp").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("_n")))
+    several = of.filter("_n > 1").withColumnRenamed("node", "a")
+    same = lookup(nodes.select("fp", "node"), several, ["fp"], "_n", nodes.count()).filter("a < node").select("a", F.col("node").alias("b"))
+    found = simhash.links(of.select("fp")).distinct()
+    named = lambda fp, side: of.select(F.col("fp").alias(fp), F.col("node").alias(side))
+    far = found.join(named("u", "x").hint("merge"), "u").join(named("v", "y").hint("merge"), "v")
+    return same.unionByName(far.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose sketches agree in LIKELY * least of their bytes: texts are only looked at for these."""
+    """The pairs (a, b) that may be similar enough by their odd sketches: texts are only looked at for these. None is lost."""
 
     @F.arrow_udf("boolean")
-    def agree(a: pa.Array, b: pa.Array) -> pa.Array:
-        one, other = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for x in (a, b))
-        return pa.array((one == other).sum(axis=1) >= LIKELY * least * BANDS * ROWS)
+    def near(a: pa.Array, b: pa.Array, total: pa.Array) -> pa.Array:
+        return pa.array([may_be(apart(x.as_py(), y.as_py()), n.as_py(), least) for x, y, n in zip(a, b, total)], pa.bool_())
 
-    named = lambda side: nodes.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}"))
+    named = lambda side: nodes.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("sketch").alias(f"sketch_{side}"))
     both = pairs.join(named("b").hint("merge"), "b").join(named("a").hint("merge"), "a")
-    return both.filter(agree("sketch_a", "sketch_b")).select("a", "b")
+    both = both.filter(F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b"))
+    return both.filter(near("sketch_a", "sketch_b", F.col("size_a") + F.col("size_b"))).select("a", "b")
+
+
+def compare(node: np.ndarray, size: np.ndarray, root: np.ndarray, sketches: list[bytes], least: float, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of members with different roots that may be similar enough: of each member `most`, those first that the most members may
+    be similar to; and whether there are more."""
+    near = np.zeros((len(node), len(node)), bool)
+    width = np.array([len(s) for s in sketches])
+    for w in np.unique(width):
+        mine, twice = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)  # sizes that may be similar are less than twice apart
+        own = np.frombuffer(b"".join(sketches[i] for i in mine), np.uint64).reshape(len(mine), -1)
+        folded = np.frombuffer(b"".join(sketches[i] for i in twice), np.uint64).reshape(len(twice), 2, own.shape[1])
+        others, bits = np.concatenate([mine, twice]), np.concatenate([own, folded[:, 0] ^ folded[:, 1]])
+        for i, x in enumerate(mine):
+            differ = np.bitwise_count(bits ^ own[i]).sum(axis=1, dtype=np.int64)
+            fit = np.minimum(size[x], size[others]) >= least * np.maximum(size[x], size[others])
+            near[x, others] = fit & may_be(differ, size[x] + size[others], least)
+    near |= near.T
+    near &= root[:, None] != root[None, :]
+    degree = near.sum(axis=0)
+    if degree.max() <= most:
+        x, y = np.nonzero(np.triu(near))
+        return node[x], node[y], False
+    order = np.argsort(-degree, kind="stable")
+    ranked = near[:, order]
+    x, y = np.nonzero(ranked & (np.cumsum(ranked, axis=1, dtype=np.int32) <= most))
+    return node[x], node[order[y]], True
+
+
+def meet(members: DataFrame, nodes: DataFrame, least: float, most: int) -> DataFrame:
+    """a, b, more: what compare finds in each bucket of members (bucket, node, size, root, _n: the bucket's members).
+
+    A bucket of over PART members is dealt out in parts, and each two parts are a group. All pairs of a bucket are compared: rows are
+    its members, times the number of parts.
+    """
+
+    @trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of a group that may go on
+
+        def found() -> Iterator[pa.RecordBatch]:
+            whole = pa.Table.from_batches(held)
+            if whole.num_rows > 1:
+                a, b, more = compare(*(whole.column(c).to_numpy() for c in ("node", "size", "root")), whole.column("sketch").to_pylist(), least, most)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array([more] * len(a))], ["a", "b", "more"])
+
+        for batch in batches:
+            key = batch.column("key").to_numpy()
+            edges = [*np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist(), len(key)] if len(key) else []
+            for low, high in zip(edges, edges[1:]):
+                if held and held[0].column("key")[0].as_py() != key[low]:
+                    yield from found()
+                    held = []
+                held.append(batch.slice(low, high - low))
+        if held:
+            yield from found()
+
+    parts = F.ceil(F.col("_n") / PART).cast("int")
+    dealt = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("parts") - 1), F.col("part")))
+    dealt = dealt.select("bucket", "node", "size", "root", "parts", "part", F.explode(others).alias("other"))
+    # two groups of one key would be compared with each other in vain, no more
+    key = F.when(F.col("parts") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other"))).alias("key")
+    rows = dealt.select(key, "node", "size", "root").join(nodes.select("node", "sketch").hint("merge"), "node")
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def settle(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
@@ -120,55 +228,68 @@ def settle(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
     return both.select("a", F.col("a").alias("u"), F.col("b").alias("v"), "text_a", "text_b").mapInArrow(run, "u long, v long")
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, least: float) -> DataFrame | None:
-    """u, v: links between nodes, enough of them to connect all candidates that are similar enough; None if there are none."""
-    total = nodes.count()
+def unsettled(members: DataFrame, roots: DataFrame) -> tuple[DataFrame, int, int]:
+    """bucket, node, size, root, _n: the members of buckets that hold texts of several components; how many pairs those make (0: none
+    is left), and the most members of a bucket."""
+    rooted = members.join(roots, "node", "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("root"))
+    parts = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket")
+    several = cut(parts.agg(F.sum("c").alias("_n"), (F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("pairs")).filter("pairs > 0"))
+    left, rows, most = several.agg(F.sum("pairs"), F.sum("_n"), F.max("_n")).first()
+    if not left:
+        return members, 0, 0
+    return cut(lookup(rooted, several.select("bucket", "_n"), ["bucket"], "_n", rows)), left, most
+
+
+def led(members: DataFrame, slots: int) -> tuple[DataFrame, DataFrame]:
+    """a, b: of each bucket's slots the least member, with all other members of the bucket; and the members but those that led."""
+    # found by a combined aggregate, so that no task gets all of a bucket
+    firsts = members.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot")).agg(F.min(F.struct("node", "root")).alias("f"), F.count(F.lit(1)).alias("c"))
+    lead = firsts.groupBy("bucket").agg(F.collect_list("f").alias("leaders"), F.sum("c").alias("_n"))
+    near = cut(lookup(members.drop("_n"), lead, ["bucket"], "_n", members.count()))
+    met = near.select("node", "root", F.explode("leaders").alias("f")).filter("root <> f.root")
+    rest = near.filter(~F.exists("leaders", lambda f: f["node"] == F.col("node"))).select("bucket", "node", "size")
+    return met.select(F.least("f.node", "node").alias("a"), F.greatest("f.node", "node").alias("b")).distinct(), rest
+
+
+def similar_roots(docs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """node, root: for each node with a link the least of its component."""
     members = nodes.select("node", "size", F.explode("bands").alias("bucket"))
     full = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    members = cut(lookup(members, full, ["bucket"], "_n", total * BANDS).select("bucket", "node", "size", F.col("node").alias("root")))
+    members = cut(members.join(full.select("bucket"), "bucket", "left_semi").withColumn("root", F.col("node")))
+    pairs = cut(alike(nodes))
     folder = shared_dir(docs.sparkSession, "similar")
-    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "sha", "sketch")
+    asked = members.select("node").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    wanted = cut(nodes.join(asked, "node", "left_semi").select("node", "sha", "size", "sketch"))
     # copies collapse before they are shuffled, so a text of very many rows is one a task
     once = docs.select("text", F.unhex(F.sha2(normalised(), 256)).alias("sha")).groupBy("sha").agg(F.first("text").alias("text"))
-    once.join(wanted.drop("sketch"), "sha").select("node", "text").write.parquet(folder)
+    once.join(wanted.select("node", "sha"), "sha").select("node", "text").write.parquet(folder)
     held = docs.sparkSession.read.schema("node long, text string").parquet(folder)
-    done = links = None
-    slots = 1
+    links, slots, before = None, 1, None
+    while True:
+        met, members = led(members, slots)
+        met = met if links is not None else met.unionByName(pairs).distinct()
+        found = settle(likely(met, wanted, least), held, least)
+        links = cut(found if links is None else links.unionByName(found))
+        roots = cut(components(links))
+        members, left, most = unsettled(members, roots)
+        if not left:
+            return roots
+        if most <= LARGE or before is not None and left > before / 2:
+            break
+        slots, before = 2 * slots, left
+    most = FEW
     while True:
-        parts = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket")
-        unsettled = cut(parts.agg(F.sum("c").alias("_n"), (F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("pairs")).filter("pairs > 0"))
-        left, rows = unsettled.agg(F.sum("pairs"), F.sum("_n")).first()
+        pairs = cut(meet(members, wanted, least, most))
+        found = cut(settle(pairs.select("a", "b"), held, least))
+        if found.head(1):
+            links = links.unionByName(found)
+            roots = cut(components(links))
+        if not pairs.filter("more").head(1):
+            return roots
+        members, left, _ = unsettled(members.select("bucket", "node", "size"), roots)
         if not left:
-            return links
-        members = cut(lookup(members, unsettled.select("bucket", "_n"), ["bucket"], "_n", rows).drop("_n"))
-        last = done is not None and left / 2 <= max(1 << 14, ENOUGH * total)  # buckets repeat pairs
-        if last:
-            lead = members.withColumnsRenamed({"node": "a", "size": "size_a", "root": "root_a"})
-            met = lead.join(members, "bucket").filter("a < node")
-        else:
-            # the least member of each slot leads: found by a combined aggregate, so that no task gets all of a bucket
-            firsts = members.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot")).agg(F.min(F.struct("node", "size", "root")).alias("f"), F.count(F.lit(1)).alias("c"))
-            lead = firsts.groupBy("bucket").agg(F.collect_list("f").alias("leaders"), F.sum("c").alias("_n"))
-            near = cut(lookup(members, lead, ["bucket"], "_n", rows))
-            met = near.select("bucket", "node", "size", "root", F.explode("leaders").alias("f")).filter("node <> f.node")
-            met = met.select("node", "size", "root", F.col("f.node").alias("a"), F.col("f.size").alias("size_a"), F.col("f.root").alias("root_a"))
-            members = near.filter(~F.exists("leaders", lambda f: f["node"] == F.col("node"))).select("bucket", "node", "size", "root")
-        fit = (F.least("size", "size_a") >= least * F.greatest("size", "size_a")) & (F.col("root") != F.col("root_a"))
-        pairs = met.filter(fit).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        pairs = cut(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
-        found = cut(settle(likely(pairs, wanted, least), held, least))
-        done = pairs if done is None else cut(done.unionByName(pairs))
-        links = found if links is None else cut(links.unionByName(found))
-        if last:
-            return links
-        # the least text that one has met, or that this one has met in its turn, and once more: texts with one are of one component;
-        # that the steps end there costs comparisons, not links
-        met_in = cut(links.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("_root")))
-        for _ in range(2):
-            up = met_in.select(F.col("node").alias("_root"), F.col("_root").alias("_up"))
-            met_in = met_in.join(up, "_root", "left").select("node", F.coalesce("_up", "_root").alias("_root"))
-        members = cut(members.drop("root").join(met_in, "node", "left").select("bucket", "node", "size", F.coalesce("_root", "node").alias("root")))
-        slots *= 2
+            return roots
+        most *= MORE
 
 
 def drop_similar(docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -177,8 +298,5 @@ def drop_similar(docs: DataFrame, least: float = LEAST) -> DataFrame:
     Texts without words are alike; rows go by id and text, so that null and repeated ids of different texts are kept apart.
     """
     nodes = texts(docs)
-    links = similar_links(docs, nodes, least)
-    rooted = nodes.select("first", F.col("node").alias("root"))
-    if links is not None:
-        rooted = nodes.join(components(links), "node", "left").select("first", F.coalesce("root", "node").alias("root"))
+    rooted = nodes.join(similar_roots(docs, nodes, least), "node", "left").select("first", F.coalesce("root", "node").alias("root"))
     return keep_rows(docs, rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.key"))

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import corpus_pipeline
@@ -87,3 +88,59 @@ def test_large_group_and_null_ids(frame):
     assert sorted(x for x in stays if x[0] is not None) == sorted(want + [nulls[2]])
     assert sorted((x for x in stays if x[0] is None), key=repr) == sorted([nulls[1], nulls[3]], key=repr)
     assert similar.drop_similar(frame(rows).limit(0)).count() == 0
+
+
+def family(r, members, words, edits):
+    """Edited copies of one text, most of them similar to few others or none at 0.8."""
+    base = " ".join(word(r) for _ in range(words))
+    return [(i, edited(r, base, edits)) for i in range(members)]
+
+
+def test_candidates_come_from_simhash(spark, frame):
+    r = random.Random(8)
+    rows = []
+    for k in range(20):
+        base = " ".join(word(r) for _ in range(400))
+        rows += [(3 * k, base), (3 * k + 1, edited(r, base, 1)), (3 * k + 2, " ".join(word(r) for _ in range(300)))]
+    nodes = similar.texts(frame(rows)).cache()
+    fps = {x.node: x.fp & (2**64 - 1) for x in nodes.collect()}
+    linked = {tuple(sorted(p)) for p in itertools.combinations(fps, 2) if (fps[p[0]] ^ fps[p[1]]).bit_count() <= 3}
+    assert len(linked) >= 10 and {(x.a, x.b) for x in similar.alike(nodes).collect()} == linked
+
+
+def test_odd_sketches_never_tell_more_than_sets_differ_in():
+    r = random.Random(10)
+    memo = similar.Words()
+    for n in [0, 3, 40, 500, 520, 4000]:
+        a = " ".join(r.choice("xyzuvw") * 3 for _ in range(n))
+        for b in [a, edited(r, a, 3) if n else a, edited(r, a, n // 9) if n else a, a + " " + a, a[: len(a) // 4]]:
+            one, two = (similar.shingle_set(x, memo) for x in (a, b))
+            assert similar.apart(similar.odd_sketch(one), similar.odd_sketch(two)) <= len(set(one.tolist()) ^ set(two.tolist()))
+
+
+def test_pairs_of_a_family_do_not_grow_with_its_square(frame, monkeypatch):
+    looked, settle = [], similar.settle
+
+    def counted(pairs, held, least):
+        looked.append(pairs.count())
+        return settle(pairs, held, least)
+
+    monkeypatch.setattr(similar, "settle", counted)
+    for name, value in {"PART": 40, "LARGE": 60, "FEW": 1, "MORE": 2}.items():  # parts of buckets, and rounds of both kinds
+        monkeypatch.setattr(similar, name, value)
+    rows = family(random.Random(12), 200, 250, 5)
+    want = survivors(rows)
+    assert len(want) > 20
+    assert sorted((x.doc_id, x.text) for x in similar.drop_similar(frame(rows)).select("doc_id", "text").collect()) == want
+    assert sum(looked) < 10 * len(rows)  # all pairs: 19900
+
+
+def test_group_of_many_centres(frame, monkeypatch):
+    """What is found in the first round by hubs leaves links for later rounds."""
+    r = random.Random(14)
+    base = " ".join(word(r) for _ in range(200))
+    centres = [edited(r, base, 9) for _ in range(12)]
+    rows = list(enumerate([edited(r, c, r.randint(0, 4)) for c in centres for _ in range(6)]))
+    r.shuffle(rows)
+    stays = similar.drop_similar(frame(rows)).select("doc_id", "text").collect()
+    assert sorted((x.doc_id, x.text) for x in stays) == survivors(rows)
