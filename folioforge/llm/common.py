@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A key is hot when it holds more than one row in HOT_SHARE; so at most HOT_SHARE keys are hot, which bounds what is broadcast.
 HOT_SHARE = 1000
+#: Short rows (a few integers) for which a task of its own is worth while.
+FULL = 1 << 12
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -45,6 +47,12 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def fitted(frame: DataFrame, rows: int) -> DataFrame:
+    """A frame of so many short rows at most in as many tasks as they fill: with hundreds of shuffle partitions nearly all would be
+    empty, and each writes files and events of its own. A larger frame keeps its partitions."""
+    return frame.coalesce(max(1, -(-rows // FULL)))
+
+
 def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A task that gives its free memory back to the system at its end: workers live on, and later stages need theirs on top."""
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm import simhash
-from folioforge.llm.common import cut, lookup, shared_dir, strings, trimmed
+from folioforge.llm.common import cut, fitted, lookup, shared_dir, strings, trimmed
 from folioforge.llm.components import components
 from folioforge.llm.exact_dedup import keep_rows, normalised, row_key
 
@@ -237,7 +237,7 @@ def unsettled(members: DataFrame, roots: DataFrame) -> tuple[DataFrame, int, int
     left, rows, most = several.agg(F.sum("pairs"), F.sum("_n"), F.max("_n")).first()
     if not left:
         return members, 0, 0
-    return cut(lookup(rooted, several.select("bucket", "_n"), ["bucket"], "_n", rows)), left, most
+    return cut(fitted(lookup(rooted, several.select("bucket", "_n"), ["bucket"], "_n", rows), rows)), left, most
 
 
 def led(members: DataFrame, slots: int) -> tuple[DataFrame, DataFrame]:
@@ -264,13 +264,13 @@ def similar_roots(docs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     once = docs.select("text", F.unhex(F.sha2(normalised(), 256)).alias("sha")).groupBy("sha").agg(F.first("text").alias("text"))
     once.join(wanted.select("node", "sha"), "sha").select("node", "text").write.parquet(folder)
     held = docs.sparkSession.read.schema("node long, text string").parquet(folder)
-    links, slots, before = None, 1, None
+    joined = lambda roots, found: found if roots is None else roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found)
+    roots, slots, before = None, 1, None
     while True:
         met, members = led(members, slots)
-        met = met if links is not None else met.unionByName(pairs).distinct()
-        found = settle(likely(met, wanted, least), held, least)
-        links = cut(found if links is None else links.unionByName(found))
-        roots = cut(components(links))
+        met = met if roots is not None else met.unionByName(pairs).distinct()
+        found = cut(settle(likely(met, wanted, least), held, least))
+        roots = cut(components(joined(roots, found)))  # the stars so far stand for the links that made them
         members, left, most = unsettled(members, roots)
         if not left:
             return roots
@@ -282,8 +282,7 @@ def similar_roots(docs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
         pairs = cut(meet(members, wanted, least, most))
         found = cut(settle(pairs.select("a", "b"), held, least))
         if found.head(1):
-            links = links.unionByName(found)
-            roots = cut(components(links))
+            roots = cut(components(joined(roots, found)))
         if not pairs.filter("more").head(1):
             return roots
         members, left, _ = unsettled(members.select("bucket", "node", "size"), roots)
