@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 
 def merge_spans(spans: DataFrame, key: str, gap: int = 0) -> DataFrame:
-    """key, start, stop: spans that overlap or lie at most `gap` apart, made one."""
-    w = Window.partitionBy(key).orderBy("start", "stop")
+    """key, start, stop: spans that overlap or lie at most `gap` apart, made one. A span without an end comes after those that start with it."""
+    w = Window.partitionBy(key).orderBy(F.asc_nulls_last("start"), F.asc_nulls_last("stop"))
     reached = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
     opened = spans.withColumn("_new", F.when(reached.isNull() | (F.col("start") > reached + gap), 1).otherwise(0))
     runs = opened.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
