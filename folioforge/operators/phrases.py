@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
+from zlib import crc32
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import let
+from folioforge.operators import sketch as S
 from folioforge.operators.sets import checkpointed
 
 #: Words a phrase neither begins nor ends with.
@@ -43,21 +49,151 @@ def named(rows: DataFrame, words: str, least: int, most: int, stops: Sequence[st
 NAME = ("a", "b")
 
 
-def said(docs: DataFrame, words: str, least: int, most: int, stops: Sequence[str], *keep: str) -> DataFrame:
-    """doc_id, a, b, n, at (first place), times: each run once for each document. docs: doc_id, an array of words, and what to keep."""
-    rows = named(docs.select("doc_id", *keep, words), words, least, most, stops)
-    return rows.groupBy("doc_id", *keep, *NAME, "n").agg(F.min("at").alias("at"), F.count("*").alias("times"))
+#: Words that are looked at together.
+TOGETHER = 1 << 20
+#: Slots that the first search for the most widespread phrases goes through, for each phrase that is wanted.
+FIRST = 64
 
 
-def spelt(counted: DataFrame, docs: DataFrame, words: str) -> DataFrame:
-    """counted, with `phrase` (an array of words) read at its first place. Documents meet their places in one shuffle.
-    Both what is counted and the outcome are used more than once, so they are written."""
-    counted = checkpointed(counted)
-    # one row for each document, so that its words are made once and not for every phrase that is read from it
-    places = counted.select(F.col("first.doc_id").alias("doc_id"), F.struct(*NAME, F.col("first.at").alias("at"), "n").alias("p")).groupBy("doc_id").agg(F.collect_list("p").alias("_places"))
-    cut = let(F.col(words), lambda w: F.transform("_places", lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), F.slice(w, p["at"], p["n"]).alias("phrase"))))
-    read = docs.join(places, "doc_id").select(F.inline(cut))
-    return checkpointed(counted.join(read, list(NAME)))
+class Runs:
+    """The words of some documents in one array. ids: a number for each, by `spelling`; row: of which document; left: words from here to
+    its end; a missing word parts runs."""
+
+    def __init__(self, words: pa.Array):
+        sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        self.spelling, self.rows = coded.dictionary, len(sizes)
+        self.ids = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.row = np.repeat(np.arange(len(sizes)), sizes)
+        ends = np.cumsum(sizes)
+        self.starts = ends - sizes
+        places = np.arange(len(self.ids))
+        self.left = ends[self.row] - places if len(places) else places
+        gaps = np.flatnonzero(self.ids < 0)
+        if len(gaps):
+            next_gap = np.searchsorted(gaps, places)
+            self.left = np.minimum(self.left, np.append(gaps, len(places))[next_gap] - places)
+
+    def slots(self, n: int) -> np.ndarray:
+        """The slot of the run of n words from each place on; -1 where there are not so many."""
+        # straight from the buffer: as Python strings they would take most of the time
+        spelt = self.spelling.cast(pa.large_string())
+        _, bounds, data = spelt.buffers()
+        bounds = np.frombuffer(bounds, np.int64)[spelt.offset : spelt.offset + len(spelt) + 1].tolist() if len(spelt) else []
+        data = memoryview(data) if data else b""
+        hashes = np.array([crc32(data[a:b]) for a, b in zip(bounds, bounds[1:])], np.uint64)
+        out = np.full(len(self.ids), -1, np.int64)
+        at = np.flatnonzero(self.left >= n)
+        sums = np.zeros(len(at), np.uint64)
+        for k in range(n):
+            sums = S.mixed(sums + hashes[self.ids[at + k]])
+        out[at] = (sums % np.uint64(S.SLOTS)).astype(np.int64)
+        return out
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of some TOGETHER words; a longer document is a part of its own."""
+    sizes = pc.fill_null(pc.list_value_length(batch.column("words")), 0).to_numpy(zero_copy_only=False)
+    first, held = 0, 0
+    for k, n in enumerate(sizes):
+        if k > first and held + n > TOGETHER:
+            yield batch.slice(first, k - first)
+            first, held = k, 0
+        held += n
+    if first < len(sizes):
+        yield batch.slice(first)
+
+
+def sketched(docs: DataFrame, least: int, sketches: int = 1) -> np.ndarray:
+    """For each slot how many documents have a run of `least` words in it. docs: words, and in `period` the sketch they count in."""
+
+    def counts(batch: pa.RecordBatch, held: np.ndarray) -> None:
+        for part in slices(batch):
+            runs, period = Runs(part.column("words")), part.column("period").to_numpy(zero_copy_only=False)
+            slot = runs.slots(least)
+            of = period[runs.row]
+            keep = (slot >= 0) & (of >= 0) & (of < sketches)
+            # sorted, which is many times as fast as np.unique's table
+            pairs = np.sort(runs.row[keep] * S.SLOTS + slot[keep])
+            row, slot = np.divmod(pairs[np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)]], S.SLOTS)
+            for k in range(sketches):
+                held[k] += np.bincount(slot[period[row] == k], minlength=S.SLOTS).astype(np.int32)
+
+    return S.summed(docs.select("words", "period"), counts, sketches)
+
+
+def counted(docs: DataFrame, least: int, most: int, frequent: np.ndarray, stops: Sequence[str], periods: int = 1) -> DataFrame:
+    """text, n, docs_0 ... (documents of each period), occurrences, first (doc_id, at): the runs of words that neither begin nor end with
+    a stop word and of which all inner runs of `least` words fall into slots that are `frequent` in one sketch. docs: doc_id (one row
+    each), words without blanks, period (a number). A task's documents are counted together, so that few rows are shuffled."""
+    held = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent, axis=1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(held.value, axis=1).astype(bool)
+        for batch in batches:
+            for part in slices(batch):
+                yield from found(part, wanted)
+
+    def found(part: pa.RecordBatch, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+        runs, period = Runs(part.column("words")), part.column("period").to_numpy(zero_copy_only=False).astype(np.int64)
+        if not len(runs.ids):
+            return
+        slot = runs.slots(least)
+        good = wanted[:, slot] & (slot >= 0)
+        stop = np.isin(runs.spelling.to_numpy(zero_copy_only=False), list(stops))
+        order = pc.sort_indices(part.column("doc_id"), null_placement="at_start").to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        at = np.flatnonzero(good.any(axis=0))
+        at = at[~stop[runs.ids[at]]]
+        alive, name = good[:, at], np.zeros(len(at), np.int64)
+        for n in range(1, most + 1):
+            if n > least:
+                on = runs.left[at] >= n
+                at, alive, name = at[on], alive[:, on], name[on]
+                alive = alive & good[:, at + n - least]
+                on = alive.any(axis=0)
+                at, alive, name = at[on], alive[:, on], name[on]
+            if not len(at):
+                return
+            # equal runs get equal names, which are numbers of this part
+            name = np.unique(name * len(runs.spelling) + runs.ids[at + n - 1], return_inverse=True)[1]
+            if n < least:
+                continue
+            ends = ~stop[runs.ids[at + n - 1]]
+            here, row = at[ends], runs.row[at[ends]]
+            if not len(here):
+                continue
+            each, first, times = np.unique((name[ends] * periods + period[row]) * runs.rows + rank[row], return_index=True, return_counts=True)
+            kind, begins, size = np.unique(each // runs.rows, return_index=True, return_counts=True)
+            place = here[first[begins]]
+            text = pc.binary_join_element_wise(*[runs.spelling.take(pa.array(runs.ids[place + k])) for k in range(n)], " ")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    text, pa.array(np.full(len(kind), n, np.int32)), pa.array(kind % periods), pa.array(size.astype(np.int64)), pa.array(np.add.reduceat(times, begins).astype(np.int64)),
+                    part.column("doc_id").take(pa.array(runs.row[place])), pa.array(place - runs.starts[runs.row[place]] + 1),
+                ],
+                ["text", "n", "period", "docs", "times", "doc_id", "at"],
+            )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "words", "period").mapInArrow(run, f"text string, n int, period long, docs long, times long, doc_id {kind}, at long")
+    each = [F.sum(F.when(F.col("period") == p, F.col("docs")).otherwise(0)).alias(f"docs_{p}") for p in range(periods)]
+    return rows.groupBy("text", "n").agg(*each, F.sum("times").alias("occurrences"), F.min(F.struct("doc_id", "at")).alias("first"))
+
+
+def one_row_each(docs: DataFrame, *keep: str) -> DataFrame:
+    """docs (doc_id, words and what to keep), rows of one id put together if there are any, with a missing word between them."""
+    if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return docs
+    apart = F.concat("words", F.array(F.lit(None).cast("string")))
+    return docs.groupBy("doc_id", *keep).agg(F.flatten(F.collect_list(apart)).alias("words"))
+
+
+def named_phrases(found: DataFrame) -> DataFrame:
+    """found, with `phrase` (an array of words) and its name, read more than once and so written."""
+    words = found.withColumn("phrase", F.split("text", " "))
+    return checkpointed(words.withColumns({"a": F.xxhash64("phrase"), "b": F.xxhash64(F.lit(1), "phrase")}))
 
 
 def parts(phrases: DataFrame, least: int, most: int, *keep: str) -> DataFrame:
@@ -70,17 +206,25 @@ def top_phrases(docs: DataFrame, words: str = "words", least: int = 3, most: int
     """phrase, docs, occurrences, n, rank: the k phrases that most documents have, of equals the longer, then the more frequent, then
     the one that stands first. A phrase inside a longer one that as many documents have is left out.
 
-    docs: doc_id (one row each) and an array of words. Runs are counted under 128-bit names; words are looked up for those that
-    enough documents have. Every phrase then sends its shorter runs with its own count to be joined, whatever lies between them, as
-    a run between two phrases may begin with a stop word and so be none itself.
+    docs: doc_id and an array of words without blanks. Documents are first counted by the slots of their shortest runs, and runs are
+    counted exactly where all of theirs lie in slots that enough documents have: no phrase with so many documents is left out. If fewer
+    than k phrases come of it, that number is lowered, to least_docs in the end. Every phrase then sends its shorter runs with its own
+    count to be joined, whatever lies between them, as a run between two phrases may begin with a stop word and so be none itself.
     """
-    per = said(docs, words, least, most, stops)
-    counted = per.groupBy(*NAME, "n").agg(F.count("*").alias("docs"), F.sum("times").alias("occurrences"), F.min(F.struct("doc_id", "at")).alias("first"))
-    enough = spelt(counted.filter(F.col("docs") >= least_docs), docs, words)
-    inner = parts(enough, least, most, "docs").distinct()
-    ordered = enough.join(inner, [*NAME, "docs"], "left_anti").orderBy(F.desc("docs"), F.desc("n"), F.desc("occurrences"), "first").limit(k)
+    rows = one_row_each(docs.select("doc_id", F.col(words).alias("words"))).withColumn("period", F.lit(0).cast("long"))
+    sketch = sketched(rows, least)
+    bar = max(least_docs, int(np.partition(sketch[0], -min(FIRST * k, S.SLOTS))[-min(FIRST * k, S.SLOTS)]))
+    while True:
+        exact = counted(rows, least, most, sketch >= bar, stops).withColumnRenamed("docs_0", "docs")
+        enough = named_phrases(exact.filter(F.col("docs") >= bar))
+        inner = parts(enough, least, most, "docs").distinct()
+        left = enough.join(inner, [*NAME, "docs"], "left_anti")
+        if bar <= least_docs or left.limit(k).count() >= k:
+            break
+        bar = max(least_docs, bar // 4)
+    ordered = left.orderBy(F.desc("docs"), F.desc("n"), F.desc("occurrences"), "first").limit(k)
     rank = F.row_number().over(Window.orderBy(F.desc("docs"), F.desc("n"), F.desc("occurrences"), "first"))
-    return ordered.select(F.array_join("phrase", " ").alias("phrase"), "docs", "occurrences", "n", rank.alias("rank"))
+    return ordered.select(F.col("text").alias("phrase"), "docs", "occurrences", "n", rank.alias("rank"))
 
 
 def shift_shape(shares: Sequence[Column], least_effect: float = LEAST_EFFECT, flat: float = FLAT, spike: float = SPIKE) -> Column:
@@ -127,16 +271,23 @@ def shifted_phrases(
     docs: doc_id, period, words. noisy: says of a phrase, as a string column, that it is left out. A phrase has to stand in
     least_docs documents and a least_share of one period, and to move by least_effect. Documents of other periods do not count.
     """
-    inside = docs.filter(F.col(period).isin(*periods))
-    totals = inside.groupBy().agg(*[F.sum((F.col(period) == p).cast("long")).alias(f"total_{i}") for i, p in enumerate(periods)])
-    per = said(inside, words, least, most, (), period)
+    number = F.coalesce(*[F.when(F.col(period) == p, F.lit(i).cast("long")) for i, p in enumerate(periods)])
+    inside = docs.filter(F.col(period).isin(*periods)).select("doc_id", number.alias("period"), F.col(words).alias("words"))
+    totals = {r.period: r["count"] for r in inside.groupBy("period").count().collect()}
+    inside = one_row_each(inside, "period")
+    total = [totals.get(i, 0) for i in range(len(periods))]
+    # a share moves by no more than the greater of the two, so that the two periods' documents tell which runs can have moved enough
+    ends = (0, len(periods) - 1)
+    order = {i: k for k, i in enumerate(dict.fromkeys(ends))}
+    place = F.coalesce(*[F.when(F.col("period") == i, F.lit(k).cast("long")) for i, k in order.items()], F.lit(-1).cast("long"))
+    sketch = sketched(inside.withColumn("period", place), least, len(order))
+    bars = [max(0, math.ceil((least_effect - 1e-9) * total[i])) if total[i] or least_effect <= 0 else 1 for i in order]
+    per = counted(inside, least, most, np.stack([s >= b for s, b in zip(sketch, bars)]), (), len(periods))
     names = [f"share_{i}" for i in range(len(periods))]
-    counted = per.groupBy(*NAME, "n").agg(*[F.sum((F.col(period) == p).cast("long")).alias(f"docs_{i}") for i, p in enumerate(periods)], F.min(F.struct("doc_id", "at")).alias("first"))
-    enough = counted.filter(F.greatest(*[F.col(f"docs_{i}") for i in range(len(periods))]) >= least_docs)
-    shared = enough.crossJoin(F.broadcast(totals)).select(*NAME, "n", "first", *[F.when(F.col(f"total_{i}") > 0, F.col(f"docs_{i}") / F.col(f"total_{i}")).otherwise(0.0).alias(s) for i, s in enumerate(names)])
+    enough = per.filter(F.greatest(*[F.col(f"docs_{i}") for i in range(len(periods))]) >= least_docs)
+    shared = enough.select("text", "n", *[(F.col(f"docs_{i}") / F.lit(total[i]) if total[i] else F.lit(0.0)).alias(s) for i, s in enumerate(names)])
     moved = shared.withColumn("delta", F.col(names[-1]) - F.col(names[0])).filter((F.greatest(*names) >= least_share) & (F.abs("delta") >= least_effect))
-    text = F.array_join("phrase", " ")
-    clean = spelt(moved, inside, words).withColumn("text", text).filter(~noisy(F.col("text")))
+    clean = named_phrases(moved.filter(~noisy(F.col("text"))))
     sides = clean.withColumn("direction", F.explode(F.array(F.lit("addition"), F.lit("deletion"))))
     up = F.col("direction") == "addition"
     order = [F.desc(F.when(up, F.col("delta")).otherwise(-F.col("delta"))), F.desc("n"), F.desc(F.length("text")), F.desc(F.when(up, F.col(names[-1])).otherwise(F.col(names[0]))), F.asc("text")]

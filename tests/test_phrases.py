@@ -77,3 +77,20 @@ def test_shapes(spark):
     table = spark.createDataFrame(rows, "name string, s0 double, s1 double, s2 double, s3 double, s4 double")
     got = {x.name: x.shape for x in table.select("name", P.shift_shape([F.col(f"s{i}") for i in range(5)]).alias("shape")).collect()}
     assert got == {name: name for name in shares}
+
+
+def test_rare_runs_are_never_shuffled(spark, monkeypatch):
+    """Of 30,000 different runs only those that could be among the first are counted by their words."""
+    r = random.Random(5)
+    texts = [(d, [f"u{d}_{i}" for i in range(60)] + ["x", "y", "z", "v"][: 3 + (d % 5 == 0)] + [f"u{d}_{r.random()}"]) for d in range(500)]
+    counted, frames = P.counted, []
+    monkeypatch.setattr(P, "counted", lambda *a, **k: frames.append(counted(*a, **k)) or frames[-1])
+    got = P.top_phrases(spark.createDataFrame(texts, "doc_id int, words array<string>"), k=2).orderBy("rank").collect()
+    assert [(x.phrase, x.docs) for x in got] == [("x y z", 500), ("x y z v", 100)]
+    assert frames[0].count() < 1000
+
+
+def test_rows_of_one_id_count_once_and_no_run_goes_across(spark):
+    rows = [(1, "a b c d".split()), (1, "b c d e".split()), (2, "b c d".split()), (3, "e b c".split()), (4, None), (5, [])]
+    got = P.top_phrases(spark.createDataFrame(rows, "doc_id int, words array<string>"), k=9, stops=()).collect()
+    assert [(x.phrase, x.docs, x.occurrences) for x in got] == [("b c d", 2, 3)]
