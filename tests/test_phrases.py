@@ -94,3 +94,26 @@ def test_rows_of_one_id_count_once_and_no_run_goes_across(spark):
     rows = [(1, "a b c d".split()), (1, "b c d e".split()), (2, "b c d".split()), (3, "e b c".split()), (4, None), (5, [])]
     got = P.top_phrases(spark.createDataFrame(rows, "doc_id int, words array<string>"), k=9, stops=()).collect()
     assert [(x.phrase, x.docs, x.occurrences) for x in got] == [("b c d", 2, 3)]
+
+
+@pytest.mark.parametrize("least_effect", [0.0, 0.3])
+def test_shifted_runs_equal_plain_code(spark, least_effect):
+    """What moves little or stands in the middle periods alone is as in plain code, and one that moves in one direction is not lost."""
+    r = random.Random(7)
+    lines = [[r.choice("abcdefgh") for _ in range(6)] for _ in range(4)]
+    texts = [(d, d % 4, [w for _ in range(2) for w in lines[r.randint(0, 3) if d % 4 else r.randint(0, 1)]] + [f"w{d}"]) for d in range(80)]
+    found = {}
+    for d, p, words in texts:
+        for n in range(2, 6):
+            for i in range(len(words) - n + 1):
+                found.setdefault(" ".join(words[i : i + n]), [set() for _ in range(4)])[p].add(d)
+    want = {}
+    for phrase, docs in found.items():
+        shares = [len(x) / 20 for x in docs]
+        if max(map(len, docs)) >= 3 and max(shares) >= 0.05 and abs(shares[3] - shares[0]) >= least_effect:
+            want[phrase] = shares
+    table = spark.createDataFrame(texts, "doc_id int, p int, words array<string>").repartition(3)
+    got = P.shifted_phrases(table, "p", range(4), lambda t: F.lit(False), least=2, most=5, k=10**6, least_docs=3, least_effect=least_effect)
+    longest = {p for p in want if not any(inside(p, q) for q in want)}
+    rows = [x for x in got.collect() if x.direction == "addition"]
+    assert {x.phrase: (x.share_0, x.share_1, x.share_2, x.share_3) for x in rows} == {p: tuple(want[p]) for p in longest}
